@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, packing_nnls
+from tidegauge.llm import chosen_path, decontaminate, language_id, packing_nnls
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -32,11 +36,25 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def held_out(divisor: int, remainder: int, id_col: str = "doc_id") -> Column:
+    """Whether a row's crc32 (of its id as text) leaves this remainder: the fold that no model learns from."""
+    return F.crc32(F.col(id_col).cast("string")) % divisor == remainder
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = language_id.train(docs.where(~held_out(4, 2)))
+    found = language_id.identify(docs, counts)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_nnls.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 QUERIES: dict[str, Query] = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_sequence_packing": op10_sequence_packing,
 }
