@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chosen_path, decontaminate, language_id, packing_nnls
+from tidegauge.llm import chosen_path, decontaminate, language_id, packing_nnls, pii_bootstrap
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,18 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.extract(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        number = pii_bootstrap.KINDS.index(kind)
+        return F.size(F.filter("base", lambda x: x["kind"] == number)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii_bootstrap.KINDS]
+    digest = F.sha2(pii_bootstrap.written("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii_bootstrap.written("spans").alias("spans"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similarity_join(table(spark, sf_dir, "documents"))
 
@@ -53,6 +65,7 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_language_id": op9_language_id,
