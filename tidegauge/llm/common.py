@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that end a word: everything in ASCII but digits and letters. A-Z map to a-z.
 WORD_BYTES = bytes(
@@ -35,6 +37,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_text_row(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """(id, text), and with ``carry`` the whole row as one struct: it needs no join back, and no name can clash."""
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *row)
+
+
+def schema_of(source: DataFrame, ddl: str) -> T.StructType:
+    """``ddl``, and the carried row where ``source`` has one."""
+    return T.StructType([*T.StructType.fromDDL(ddl).fields, *(f for f in source.schema if f.name == "row")])
+
+
 def normalised(text: str | None) -> bytes:
     """Lower-cased ASCII letters, digits and all bytes above ASCII; everything else a space."""
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES)

@@ -15,6 +15,7 @@ table are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import normalised
+from tidegauge.llm.common import id_text_row, normalised, schema_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN = "array<struct<start:int,end:int>>"
@@ -85,10 +86,14 @@ def contamination(
     item_text_col: str = "text",
     window: int = 10,
     max_windows: int = 50_000,
+    carry: bool = False,
 ) -> DataFrame:
-    """Per document: ``id_col``, n_words, n_hit, items (ids whose windows occur) and spans of the original text."""
+    """Per document: ``id_col``, n_words, n_hit, items (ids whose windows occur) and spans of the original text.
+
+    With ``carry`` the whole input row follows as the struct ``row``.
+    """
     windows = window_table(items, item_col, item_text_col, window).limit(max_windows + 1).toPandas()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = id_text_row(docs, id_col, text_col, carry)
     if len(windows) > max_windows:
         hits = _by_join(source, window_table(items, item_col, item_text_col, window))
     else:
@@ -121,17 +126,17 @@ def _by_automaton(source: DataFrame, windows: pd.DataFrame) -> DataFrame:
                 hit = covered(starts, len(words))
                 names = sorted({x for k in {k for _, k in found} for x in kept.value[k][2]})
                 rows.append((i, len(words), int(hit.sum()), names, original_spans(text, hit)))
-            yield _batch(rows)
+            yield _batch(rows, b.columns[2:])
 
-    return source.mapInArrow(scan, HITS)
+    return source.mapInArrow(scan, schema_of(source, HITS))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], carried: list[pa.Array]) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), span]
     columns = list(zip(*rows)) or [()] * 5
-    names = ["id", "n_words", "n_hit", "items", "spans"]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
+    names = ["id", "n_words", "n_hit", "items", "spans", "row"][: 5 + len(carried)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, type=k) for c, k in zip(columns, kinds)), *carried], names=names)
 
 
 def _by_join(source: DataFrame, windows: DataFrame) -> DataFrame:
@@ -142,22 +147,24 @@ def _by_join(source: DataFrame, windows: DataFrame) -> DataFrame:
         for b in batches:
             for i, t in zip(b["id"], b["text"]):
                 words = normalised(t).decode("latin-1").split()
-                rows = [(i, p, f" {' '.join(words[p : p + n])} ") for n in lengths for p in range(len(words) - n + 1)]
-                yield pd.DataFrame(rows, columns=["id", "first", "window"])
+                key = zlib.crc32((t or "").encode())
+                rows = [(i, key, p, f" {' '.join(words[p : p + n])} ") for n in lengths for p in range(len(words) - n + 1)]
+                yield pd.DataFrame(rows, columns=["id", "key", "first", "window"])
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, t, found, names in zip(b["id"], b["text"], b["found"], b["items"]):
+            for i, t, found, names in zip(*(b.column(k).to_pylist() for k in ("id", "text", "found", "items"))):
                 n = len(normalised(t).split())
-                hit = covered([(x["first"], x["n_words"]) for x in ([] if found is None else found)], n)
-                names = [] if names is None else sorted(names)
-                rows.append((i, n, int(hit.sum()), names, original_spans(t or "", hit)))
-            yield pd.DataFrame(rows, columns=["id", "n_words", "n_hit", "items", "spans"])
+                hit = covered([(x["first"], x["n_words"]) for x in found or []], n)
+                rows.append((i, n, int(hit.sum()), sorted(names or []), original_spans(t or "", hit)))
+            yield _batch(rows, [b.column("row")] if "row" in b.schema.names else [])
 
-    found = source.mapInPandas(cut, "id long, first int, window string").join(windows, "window")
-    found = found.groupBy("id").agg(
+    texts = source.select("id", "text").distinct()  # repeated rows count once
+    found = texts.mapInPandas(cut, "id long, key long, first int, window string").join(windows, "window")
+    found = found.groupBy("id", "key").agg(
         F.collect_set(F.struct("first", "n_words")).alias("found"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    return source.join(found, "id", "left").mapInPandas(finish, HITS)
+    keyed = source.withColumn("key", F.crc32(F.coalesce("text", F.lit(""))))
+    return keyed.join(found, ["id", "key"], "left").mapInArrow(finish, schema_of(source, HITS))

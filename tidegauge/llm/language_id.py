@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import id_text_row, schema_of
+
 BUCKETS = 1 << 16
 #: Code points with their own case and letter entries; those above are letters of script 0.
 KNOWN = 0x30000
@@ -188,8 +190,13 @@ def describe(model: Model, found: Letters, labels: np.ndarray) -> tuple[str, flo
     return model.names[best], float(share[best] / share.sum()), spans
 
 
-def identify(docs: DataFrame, counts: dict, *, id_col: str = "doc_id", text_col: str = "text", switch: float = 12.0) -> DataFrame:
-    """Per document: id_col, lang_pred, score (share of the letters in that language) and spans of the original text."""
+def identify(
+    docs: DataFrame, counts: dict, *, id_col: str = "doc_id", text_col: str = "text", switch: float = 12.0, carry: bool = False
+) -> DataFrame:
+    """Per document: id_col, lang_pred, score (share of the letters in that language) and spans of the original text.
+
+    With ``carry`` the whole input row follows as the struct ``row``.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fitted(counts))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +213,9 @@ def identify(docs: DataFrame, counts: dict, *, id_col: str = "doc_id", text_col:
                     rows[k] = describe(known, found[k], path)
                 names, score, spans = zip(*rows) if rows else ((), (), ())
                 columns = [b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", "spans"])
+                names = ["id", "lang_pred", "score", "spans", "row"][: 2 + b.num_columns]
+                yield pa.RecordBatch.from_arrays([*columns, *b.columns[2:]], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = source.mapInArrow(label, f"id long, lang_pred string, score double, spans {SPANS}")
+    source = id_text_row(docs, id_col, text_col, carry)
+    out = source.mapInArrow(label, schema_of(source, f"id long, lang_pred string, score double, spans {SPANS}"))
     return out.withColumnRenamed("id", id_col)
