@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize, normalised
+from tidegauge.llm.common import materialize, normalised, whole_groups
 
 #: Bins of a sketch, and how far below the threshold a likely pair may be estimated (over four standard errors).
 SKETCH = 128
@@ -127,9 +127,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
     return source.mapInArrow(sign, SIGNATURE)
 
 
-def forest(ids: np.ndarray, linked: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges (member, root) that join what the given (row, column) pairs join."""
-    root = np.arange(len(ids))
+def forest(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (member, least member) that join what the given pairs of places join."""
+    root = list(range(len(ids)))
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -137,25 +137,28 @@ def forest(ids: np.ndarray, linked: Iterator[tuple[np.ndarray, np.ndarray]]) ->
             k = root[k]
         return k
 
-    for rows, columns in linked:
-        for a, b in zip(rows.tolist(), columns.tolist()):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
+    for a, b in zip(rows.tolist(), columns.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
     return [(int(ids[k]), int(ids[r])) for k in range(len(ids)) if (r := find(k)) != k]
 
 
-def sketch_pairs(sketches: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows whose sketches agree in the share ``least`` of the bins that either has, one row block at a time."""
-    step = max(1, 2_000_000 // max(1, sketches.size))
-    some = sketches > 0
-    for a in range(0, len(sketches), step):
-        mine, own = sketches[a : a + step, None, :], some[a : a + step, None, :]
-        same = ((mine == sketches[None, :, :]) & own).sum(axis=2)
-        either = (own | some[None, :, :]).sum(axis=2)
-        rows, columns = np.nonzero(same >= least * either)
-        keep = rows + a < columns
-        yield rows[keep] + a, columns[keep]
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the bins that either sketch has in which both agree, row by row."""
+    both = ((a == b) & (a > 0)).sum(axis=-1)
+    return both / np.maximum(((a > 0) | (b > 0)).sum(axis=-1), 1)
+
+
+def sketch_forest(ids: np.ndarray, sketches: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Edges that connect rows with sketches alike; a row is compared with those only that are not yet connected to it."""
+    label = np.arange(len(ids))
+    for k in range(len(ids)):
+        others = np.flatnonzero(label != label[k])
+        for j in others[alike(sketches[k], sketches[others]) >= least]:
+            if label[j] != label[k]:
+                yield int(ids[j]), int(ids[k])
+                label[label == label[j]] = label[k]
 
 
 def blocks_of(keyed: DataFrame, key: str, salt_of: str, block: int) -> DataFrame:
@@ -169,7 +172,9 @@ def blocks_of(keyed: DataFrame, key: str, salt_of: str, block: int) -> DataFrame
             lambda j: F.struct(F.least(j, F.col("mine")).alias("lo"), F.greatest(j, F.col("mine")).alias("hi")),
         )
     )
-    return sized.withColumn("mine", mine).withColumn("cell", F.explode(cells)).drop("count", "blocks")
+    spread = sized.withColumn("mine", mine).withColumn("cell", F.explode(cells)).drop("count", "blocks")
+    spread = spread.withColumn("group", F.xxhash64(key, "cell.lo", "cell.hi"))
+    return spread.repartition("group").sortWithinPartitions("group", "id")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,6 +215,27 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def links_of(ids, mine, sizes, sets: list[np.ndarray], lo: int, hi: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(id, links, least connected id) of a cell: block ``lo`` against block ``hi``, by real set sizes."""
+    left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+    both = intersections([sets[k] for k in left], [sets[k] for k in right])
+    linked = both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-6
+    links = np.zeros(len(ids), dtype=np.int64)
+    if lo == hi:
+        np.fill_diagonal(linked, False)
+    else:
+        links[right] = linked.sum(axis=0)
+    links[left] += linked.sum(axis=1)
+    rows, columns = np.nonzero(linked)
+    root = dict(forest(ids, left[rows], right[columns]))
+    return [(int(i), int(n), root.get(int(i), int(i))) for i, n in zip(ids, links)]
+
+
+def edge_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
 def similarity_join(
     docs: DataFrame,
     *,
@@ -232,41 +258,37 @@ def similarity_join(
     cells = blocks_of(met, "leaf", "id", block)
     least = threshold - MARGIN
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketches = np.stack([np.frombuffer(s, dtype=np.uint16) for s in pdf["sketch"]])
-        return pd.DataFrame(forest(pdf["id"].to_numpy(), sketch_pairs(sketches, least)), columns=["a", "b"])
-
-    likely = cells.groupBy("leaf", "cell").applyInPandas(near, "a long, b long")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_groups(batches, "group"):
+            ids = rows.column("id").to_numpy()
+            sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, SKETCH)
+            sizes = np.diff(edges)
+            pairs = edges[:-1][sizes == 2]
+            pairs = pairs[alike(sketches[pairs], sketches[pairs + 1]) >= least]
+            found = list(zip(ids[pairs].tolist(), ids[pairs + 1].tolist()))
+            for s, e in zip(edges[:-1][sizes > 2], edges[1:][sizes > 2]):
+                found += sketch_forest(ids[s:e], sketches[s:e], least)
+            yield edge_batch(found, ["a", "b"])
+
+    likely = cells.select("group", "id", "sketch").mapInArrow(near, "a long, b long")
     groups = materialize(_rooted(components(likely)), "components")
 
     sets = signed.select("id", "n_tokens", "tokens").join(groups.withColumnRenamed("node", "id"), "id")
     sets = sets.dropDuplicates(["id"])
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        lo, hi = int(pdf["cell"].iloc[0]["lo"]), int(pdf["cell"].iloc[0]["hi"])
-        ids, mine = pdf["id"].to_numpy(), pdf["mine"].to_numpy()
-        tokens = [np.frombuffer(t, dtype="<u4") for t in pdf["tokens"]]
-        sizes = pdf["n_tokens"].to_numpy()
-        links = np.zeros(len(ids), dtype=np.int64)
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        edges = []
-        if len(left) and len(right):
-            both = intersections([tokens[k] for k in left], [tokens[k] for k in right])
-            union = sizes[left][:, None] + sizes[right][None, :] - both
-            linked = both >= threshold * union - 1e-6
-            if lo == hi:
-                np.fill_diagonal(linked, False)
-                links[left] = linked.sum(axis=1)
-            else:
-                links[left] = linked.sum(axis=1)
-                links[right] = linked.sum(axis=0)
-            rows, columns = np.nonzero(linked)
-            edges = forest(ids, iter([(left[rows], right[columns])]))
-        root = dict(edges)
-        return pd.DataFrame({"id": ids, "n_links": links, "to": [root.get(int(i), int(i)) for i in ids]})
-
-    checked = blocks_of(sets, "root", "id", block).groupBy("root", "cell").applyInPandas(verify, "id long, n_links long, to long")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, edges in whole_groups(batches, "group"):
+            ids, mine, sizes = (rows.column(c).to_numpy() for c in ("id", "mine", "n_tokens"))
+            los, his, tokens = (rows.column(c) for c in ("lo", "hi", "tokens"))
+            found = []
+            for s, e in zip(edges, edges[1:]):
+                sets = [np.frombuffer(t.as_py(), dtype="<u4") for t in tokens.slice(s, e - s)]
+                found += links_of(ids[s:e], mine[s:e], sizes[s:e], sets, los[s].as_py(), his[s].as_py(), threshold)
+            yield edge_batch(found, ["id", "n_links", "to"])
+
+    spread = blocks_of(sets, "root", "id", block // 2)
+    spread = spread.select("group", "id", "mine", "n_tokens", "tokens", "cell.lo", "cell.hi")
+    checked = spread.mapInArrow(verify, "id long, n_links long, to long")
     checked = materialize(checked, "links")
     counts = checked.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     classes = components(checked.select(F.col("id").alias("a"), F.col("to").alias("b")))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,3 +54,21 @@ def schema_of(source: DataFrame, ddl: str) -> T.StructType:
 def normalised(text: str | None) -> bytes:
     """Lower-cased ASCII letters, digits and all bytes above ASCII; everything else a space."""
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables that never cut a group of equal ``key``, with the places where groups start and the end."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([held, now]) if held is not None else now
+        keys = now.column(key).to_numpy()
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if not len(edges):
+            held = now
+            continue
+        last = int(edges[-1])
+        yield now.slice(0, last), np.concatenate([[0], edges])
+        held = now.slice(last)
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
