@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, chosen_path, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap
+from tidegauge.llm import chat_format, chosen_path, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,14 @@ def held_out(divisor: int, remainder: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % divisor == remainder
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out(5, 0))
+    calibrate = "crc32(cast(doc_id as string)) % 5 = 4"
+    found = quality_rff.classify(table(spark, sf_dir, "documents"), labels, calibrate=calibrate)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "score", predicted)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = language_id.train(docs.where(~held_out(4, 2)))
@@ -94,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_chat_format": op7_chat_format,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_sequence_packing": op10_sequence_packing,
 }
