@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, chosen_path, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff
+from tidegauge.llm import chat_format, chosen_path, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff, warc_revisit
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,41 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def captures(pages: DataFrame, visits: int = 4) -> DataFrame:
+    """A crawl history of every page: a full response first, then revisits and changed responses, 45,000 s apart."""
+    visit = pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(visits - 1))).alias("k"))
+    name = F.concat_ws(":", F.col("page_id").cast("string"), F.col("k").cast("string"))
+    draw = F.conv(F.substring(F.md5(name), 1, 6), 16, 10).cast("long")
+    visit = visit.withColumn("draw", draw).withColumn("full", F.when(F.col("k") == 0, draw % 10 > 0).otherwise(draw % 3 == 0))
+    version = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 8)
+    tag = F.when(draw % 11 == 5, F.lit("other")).otherwise(version)
+    stamp = (F.col("page_id") + F.col("k") * 45_000).cast("string")
+    stored = F.create_map(
+        F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.length("html").cast("string"),
+        F.lit("ETag"), F.concat(F.lit('"'), version, F.lit('"')), F.lit("Date"), stamp,
+    )
+    fresh = F.create_map(
+        F.lit("etag"), F.concat(F.lit('W/"'), tag, F.lit('"')), F.lit("Date"), stamp, F.lit("Content-Length"), F.lit("0"),
+        F.lit("Connection"), F.lit("close"), F.lit("Cache-Control"), F.lit("max-age=60"),
+    )
+    return visit.select(
+        (F.col("page_id") * visits + F.col("k")).alias("record_id"),
+        F.when(F.col("k") % 2 == 1, F.concat("url", F.lit("#v"))).otherwise(F.col("url")).alias("url"),
+        (F.col("page_id") + F.col("k") * 45_000).alias("ts"),
+        F.when(F.col("full"), "response").otherwise("revisit").alias("warc_type"),
+        F.when(F.col("full"), 200).otherwise(304).alias("status"),
+        F.when(F.col("full"), stored).otherwise(fresh).alias("headers"),
+        F.when(F.col("full"), F.md5("html")).alias("digest"),
+    )
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisit.resolve(captures(table(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.element_at("headers", k)))
+    known = {c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("refers_to", "refers_ts")}  # -1: refers to no record
+    return found.withColumns({"headers": F.array_join(pairs, ";"), **known})
+
+
 def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_bootstrap.extract(table(spark, sf_dir, "documents"))
 
@@ -97,6 +132,7 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_html_extraction": op5_html_extraction,

@@ -1,5 +1,37 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+OP1 = r"""
+WITH v AS (
+  SELECT page_id * 4 + k AS id, page_id + k * 45000 AS ts, k, html, url AS page_url,
+         CASE WHEN k % 2 = 1 THEN url || '#v' ELSE url END AS url,
+         ('0x' || substr(md5(page_id || ':' || k), 1, 6))::BIGINT AS draw, substr(md5(coalesce(url, '')), 1, 8) AS version
+  FROM pages, unnest(range(0, 4)) AS t(k)),
+r AS (
+  SELECT *, CASE WHEN k = 0 THEN draw % 10 > 0 ELSE draw % 3 = 0 END AS is_full, CASE WHEN draw % 11 = 5 THEN 'other' ELSE version END AS tag,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM v),
+q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '')
+         || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS address,
+         list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)'))) AS params
+  FROM r),
+c AS (SELECT *, address || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical FROM q),
+j AS (
+  SELECT c.*, f.id AS old_id, f.ts AS old_ts, f.version AS old_version, md5(f.html) AS old_digest, length(f.html) AS old_length,
+         row_number() OVER (PARTITION BY c.id ORDER BY f.ts DESC NULLS LAST, f.id DESC NULLS LAST) AS n
+  FROM c LEFT JOIN (SELECT * FROM c WHERE is_full) f
+    ON f.canonical = c.canonical AND (f.ts < c.ts OR f.ts = c.ts AND f.id < c.id)
+  WHERE NOT c.is_full)
+SELECT id AS record_id, canonical, ts,
+       CASE WHEN old_id IS NULL THEN 'no_response' WHEN tag = old_version THEN 'resolved' ELSE 'validator_mismatch' END AS verdict,
+       coalesce(old_id, -1) AS refers_to, coalesce(old_ts, -1) AS refers_ts,
+       CASE WHEN tag = old_version THEN old_digest END AS digest,
+       CASE WHEN tag = old_version THEN 'cache-control=max-age=60;content-length=' || old_length || ';content-type=text/html;date=' || ts
+            || ';etag=W/"' || tag || '"' END AS headers
+FROM j WHERE n = 1
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -44,4 +76,4 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
 FROM g
 """
 
-ORACLE: dict[str, str] = {"op6_benchmark_decontamination": OP6, "op7_chat_format": OP7}
+ORACLE: dict[str, str] = {"op1_warc_revisits": OP1, "op6_benchmark_decontamination": OP6, "op7_chat_format": OP7}
