@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, chosen_path, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff, warc_revisit
+from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff, warc_revisit
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +73,34 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similarity_join(table(spark, sf_dir, "documents"))
 
 
+RATE = 4000
+
+
+def recordings(vectors: DataFrame) -> DataFrame:
+    """(vec_id, pcm): each vector played as two voices, one note a component: its size and sign give the pitch."""
+
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        time = np.arange(RATE // 8) / RATE
+        for b in batches:
+            sounds = []
+            for vector in b.column(1):
+                x = np.array([v or 0.0 for v in vector.as_py() or []])
+                notes = 2 * np.minimum(np.abs(x) * 12, 5).astype(int) + (x < 0)
+                hertz = 220 * 2 ** (notes / 12)
+                low, high = hertz[: len(x) // 2], hertz[len(x) // 2 :][: len(x) // 2]
+                voices = np.sin(2 * np.pi * low[:, None] * time) + np.sin(2 * np.pi * high[:, None] * time)
+                sounds.append((voices.ravel() * 8000).astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sounds, pa.binary())], names=["vec_id", "pcm"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(play, "vec_id long, pcm binary")
+
+
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sounds = recordings(table(spark, sf_dir, "embeddings"))
+    found = chroma.search(sounds, F.col("id") % 100 == 0, id_col="vec_id", pcm_col="pcm", rate=RATE)
+    return found.select("vec_id", "class_id", "n_copies", F.coalesce(F.size("matches"), F.lit(0)).alias("n_matches"), "matches")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_suffix.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -135,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_chroma_fingerprints": op4_chroma_fingerprints,
     "op5_html_extraction": op5_html_extraction,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_chat_format": op7_chat_format,
