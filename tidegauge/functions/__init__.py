@@ -1,0 +1,3 @@
+"""Scalar and validation expressions over columns."""
+
+from tidegauge.functions.scalars import *  # noqa: F403
