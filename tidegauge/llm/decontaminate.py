@@ -28,14 +28,20 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import id_text_row, normalised, schema_of
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Fixed value: a word of the original text, before A-Z are lowered.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPAN = "array<struct<start:int,end:int>>"
 HITS = f"id long, n_words long, n_hit long, items array<string>, spans {SPAN}"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The normalised words, one character per UTF-8 byte; split as bytes, for which only ASCII is white space."""
+    return [w.decode("latin-1") for w in normalised(text).split()]
+
+
 def item_windows(text: str | None, size: int) -> set[str]:
     """The item's windows as ' w1 w2 ... ', one character per UTF-8 byte."""
-    words = normalised(text).decode("latin-1").split()
+    words = words_of(text)
     last = max(len(words) - size, 0)
     return {f" {' '.join(words[i : i + size])} " for i in range(last + 1)} if words else set()
 
@@ -116,7 +122,7 @@ def _by_automaton(source: DataFrame, windows: pd.DataFrame) -> DataFrame:
             texts, rows = b.column(1), []
             for at, i in enumerate(b.column(0).to_pylist()):
                 text = texts[at].as_py()
-                words = normalised(text).decode("latin-1").split()
+                words = words_of(text)
                 found = list(automaton.iter(f" {' '.join(words)} ")) if words and kept.value else []
                 if not found:
                     rows.append((i, len(words), 0, [], []))
@@ -146,7 +152,7 @@ def _by_join(source: DataFrame, windows: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, t in zip(b["id"], b["text"]):
-                words = normalised(t).decode("latin-1").split()
+                words = words_of(t)
                 key = zlib.crc32((t or "").encode())
                 rows = [(i, key, p, f" {' '.join(words[p : p + n])} ") for n in lengths for p in range(len(words) - n + 1)]
                 yield pd.DataFrame(rows, columns=["id", "key", "first", "window"])
