@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize, normalised, whole_groups
+from tidegauge.llm.common import id_text_row, materialize, normalised, whole_groups
 
 #: Bins of a sketch, and how far below the threshold a likely pair may be estimated (over four standard errors).
 SKETCH = 128
@@ -123,8 +123,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold
             names = ["id", "n_tokens", "set_hash", "sketch", "tokens", "leaves"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(sign, SIGNATURE)
+    return id_text_row(docs, id_col, text_col, carry=False).mapInArrow(sign, SIGNATURE)
 
 
 def forest(ids: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -173,8 +172,12 @@ def blocks_of(keyed: DataFrame, key: str, salt_of: str, block: int) -> DataFrame
         )
     )
     spread = sized.withColumn("mine", mine).withColumn("cell", F.explode(cells)).drop("count", "blocks")
-    spread = spread.withColumn("group", F.xxhash64(key, "cell.lo", "cell.hi"))
-    return spread.repartition("group").sortWithinPartitions("group", "id")
+    return spread.withColumn("group", F.xxhash64(key, "cell.lo", "cell.hi"))
+
+
+def gathered(keyed: DataFrame) -> DataFrame:
+    """Rows of one group next to each other."""
+    return keyed.repartition("group").sortWithinPartitions("group", "id")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,11 +254,17 @@ def similarity_join(
     repeats = repeats_for(recall, depth)
     signed = materialize(signatures(docs, id_col, text_col, size, threshold, depth, repeats), "signatures")
     copies = signed.where("n_tokens > 0").groupBy("set_hash").agg(F.min("id").alias("copy_of"))
-    heads = signed.join(copies.select(F.col("copy_of").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    leaves = heads.select("id", "sketch", F.explode("leaves").alias("leaf"))
-    busy = leaves.groupBy("leaf").count().where("count > 1").select("leaf")
-    met = leaves.join(busy, "leaf", "left_semi")
-    cells = blocks_of(met, "leaf", "id", block)
+    heads = copies.select("set_hash", F.col("copy_of").alias("id"))
+
+    def of_heads(*columns: str) -> DataFrame:
+        """One row per representative, of these columns alone: what is not asked for is not shuffled."""
+        return signed.select("id", "set_hash", *columns).join(heads, ["id", "set_hash"], "left_semi").drop("set_hash")
+
+    leaves = of_heads("leaves").select("id", F.explode("leaves").alias("leaf")).distinct()
+    # Sketches join the few ids that meet at a leaf; all leaves move without them.
+    cells = materialize(blocks_of(leaves, "leaf", "id", block).select("group", "id"), "cells")
+    met = signed.select("id", "sketch").join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
+    cells = cells.join(met, "id")
     least = threshold - MARGIN
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +279,11 @@ def similarity_join(
                 found += sketch_forest(ids[s:e], sketches[s:e], least)
             yield edge_batch(found, ["a", "b"])
 
-    likely = cells.select("group", "id", "sketch").mapInArrow(near, "a long, b long")
+    likely = gathered(cells.select("group", "id", "sketch")).mapInArrow(near, "a long, b long")
     groups = materialize(_rooted(components(likely)), "components")
 
-    sets = signed.select("id", "n_tokens", "tokens").join(groups.withColumnRenamed("node", "id"), "id")
-    sets = sets.dropDuplicates(["id"])
+    # The one shuffle of token sets; it meets the members of candidate sets only.
+    sets = signed.select("id", "n_tokens", "tokens").join(groups.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_groups(batches, "group"):
@@ -287,7 +296,7 @@ def similarity_join(
             yield edge_batch(found, ["id", "n_links", "to"])
 
     spread = blocks_of(sets, "root", "id", block // 2)
-    spread = spread.select("group", "id", "mine", "n_tokens", "tokens", "cell.lo", "cell.hi")
+    spread = gathered(spread.select("group", "id", "mine", "n_tokens", "tokens", "cell.lo", "cell.hi"))
     checked = spread.mapInArrow(verify, "id long, n_links long, to long")
     checked = materialize(checked, "links")
     counts = checked.groupBy("id").agg(F.sum("n_links").alias("n_links"))
