@@ -35,6 +35,12 @@ def test_no_passing_headroom_gives_no_recommendation(spark):
         reports.validated("recommendation", rows, ["headroom_percent"], numbers)
 
 
+def test_other_models_are_refused():
+    capacity.require_supported("Historical Hour-of-Day Mean")
+    with pytest.raises(capacity.UnsupportedModel):
+        capacity.require_supported("SARIMAX")
+
+
 def test_draws_are_repeatable_and_in_range(spark):
     a, b = (capacity.draws(spark, 7, 50).orderBy("forecast_horizon_hour", "simulation").collect() for _ in range(2))
     assert a == b and {r["vector"] for r in a} == set(range(7)) and len(a) == 24 * 50

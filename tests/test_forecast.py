@@ -45,6 +45,13 @@ def test_ties_share_a_rank_and_are_selected_by_name(spark):
     assert ranks == {"b": (1, True), "x": (1, False), "c": (3, False)}
 
 
+def test_published_metrics_are_confirmed(spark):
+    metrics = forecast.evaluate(spark.createDataFrame([("test", "m", 0, 0, "a", 0.0, 1.0), ("test", "m", 1, 1, "b", 2.0, 1.0)], RESULT))
+    assert forecast.reconcile(metrics, metrics).count() == 0
+    changed = metrics.withColumn("MAE", metrics["MAE"] + 0.1).where("Trigger != 'b'")
+    assert forecast.reconcile(changed, metrics).count() == 3
+
+
 def test_selection_never_reads_the_test_split(spark):
     rows = [("validation", "v", 0, 0, "a", 10.0, 10.0), ("validation", "t", 0, 0, "a", 10.0, 11.0)]
     rows += [("test", "v", 1, 1, "a", 10.0, 99.0), ("test", "t", 1, 1, "a", 10.0, 10.0)]

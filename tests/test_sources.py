@@ -35,6 +35,14 @@ def test_layouts_must_be_clear(spark, tmp_path):
         readers.discover(spark, str(tmp_path), "x.d*.csv", "x*.feather")
 
 
+def test_file_sets_and_headers(spark, tmp_path):
+    for name in ("a/x.d01.csv", "b/x.d01.csv", "x.d09.csv"):
+        write(tmp_path / name, "k,v\n1,2\n")
+    found = readers.file_report(spark, str(tmp_path), "x.d*.csv", ["x.d01.csv", "x.d02.csv"]).collect()
+    assert {tuple(r) for r in found} == {("x.d01.csv", "duplicate"), ("x.d02.csv", "missing"), ("x.d09.csv", "unexpected")}
+    assert readers.missing_columns(spark, str(tmp_path / "x.d09.csv"), ["k", "w"]) == ["w"]
+
+
 def test_feather_scan_projects(spark, tmp_path):
     table = pa.table({"HashApp": ["f", "g"], "day": pa.array([1, 2], pa.int64()), "unused": [0.0, 1.0]})
     with pa.ipc.new_file(str(tmp_path / "x.feather"), table.schema) as out:

@@ -13,6 +13,16 @@ DEMAND = "workload demand proxy in compute-seconds per hour"
 CAPACITY = "required workload-serving capacity in normalized compute-seconds per hour"
 
 
+class UnsupportedModel(ValueError):
+    """The simulation has no point forecast for the selected model."""
+
+
+def require_supported(selected: str) -> None:
+    """Only the hour-of-day mean has a future point forecast; another selection must not be replaced in silence."""
+    if selected != HOURLY_MEAN:
+        raise UnsupportedModel(f"selected {selected!r}, only {HOURLY_MEAN!r} can be simulated")
+
+
 def future_points(panel: DataFrame, hours: int) -> DataFrame:
     """The next day per trigger from means over all observed hours, and their sum."""
     means = hourly_means(panel)

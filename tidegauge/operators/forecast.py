@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions import ratio
+from tidegauge.functions import close, ratio
 from tidegauge.operators.features import by_trigger
 from tidegauge.schema import TOTAL
 
@@ -113,6 +113,19 @@ def selection_record(evaluated: DataFrame) -> DataFrame:
     )
 
 
+def reconcile(published: DataFrame, recomputed: DataFrame, rtol: float = 1e-10, atol: float = 1e-6) -> DataFrame:
+    """Published metric rows that recomputation does not confirm, and recomputed ones that were not published."""
+    keys = ["split", "model", "aggregation_level", "Trigger"]
+    names = ["MAE", "RMSE", "WAPE"]
+    other = recomputed.select(*keys, *(F.col(m).alias(f"again_{m}") for m in names), F.lit(True).alias("again"))
+    both = published.withColumn("published", F.lit(True)).join(other, keys, "full")
+    equal = F.col("published") & F.col("again")
+    for m in names:
+        a, b = F.col(m), F.col(f"again_{m}")
+        equal = equal & F.coalesce(close(a, b, rtol, atol), a.isNull() & b.isNull())
+    return both.where(~F.coalesce(equal, F.lit(False))).select(*keys)
+
+
 def selected_predictions(predictions: DataFrame, evaluated: DataFrame) -> DataFrame:
     chosen = F.broadcast(select_model(evaluated).select("model"))  # one row
     return predictions.where("split = 'test'").join(chosen, "model").select(*RESULT)

@@ -39,6 +39,19 @@ def discover(spark: SparkSession, root: str, csv_pattern: str, feather_pattern:
     return ("csv", csvs) if csvs else ("feather", feathers)
 
 
+def file_report(spark: SparkSession, root: str, pattern: str, expected: list[str]) -> DataFrame:
+    """(name, state) of files that are missing, unexpected or there more than once."""
+    found = list_files(spark, root, pattern).groupBy("name").count()
+    wanted = spark.createDataFrame([(n,) for n in expected], "name string").withColumn("wanted", F.lit(True))
+    state = F.when(F.col("count").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected").when(F.col("count") > 1, "duplicate")
+    return found.join(wanted, "name", "full").select("name", state.alias("state")).where("state is not null")
+
+
+def missing_columns(spark: SparkSession, path: str, required: list[str]) -> list[str]:
+    """Required columns that the header of a CSV file lacks."""
+    return sorted(set(required) - set(header(spark, path)))
+
+
 def daily_csv(spark: SparkSession, paths: list[str], schema: str, columns: list[str]) -> DataFrame:
     """Projected scan of daily CSVs; the trace day comes from the file name."""
     rows = spark.read.schema(schema).option("header", True).csv(paths)
