@@ -40,8 +40,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Bound what one Arrow batch brings into a Python worker; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def id_text_row(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
     """(id, text), and with ``carry`` the whole row as one struct: it needs no join back, and no name can clash."""
+    small_batches(docs)
     row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), *row)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize
+from tidegauge.llm.common import materialize, small_batches
 
 #: Elements whose content is never text, that are never text outside or inside an article, and that end a block.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noframes", "noembed"}
@@ -220,6 +220,7 @@ def extract(
             columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_repeated"])
 
+    small_batches(pages)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parsed = materialize(source.mapInArrow(parse, EXTRACTED), "blocks")
     array = parsed.select("page_id", "host", "kinds", "blocks", "open").mapInArrow(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import id_text_row, schema_of
+from tidegauge.llm.common import id_text_row, schema_of, small_batches
 
 BUCKETS = 1 << 16
 #: Code points with their own case and letter entries; those above are letters of script 0.
@@ -48,6 +48,8 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)],
 }
 N_SCRIPTS = len(SCRIPTS) + 1
+#: Words of all texts that advance together, padding included: bounds the memory of a pass.
+WORDS_AT_ONCE = 300_000
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
@@ -104,6 +106,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             columns = [pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(row[keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "n"])
 
+    small_batches(labelled)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
@@ -142,12 +145,12 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """Best label of every word of every text. Texts advance together, longest first, so a step is one array operation."""
     order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
     out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(scores)
-    for lo in range(0, len(order), 256):
-        part = order[lo : lo + 256]
+    at = 0
+    while at < len(order) and len(scores[order[at]]):
+        part = order[at : at + max(1, WORDS_AT_ONCE // len(scores[order[at]]))]
+        at += len(part)
         sizes = np.array([len(scores[k]) for k in part])
         longest, n = int(sizes[0]), scores[part[0]].shape[1]
-        if not longest:
-            break
         cube = np.zeros((longest, len(part), n), dtype=np.float32)
         for j, k in enumerate(part):
             cube[: sizes[j], j] = scores[k]

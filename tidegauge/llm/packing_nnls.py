@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize
+from tidegauge.llm.common import id_text_row, materialize
 
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Fixed value: the cut into words that belongs to this family of byte-level vocabularies.
@@ -83,8 +83,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
             names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(cut, PIECE)
+    return id_text_row(docs, id_col, text_col, carry=False).mapInArrow(cut, PIECE)
 
 
 def combinations(bins: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize
+from tidegauge.llm.common import id_text_row, materialize
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "long_words", "short_words", "upper", "digits", "punctuation", "symbols", "bangs", "bars",
@@ -86,8 +86,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = [statistics(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(measure, "id long, x array<double>")
+    return id_text_row(docs, id_col, text_col, carry=False).mapInArrow(measure, "id long, x array<double>")
 
 
 @dataclass
