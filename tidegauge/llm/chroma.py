@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize
+from tidegauge.llm.common import materialize, small_batches
 
 FRAME, HOP, WIDTH = 1024, 256, 12
 
@@ -101,13 +101,14 @@ def fingerprints(audio: DataFrame, *, id_col: str, pcm_col: str, rate: int) -> D
                 codes.append(packed(chroma(samples / 32768, rate)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
 
+    small_batches(audio)
     source = audio.select(F.col(id_col).cast("long").alias("id"), F.col(pcm_col).alias("pcm"))
     return source.mapInArrow(take, "id long, codes array<long>")
 
 
 def keys_of(codes: DataFrame, bits: int, sample: int) -> DataFrame:
     """(class, key, at): the parts of integers that lookups use. One key in ``sample`` counts, the same ones for every recording."""
-    parts = [(0, bits), (32 - bits, bits)]
+    parts = sorted({(0, bits), (32 - bits, bits)})  # low and high bits, or the whole integer
     code = codes.select("class", F.posexplode("codes").alias("at", "code"))
     keys = F.array(*(F.shiftleft(F.shiftright("code", s).bitwiseAND((1 << n) - 1), 1) + k for k, (s, n) in enumerate(parts)))
     keyed = code.select("class", "at", F.explode(keys).alias("key"))
@@ -123,7 +124,7 @@ def bit_errors(a: Column, b: Column, offset: Column) -> Column:
 
 
 def align(
-    codes: DataFrame, queries: Column, *, bits: int = 20, sample: int = 2, votes: int = 1, most_errors: float = 0.15, overlap: int = 24
+    codes: DataFrame, queries: Column, *, bits: int = 32, sample: int = 1, votes: int = 1, most_errors: float = 0.15, overlap: int = 24
 ) -> DataFrame:
     """Matches between classes: (query_class, match_class, offset, votes, bit_error_rate); and ``classes`` for membership.
 
