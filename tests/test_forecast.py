@@ -84,3 +84,44 @@ def test_recursive_features_equal_the_panel_features(spark):
     want = features.engineer(panel_rows).where("hour_index = 119").first()
     found = gbdt.row_of(119, series[:119], series[95])
     assert found == pytest.approx([want[c] for c in FEATURES])
+
+
+def test_the_declared_trees_grow_at_the_declared_rate():
+    import pandas as pd
+
+    from tidegauge.schema import FEATURES
+
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame(rng.normal(size=(400, len(FEATURES))), columns=list(FEATURES))
+    rows = rows.assign(hour_index=np.arange(400), Trigger=np.where(np.arange(400) % 2, "a", "b"))
+    rows["compute_seconds"] = np.where(rows["lag_1"] > 0, 10.0, 0.0) + 5 * (rows["Trigger"] == "a")
+    for config in gbdt.CONFIGS:
+        model = gbdt.fit(rows, ["a", "b"], config)
+        assert len(model.trees) == config[3] == {"lgbm_1": 200, "lgbm_2": 300, "lgbm_3": 400, "lgbm_4": 400}[config[0]]
+        x = np.column_stack([rows["Trigger"] == "b", rows[list(FEATURES)]]).astype(float)
+        assert np.abs(model.predict(x) - rows["compute_seconds"]).max() < 0.5
+        assert set(np.argsort(-model.gains)[:2]) == {0, 1 + FEATURES.index("lag_1")}
+
+
+def test_trees_split_as_a_search_over_all_thresholds():
+    from tidegauge.operators.leafwise import Trees
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 3, 60), rng.integers(0, 9, 60)]).astype(float)
+    y = rng.normal(size=60) + x[:, 1]
+    model = Trees(x, y, leaves=2, rate=1.0, trees=1, least=5, share=1.0, penalty=1.0, seed=1)
+    r, best = y - y.mean(), 0.0
+    sides = [x[:, 1] <= k for k in range(9)] + [np.isin(x[:, 0], c) for c in ([0], [1], [2])]
+    for side in sides:
+        if 5 <= side.sum() <= 55:
+            parts = sum(r[s].sum() ** 2 / (s.sum() + 1) for s in (side, ~side))
+            best = max(best, parts - r.sum() ** 2 / 61)
+    assert model.gains.sum() == pytest.approx(best)
+
+
+def test_the_tree_configuration_is_the_one_of_least_validation_error(spark):
+    from tidegauge.plans import pipeline
+
+    error = {"lgbm_1": 3.0, "lgbm_2": 1.0, "lgbm_3": -1.0, "lgbm_4": 2.0}
+    rows = [("validation", "LightGBM", c, h, h, 1, "a", 10.0, 10.0 + e, False) for c, e in error.items() for h in range(3)]
+    assert pipeline.gbdt_choice(spark.createDataFrame(rows, gbdt.SCHEMA))[0] == "lgbm_2"

@@ -4,41 +4,35 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators.leafwise import Trees
 from tidegauge.schema import FEATURES, GBDT, HORIZON, LAGS, MEAN_WINDOWS, STD_WINDOWS
 
-#: Declared candidates (name, leaves, learning rate, trees, least rows of a leaf, share of features).
+#: Declared candidates (name, leaves, learning rate, trees, least rows of a leaf, share of features, L2 term).
 CONFIGS = (
-    ("lgbm_1", 15, 0.05, 200, 20, 0.9),
-    ("lgbm_2", 31, 0.05, 300, 20, 0.9),
-    ("lgbm_3", 15, 0.03, 400, 10, 1.0),
-    ("lgbm_4", 31, 0.03, 400, 30, 0.8),
+    ("lgbm_1", 15, 0.05, 200, 20, 0.9, 1.0),
+    ("lgbm_2", 31, 0.05, 300, 20, 0.9, 1.0),
+    ("lgbm_3", 15, 0.03, 400, 10, 1.0, 0.0),
+    ("lgbm_4", 31, 0.03, 400, 30, 0.8, 2.0),
 )
 SCHEMA = (
     "split string, model string, candidate_id string, hour_index int, hour_of_day int, forecast_window int, Trigger string, "
     "actual_compute_seconds double, predicted_compute_seconds double, was_clipped_to_zero boolean"
 )
+GAINS = "rank int, feature string, gain double, gain_percentage double"
 
 
-def fit(rows: DataFrame, config: tuple, effort: float, seed: int = 42):
-    """Pipeline model of rows without nulls. ``effort`` scales the number of trees, and the learning rate inversely."""
-    name, leaves, rate, trees, least, share = config
-    stages = [
-        StringIndexer(inputCol="Trigger", outputCol="trigger_code", stringOrderType="alphabetAsc", handleInvalid="error"),
-        VectorAssembler(inputCols=["trigger_code", *FEATURES], outputCol="x"),
-        GBTRegressor(
-            featuresCol="x", labelCol="compute_seconds", maxIter=max(1, round(trees * effort)), stepSize=min(0.5, rate / effort),
-            maxDepth=math.ceil(math.log2(leaves)), minInstancesPerNode=least, featureSubsetStrategy=str(share) if share < 1 else "all",
-            seed=seed, cacheNodeIds=True,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(rows.dropna(subset=list(FEATURES)))
+def fit(rows: pd.DataFrame, triggers: list[str], config: tuple, seed: int = 42) -> Trees:
+    """The declared number of trees at the declared rate over the rows without nulls."""
+    _, leaves, rate, trees, least, share, penalty = config
+    rows = rows.dropna(subset=list(FEATURES)).sort_values(["hour_index", "Trigger"])
+    x = np.column_stack([rows["Trigger"].map({t: k for k, t in enumerate(triggers)}), rows[list(FEATURES)]]).astype(float)
+    y = rows["compute_seconds"].to_numpy(dtype=float)
+    return Trees(x, y, leaves=leaves, rate=rate, trees=trees, least=least, share=share, penalty=penalty, seed=seed)
 
 
 def mean(x: list[float]) -> float:
@@ -67,36 +61,53 @@ def row_of(hour: int, series: list[float], day_before: float) -> list[float]:
     ]
 
 
-def rolling(features: DataFrame, demand: DataFrame, split: str, config: tuple, effort: float) -> DataFrame:
-    """Windows of a day: refit on what precedes, then predict hour by hour; all triggers advance together.
+def window(panel: pd.DataFrame, split: str, config: tuple, number: int, lo: int, hi: int) -> pd.DataFrame:
+    """Fit on what precedes ``lo``, then predict hour by hour until ``hi``; all triggers advance together."""
+    triggers = sorted(panel["Trigger"].unique())
+    model = fit(panel[panel["featured"] & (panel["hour_index"] < lo)], triggers, config)
+    actual = {(t, h): y for t, h, y in zip(panel["Trigger"], panel["hour_index"], panel["compute_seconds"])}
+    history = {t: [actual[t, h] for h in range(lo)] for t in triggers}
+    out = []
+    for hour in range(lo, hi + 1):
+        day_before = sum(history[t][-24] for t in triggers)
+        raw = model.predict(np.array([[code, *row_of(hour, history[t], day_before)] for code, t in enumerate(triggers)], dtype=float))
+        for t, v in zip(triggers, raw.tolist()):
+            history[t].append(max(v, 0.0))
+            out.append((split, GBDT, config[0], hour, hour % 24, number, t, actual[t, hour], max(v, 0.0), v < 0))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
 
-    The panel (hours x triggers, bounded by calendar and vocabulary) is on the driver for the 24 dependent steps.
-    """
-    spark = features.sparkSession
-    triggers = sorted(r[0] for r in demand.select("Trigger").distinct().collect())
+def whole_panel(features: DataFrame, demand: DataFrame) -> DataFrame:
+    """Every hour's demand, with its features where it has some."""
+    known = features.select("hour_index", "Trigger", *FEATURES, F.lit(True).alias("featured"))
+    joined = demand.select("hour_index", "Trigger", "compute_seconds").join(known.withColumnRenamed("hour_of_day", "_hour"), ["hour_index", "Trigger"], "left")
+    return joined.withColumnRenamed("_hour", "hour_of_day").withColumn("featured", F.coalesce("featured", F.lit(False)))
+
+
+def rolling(features: DataFrame, demand: DataFrame, split: str, configs: tuple) -> DataFrame:
+    """Windows of a day, each refit on what precedes it. One configuration's window is a task; a task holds the panel (hours x triggers)."""
     bounds = features.where(F.col("split") == split).agg(F.min("hour_index"), F.max("hour_index")).first()
-    cells = demand.where(F.col("hour_index") <= bounds[1]).select("Trigger", "hour_index", "compute_seconds").collect()
-    actual = {(r[0], r[1]): r[2] for r in cells}
-    known = features.cache()
-    out = []
-    for window, lo in enumerate(range(bounds[0], bounds[1] + 1, HORIZON), 1):
-        trees = fit(known.where(F.col("hour_index") < lo), config, effort).stages[-1]
-        history = {t: [actual[t, h] for h in range(lo)] for t in triggers}
-        for hour in range(lo, min(lo + HORIZON, bounds[1] + 1)):
-            day_before = sum(history[t][-24] for t in triggers)
-            raw = [trees.predict(Vectors.dense([code, *row_of(hour, history[t], day_before)])) for code, t in enumerate(triggers)]
-            for t, v in zip(triggers, raw):
-                history[t].append(max(v, 0.0))
-                out.append((split, GBDT, config[0], hour, hour % 24, window, t, actual[t, hour], max(v, 0.0), v < 0))
-    known.unpersist()
-    return spark.createDataFrame(out, SCHEMA)
-
-
-def importance(model, features: DataFrame) -> DataFrame:
-    """(rank, feature, gain, gain_percentage): normalised gain of every predictor, ties in predictor order."""
-    gains = model.stages[-1].featureImportances.toArray()
+    starts = range(bounds[0], bounds[1] + 1, HORIZON)
+    rows = [(k, n, lo, min(lo + HORIZON - 1, bounds[1])) for k in range(len(configs)) for n, lo in enumerate(starts, 1)]
+    spark = features.sparkSession
+    jobs = spark.createDataFrame(rows, "config int, number int, lo int, hi int")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return window(pdf, split, configs[int(key[0])], int(key[1]), int(key[2]), int(key[3]))
+
+    asked = whole_panel(features, demand).join(F.broadcast(jobs), F.col("hour_index") <= F.col("hi"))
+    return asked.repartition(4 * len(rows), "config", "number").groupBy("config", "number", "lo", "hi").applyInPandas(run, SCHEMA)
+
+
+def importance(features: DataFrame, config: tuple) -> DataFrame:
+    """(rank, feature, gain, gain_percentage) of the fit on all hours before the test hours: normalised gain of every predictor, ties in predictor order."""
     names = ["Trigger", *FEATURES]
-    order = sorted(range(len(names)), key=lambda k: -gains[k])
-    total = gains.sum() or 1.0
-    rows = [(n, names[k], float(gains[k]), float(100 * gains[k] / total)) for n, k in enumerate(order, 1)]
-    return features.sparkSession.createDataFrame(rows, "rank int, feature string, gain double, gain_percentage double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        gains = fit(pdf, sorted(pdf["Trigger"].unique()), config).gains
+        gains = gains / (gains.sum() or 1.0)
+        order = sorted(range(len(names)), key=lambda k: -gains[k])
+        out = [(n, names[k], gains[k], 100 * gains[k]) for n, k in enumerate(order, 1)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in GAINS.split(", ")])
+
+    return features.where("split != 'test'").groupBy().applyInPandas(run, GAINS)

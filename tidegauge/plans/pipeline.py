@@ -11,8 +11,6 @@ from tidegauge.sources import adapter
 from tidegauge.streaming import hourly
 
 HOURS = adapter.HOURS
-#: Share of the declared trees that the registered tree queries grow (their learning rate grows inversely).
-EFFORT = 0.05
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -289,25 +287,29 @@ def sarimax_test(spark: SparkSession, d: str) -> DataFrame:
     return sarimax.predict(rows, "test", sarimax.select_orders(rows))
 
 
-def gbdt_choice(spark: SparkSession, d: str) -> tuple:
+def gbdt_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Validation predictions of every declared configuration, computed once (configurations x hours x triggers, on the driver)."""
+    found = gbdt.rolling(model_features(spark, d), hourly_demand(spark, d), "validation", gbdt.CONFIGS)
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def gbdt_choice(validated: DataFrame) -> tuple:
     """The declared configuration with least total validation WAPE, the first of equals."""
-    rows, base = model_features(spark, d), hourly_demand(spark, d)
-    scores = {}
-    for config in gbdt.CONFIGS:
-        found = forecast.evaluate(gbdt.rolling(rows, base, "validation", config, EFFORT))
-        scores[config] = found.where("aggregation_level = 'total_demand'").first()["WAPE"]
-    if any(v is None for v in scores.values()):
+    found = forecast.evaluate(validated.withColumn("model", F.col("candidate_id"))).where("aggregation_level = 'total_demand'")
+    scores = {r["model"]: r["WAPE"] for r in found.collect()}
+    if any(scores.get(config[0]) is None for config in gbdt.CONFIGS):
         raise ValueError("a configuration has no validation WAPE")
-    return min(scores, key=scores.get)
+    return min(gbdt.CONFIGS, key=lambda config: scores[config[0]])
 
 
 def gbdt_test(spark: SparkSession, d: str) -> DataFrame:
-    return gbdt.rolling(model_features(spark, d), hourly_demand(spark, d), "test", gbdt.CONFIGS[0], EFFORT)
+    chosen = gbdt_choice(gbdt_validation(spark, d))
+    return gbdt.rolling(model_features(spark, d), hourly_demand(spark, d), "test", (chosen,))
 
 
 def gbdt_importance(spark: SparkSession, d: str) -> DataFrame:
-    rows = model_features(spark, d)
-    return gbdt.importance(gbdt.fit(rows.where("split = 'train'"), gbdt.CONFIGS[0], EFFORT), rows)
+    """Gains of the model that precedes the test hours."""
+    return gbdt.importance(model_features(spark, d), gbdt_choice(gbdt_validation(spark, d)))
 
 
 def streaming_hourly(spark: SparkSession, d: str) -> DataFrame:
