@@ -125,3 +125,23 @@ def test_the_tree_configuration_is_the_one_of_least_validation_error(spark):
     error = {"lgbm_1": 3.0, "lgbm_2": 1.0, "lgbm_3": -1.0, "lgbm_4": 2.0}
     rows = [("validation", "LightGBM", c, h, h, 1, "a", 10.0, 10.0 + e, False) for c, e in error.items() for h in range(3)]
     assert pipeline.gbdt_choice(spark.createDataFrame(rows, gbdt.SCHEMA))[0] == "lgbm_2"
+
+
+def test_a_comparison_refuses_to_leave_a_model_out(spark):
+    rows = [(s, m, h, h, "a", 1.0, 1.0) for s in ("validation", "test") for m in ("x", "y") for h in range(2)]
+    forecast.require_models(spark.createDataFrame(rows, RESULT), ("x", "y"))
+    for wrong in (rows[:-1], rows + rows[-1:], rows[:6]):
+        with pytest.raises(forecast.MissingModel):
+            forecast.require_models(spark.createDataFrame(wrong, RESULT), ("x", "y"))
+    with pytest.raises(forecast.MissingModel):
+        forecast.require_models(spark.createDataFrame(rows, RESULT), ("x", "y", "z"))
+
+
+def test_four_models_are_compared(spark, data):
+    from tidegauge.catalog import QUERIES
+
+    rows = QUERIES["bi_model_performance_all_models"](spark, data).collect()
+    models = {"Seasonal Naive", "Historical Hour-of-Day Mean", "SARIMAX", "LightGBM"}
+    found = {(r["model"], r["dataset_split"]) for r in rows}
+    assert found == {(m, s) for m in models for s in ("validation", "test")}
+    assert len(rows) == 4 * 2 * 6  # five triggers and the total

@@ -56,6 +56,15 @@ QUERIES: dict[str, Query] = {
         "bi_model_performance": p.bi_model_performance,
         "bi_forecast_vs_actual": p.bi_forecast_vs_actual,
         "bi_forecast_vs_actual_all_models": p.bi_forecast_vs_actual_all_models,
+        "model_metrics_all_models": p.metrics_all_models,
+        "model_ranking_all_models": p.ranking_all_models,
+        "model_ranking_by_trigger_all_models": p.ranking_by_trigger_all_models,
+        "model_selection_all_models": p.selection_all_models,
+        "selected_test_predictions_all_models": p.selected_predictions_all_models,
+        "bi_model_performance_all_models": p.bi_model_performance_all_models,
+        "measure_kpis_all_models": p.measure_kpis_all_models,
+        "visual_test_metrics_all_models": p.visual_test_metrics_all_models,
+        "visual_forecasts_by_hour_all_models": p.visual_forecasts_by_hour_all_models,
         "bi_future_forecast": p.bi_future_forecast,
         "bi_capacity_scenarios": p.bi_capacity_scenarios,
         "bi_capacity_recommendation": p.recommended,

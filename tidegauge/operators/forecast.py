@@ -73,6 +73,22 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return one.select(*order).unionByName(whole.select(*order))
 
 
+class MissingModel(ValueError):
+    """A model that must be compared has no or other predictions."""
+
+
+def require_models(predictions: DataFrame, models: tuple[str, ...]) -> None:
+    """Every model must predict the same hours and triggers of both splits, once each."""
+    keys = ["split", "hour_index", "Trigger"]
+    cells = predictions.groupBy("split", "model").agg(F.count("*").alias("n"), F.countDistinct(*keys).alias("distinct"))
+    whole = {r["split"]: r["n"] for r in predictions.select(*keys).distinct().groupBy("split").agg(F.count("*").alias("n")).collect()}
+    found = {(r["split"], r["model"]): (r["n"], r["distinct"]) for r in cells.collect()}
+    for split in ("validation", "test"):
+        for model in models:
+            if not whole.get(split) or found.get((split, model)) != (whole[split], whole[split]):
+                raise MissingModel(f"{model}: {split} predictions are missing or repeated")
+
+
 def rank_models(evaluated: DataFrame) -> DataFrame:
     """Total metrics with the rank of validation WAPE (ties share the lowest) and the selection."""
     total = evaluated.where(F.col("Trigger") == TOTAL)

@@ -216,15 +216,77 @@ def bi_forecast_vs_actual(spark: SparkSession, d: str) -> DataFrame:
     return reports.forecast_vs_actual(rows, chosen["model"], {"baseline_forecast": SEASONAL})
 
 
-def bi_forecast_vs_actual_all_models(spark: SparkSession, d: str) -> DataFrame:
-    known = ["split", "model", "hour_index", "hour_of_day", "Trigger", "actual_compute_seconds", "predicted_compute_seconds"]
-    base = predictions(spark, d)
-    rows = base.unionByName(sarimax_test(spark, d).select(*known)).unionByName(gbdt_test(spark, d).select(*known))
-    chosen = forecast.select_model(forecast.evaluate(base)).first()
+def all_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Validation and test predictions of the four compared models, computed once (models x hours x triggers, on the driver)."""
+    rows, known, base = sarimax_panel(spark, d), model_features(spark, d), hourly_demand(spark, d)
+    orders = sarimax.select_orders(rows)
+    validated = gbdt_validation(spark, d)
+    chosen = gbdt_choice(validated)
+    parts = [
+        sarimax.predict(rows, "validation", orders),
+        sarimax.predict(rows, "test", orders),
+        validated.where(F.col("candidate_id") == chosen[0]),
+        gbdt.rolling(known, base, "test", (chosen,)),
+    ]
+    out = predictions(spark, d)
+    for part in parts:
+        out = out.unionByName(part.select(*forecast.RESULT))
+    found = spark.createDataFrame(out.collect(), out.schema)
+    forecast.require_models(found, (SEASONAL, HOURLY_MEAN, SARIMAX, GBDT))
+    return found
+
+
+def metrics_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.evaluate(all_predictions(spark, d))
+
+
+def ranking_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.rank_models(metrics_all_models(spark, d))
+
+
+def ranking_by_trigger_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.rank_by_trigger(metrics_all_models(spark, d))
+
+
+def selection_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.selection_record(metrics_all_models(spark, d))
+
+
+def selected_predictions_all_models(spark: SparkSession, d: str) -> DataFrame:
+    rows = all_predictions(spark, d)
+    return forecast.selected_predictions(rows, forecast.evaluate(rows))
+
+
+def bi_model_performance_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return reports.model_performance(metrics_all_models(spark, d))
+
+
+def versus_all_models(rows: DataFrame) -> DataFrame:
+    chosen = forecast.select_model(forecast.evaluate(rows)).first()
     columns = {"baseline_forecast": SEASONAL, "SARIMAX_forecast": SARIMAX, "LightGBM_forecast": GBDT}
     return reports.forecast_vs_actual(rows, chosen["model"], columns)
 
 
+def bi_forecast_vs_actual_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return versus_all_models(all_predictions(spark, d))
+
+
+def measure_kpis_all_models(spark: SparkSession, d: str) -> DataFrame:
+    rows = all_predictions(spark, d)
+    return reports.kpis(versus_all_models(rows), reports.model_performance(forecast.evaluate(rows)), recommended(spark, d))
+
+
+def visual_test_metrics_all_models(spark: SparkSession, d: str) -> DataFrame:
+    rows = bi_model_performance_all_models(spark, d)
+    mae, rmse, wape = (reports.test_metric_by_model(rows, m) for m in ("MAE", "RMSE", "WAPE"))
+    return mae.join(rmse, "model").join(wape, "model")
+
+
+def visual_forecasts_by_hour_all_models(spark: SparkSession, d: str) -> DataFrame:
+    rows = bi_forecast_vs_actual_all_models(spark, d)
+    return reports.forecasts_by_hour(rows, ["baseline_forecast", "SARIMAX_forecast", "LightGBM_forecast"])
+
+
 def bi_future_forecast(spark: SparkSession, d: str) -> DataFrame:
     return reports.future_forecast(intervals(spark, d))
 
