@@ -139,6 +139,18 @@ def test_recordings_align_at_their_offset(spark):
     assert found[2]["matches"] is None and found[8]["class_id"] is None
 
 
+@pytest.mark.parametrize("short", [512, 1])
+def test_recordings_with_noise_in_every_frame_are_found(spark, short):
+    rng = np.random.default_rng(7)
+    first = rng.integers(0, 2**32, 60, dtype=np.uint32)
+    noisy = first ^ (np.uint32(1) << rng.integers(0, 12, 60).astype(np.uint32))  # no whole integer is equal
+    shifted = np.concatenate([rng.integers(0, 2**32, 5, dtype=np.uint32), noisy])
+    rows = [(0, first), (1, noisy), (2, shifted), (3, rng.integers(0, 2**32, 60, dtype=np.uint32))]
+    codes = spark.createDataFrame([(i, c.astype(np.int64).tolist()) for i, c in rows], "id long, codes array<long>")
+    found = {r["match_class"]: r for r in chroma.align(codes, F.col("id") == 0, short=short).collect()}
+    assert {k: (r["offset"], r["votes"], r["bit_error_rate"]) for k, r in found.items()} == {1: (0, 60, 1 / 32), 2: (5, 60, 1 / 32)}
+
+
 def test_integral_image_equals_plain_sums():
     frames = np.random.default_rng(3).random((40, 12)).astype(np.float32)
     codes = chroma.packed(frames)

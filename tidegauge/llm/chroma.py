@@ -4,8 +4,9 @@ A recording becomes pitch-class frames (12 energies a frame); rectangles of the
 frames are summed on an integral image; 16 differences of rectangle sums, two
 bits each, pack into one integer a frame. To align, recordings of equal
 fingerprints form one class; integers of query classes meet those of all
-classes on parts of their bits in an equi-join; the histogram of frame offsets
-proposes the alignments, and bit errors over the overlap decide.
+classes on parts of their bits in an equi-join. Only pairs of classes leave that
+join, each once. The histogram of frame offsets of a pair is made where the pair
+is decided: it proposes the alignments, and bit errors over the overlap decide.
 
 A null, empty or too short recording has no fingerprint and no match. Silence
 gives equal integers everywhere: a class holds all silent recordings of one
@@ -106,31 +107,55 @@ def fingerprints(audio: DataFrame, *, id_col: str, pcm_col: str, rate: int) -> D
     return source.mapInArrow(take, "id long, codes array<long>")
 
 
-def keys_of(codes: DataFrame, bits: int, sample: int) -> DataFrame:
-    """(class, key, at): the parts of integers that lookups use. One key in ``sample`` counts, the same ones for every recording."""
-    parts = sorted({(0, bits), (32 - bits, bits)})  # low and high bits, or the whole integer
-    code = codes.select("class", F.posexplode("codes").alias("at", "code"))
-    keys = F.array(*(F.shiftleft(F.shiftright("code", s).bitwiseAND((1 << n) - 1), 1) + k for k, (s, n) in enumerate(parts)))
-    keyed = code.select("class", "at", F.explode(keys).alias("key"))
-    return keyed.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0)
+def parts_of(bits: int) -> list[int]:
+    """Where the parts of integers begin that lookups use: low and high bits, or the whole integer."""
+    return sorted({0, 32 - bits})
 
 
-def bit_errors(a: Column, b: Column, offset: Column) -> Column:
-    """Share of differing bits over the frames that overlap when ``b`` is moved back by ``offset`` frames."""
-    first_a, first_b = F.greatest(-offset, F.lit(0)), F.greatest(offset, F.lit(0))
-    n = F.least(F.size(a) - first_a, F.size(b) - first_b)
-    pairs = F.zip_with(F.slice(a, first_a + 1, n), F.slice(b, first_b + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(pairs, F.lit(0), lambda s, x: s + x) / (32.0 * n)
+def keys_of(codes: DataFrame, bits: int) -> DataFrame:
+    """(class, key): the distinct parts of a class's integers."""
+    code = codes.select("class", F.explode(F.array_distinct("codes")).alias("code"))
+    keys = F.array(*(F.shiftleft(F.shiftright("code", s).bitwiseAND((1 << bits) - 1), 1) + k for k, s in enumerate(parts_of(bits))))
+    return code.select("class", F.explode(keys).alias("key")).distinct()
+
+
+def voted_offsets(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """All ``place in b - place in a`` of equal parts of one pair, ascending."""
+    found = [np.zeros(0, dtype=np.int64)]
+    for s in parts_of(bits):
+        x, y = (c >> np.uint32(s) & np.uint32((1 << bits) - 1) for c in (a, b))
+        order = np.argsort(y, kind="stable")
+        lo, hi = np.searchsorted(y[order], x, side="left"), np.searchsorted(y[order], x, side="right")
+        found += [order[p:q] - i for i, (p, q) in enumerate(zip(lo, hi)) if q > p]
+    return np.unique(np.concatenate(found))
+
+
+def best_offsets(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, bits: int, votes: int, overlap: int) -> tuple[np.ndarray, ...]:
+    """(offset, votes, share of differing bits) by pair (row) of equally long integers; a share of 2 where no offset qualifies."""
+    best, won, share = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64), np.full(len(a), 2.0)
+    for offset in sorted(offsets.tolist(), key=lambda k: (abs(k), k)):
+        first_a, first_b = max(-offset, 0), max(offset, 0)
+        n = min(a.shape[1] - first_a, b.shape[1] - first_b)
+        if n < max(overlap, 1):
+            continue
+        x = a[:, first_a : first_a + n] ^ b[:, first_b : first_b + n]
+        mask = np.uint32((1 << bits) - 1)
+        equal = sum(((x >> np.uint32(s) & mask) == 0).sum(axis=1) for s in parts_of(bits))
+        errors = np.bitwise_count(x).sum(axis=1, dtype=np.int64) / (32.0 * n)
+        better = (equal >= votes) & (errors < share)
+        best[better], won[better], share[better] = offset, equal[better], errors[better]
+    return best, won, share
 
 
 def align(
-    codes: DataFrame, queries: Column, *, bits: int = 32, sample: int = 1, votes: int = 1, most_errors: float = 0.15, overlap: int = 24
+    codes: DataFrame, queries: Column, *, bits: int = 20, votes: int = 1, most_errors: float = 0.15, overlap: int = 24, short: int = 512
 ) -> DataFrame:
     """Matches between classes: (query_class, match_class, offset, votes, bit_error_rate); and ``classes`` for membership.
 
     ``codes`` are rows of ``fingerprints``; ``queries`` says which ids ask. The
     best offset of a pair is the one with fewest bit errors among those with
-    ``votes`` equal keys and ``overlap`` frames in common.
+    ``votes`` equal keys and ``overlap`` frames in common. Pairs of up to
+    ``short`` integers together try all offsets, many pairs at a time.
     """
     known = materialize(codes.where(F.size("codes") > 0).withColumn("asks", queries), "fingerprints")
     marked = known.withColumn("print", F.sha2(F.array_join("codes", ","), 256))
@@ -138,19 +163,36 @@ def align(
         F.min("id").alias("class"), F.count("*").alias("n"), F.max("asks").alias("asks"), F.first("codes").alias("codes")
     )
     classes = materialize(classes, "classes")
-    keys = keys_of(classes, bits, sample)
-    mine = keys_of(classes.where("asks"), bits, sample).withColumnRenamed("class", "query_class").withColumnRenamed("at", "query_at")
-    met = mine.join(keys, "key").where("query_class != class")
-    offset = (F.col("at") - F.col("query_at")).alias("offset")
-    histogram = met.groupBy("query_class", "class", offset).agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
-    a = classes.select(F.col("class").alias("query_class"), F.col("codes").alias("a"))
+    asking = classes.where("asks")
+    mine = keys_of(asking, bits).withColumnRenamed("class", "query_class")
+    pairs = mine.join(keys_of(classes, bits), "key").where("query_class != class").select("query_class", "class").distinct()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, others = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            mine, theirs = ([np.asarray(v.values.to_numpy(), dtype=np.uint32) for v in batch.column(k)] for k in (2, 3))
+            sizes: dict[tuple[int, int], list[int]] = {}
+            for k, (x, y) in enumerate(zip(mine, theirs)):
+                sizes.setdefault((len(x), len(y)), []).append(k)
+            out = [[], [], [], [], []]
+            for (n, m), rows in sizes.items():
+                for group in [rows] if n + m <= short else [[k] for k in rows]:
+                    a, b = np.stack([mine[k] for k in group]), np.stack([theirs[k] for k in group])
+                    offsets = np.arange(1 - n, m) if n + m <= short else voted_offsets(a[0], b[0], bits)
+                    best, won, share = best_offsets(a, b, offsets, bits, votes, overlap)
+                    keep = share <= most_errors
+                    for column, values in zip(out, (ids[group], others[group], best, won, share)):
+                        column.extend(values[keep].tolist())
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, types)], names=["query_class", "match_class", "offset", "votes", "bit_error_rate"]
+            )
+
+    a = asking.select(F.col("class").alias("query_class"), F.col("codes").alias("a"))
     b = classes.select("class", F.col("codes").alias("b"))
-    found = histogram.join(a, "query_class").join(b, "class")
-    common = F.least(F.size("a") - F.greatest(-F.col("offset"), F.lit(0)), F.size("b") - F.greatest("offset", F.lit(0)))
-    found = found.where(common >= overlap).withColumn("bit_error_rate", bit_errors(F.col("a"), F.col("b"), F.col("offset")))
-    best = F.min_by(F.struct("offset", "votes", "bit_error_rate"), F.struct("bit_error_rate", F.abs("offset"), "offset"))
-    found = found.where(F.col("bit_error_rate") <= most_errors).groupBy("query_class", "class").agg(best.alias("x"))
-    return found.select("query_class", F.col("class").alias("match_class"), "x.offset", "x.votes", "x.bit_error_rate")
+    found = small_batches(pairs.join(b, "class").join(a, "query_class").select("query_class", "class", "a", "b"))
+    found = found.mapInArrow(decide, "query_class long, match_class long, offset long, votes long, bit_error_rate double")
+    return found.withColumn("offset", F.col("offset").cast("int"))
 
 
 def search(audio: DataFrame, queries: Column, *, id_col: str, pcm_col: str, rate: int, **options) -> DataFrame:
