@@ -101,6 +101,15 @@ def test_near_copies_equal_brute_force(spark):
         assert found == brute_classes(texts)
 
 
+def test_isolated_pairs_at_the_threshold_are_found_by_default(spark):
+    rng, texts = random.Random(11), []
+    for k in range(600):  # 40 five-grams in common, 5 more in each: 40 of 50
+        common = words(rng, 44)
+        texts += [(2 * k + j, " ".join(common + [f"own{k}x{j}x{i}" for i in range(5)])) for j in range(2)]
+    found = chosen_path.similarity_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in found} == {(i, i - i % 2) for i, _ in texts}
+
+
 def test_near_copies_of_nothing_and_of_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert chosen_path.similarity_join(spark.createDataFrame([], schema)).count() == 0

@@ -246,7 +246,7 @@ def similarity_join(
     text_col: str = "text",
     size: int = 5,
     threshold: float = 0.8,
-    recall: float = 0.97,
+    recall: float = 0.9999,
     depth: int = 3,
     block: int = 512,
 ) -> DataFrame:
