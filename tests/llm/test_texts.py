@@ -194,6 +194,19 @@ def test_token_ids_equal_the_tokenizers_library():
         assert ours.encode(text).tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_one_id_as_in_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_file())
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a  <|endoftext|>\n<|endoftext|>b", "<|endoftext", "plain  text "]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3826, 220, 50256, 994]
+    ours = packing_nnls.Encoder(tokenizer_file())
+    assert [ours.encode_added(t).tolist() for t in texts] == want
+    rows = packing_nnls.pack(docs_of(spark, texts), tokenizer_file()).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {i: zlib.crc32(np.array([*w, 1], dtype="<u4").tobytes()) for i, w in enumerate(want)}
+
+
 def test_packing_is_exact(spark):
     rng = random.Random(9)
     texts = [None, "", "a"] + ["same text"] * 300 + [" ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randrange(1, 900))) for _ in range(200)] + ["x y " * 6000]

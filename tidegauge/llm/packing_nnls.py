@@ -42,7 +42,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of whole texts, as the tokenizers library gives them for a byte-level BPE file without added tokens.
+    """Token ids of whole texts, as the tokenizers library gives them for a byte-level BPE file.
 
     The file's vocabulary drives tiktoken, whose merges by rank are the same
     and run several times as fast; the tests hold both libraries' ids equal.
@@ -53,14 +53,21 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        letters, added = byte_letters(), {x["content"] for x in file.get("added_tokens", [])}
+        letters, added = byte_letters(), {x["content"]: x["id"] for x in file.get("added_tokens", [])}
+        if any(x.get(k) for x in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
         vocabulary = {t: i for t, i in file["model"]["vocab"].items() if t not in added}
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
-        self.model = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.model = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of text as such: the name of an added token is text, too."""
         return np.asarray(self.model.encode_ordinary(text), dtype="<u4")
 
+    def encode_added(self, text: str) -> np.ndarray:
+        """Ids with one id for each added token of the file, as the tokenizers library gives them by default."""
+        return np.asarray(self.model.encode(text, allowed_special="all"), dtype="<u4")
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -71,7 +78,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str,
     """One row per piece: id, start, length, crc32 of its ids, and the document's ids with the closing one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_added
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
