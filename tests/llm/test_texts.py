@@ -184,6 +184,21 @@ def test_viterbi_equals_all_paths():
         assert value(path.tolist()) == pytest.approx(best, abs=1e-4)
 
 
+def test_one_valid_instance_of_a_shape_is_enough(spark):
+    seeds = spark.createDataFrame([("card", "9999", "card", "ok")] * 9, "kind string, shape string, left string, right string")
+    for kinds in ([[], ["card"]], [["card"], []]):
+        rows = [(k, "9999", "card", "ok") for k in kinds]
+        some = spark.createDataFrame(rows, "kinds array<string>, shape string, left string, right string").coalesce(1)
+        assert [(r["kind"], r["n"]) for r in pii_bootstrap.score(seeds, some, 1, 5).collect()] == [("card", 1)]
+
+
+def test_identifiers_of_many_tokens_are_whole_instances(spark):
+    texts = ["ring 01 23 45 67 89 now", "1 2 3 4 5 6 7 8 9"]
+    runs = pii_bootstrap.candidates_of(pii_bootstrap.scan(docs_of(spark, texts), "doc_id", "text"), 4).collect()
+    found = [(r["id"], r["start"], r["end"], r["left"], r["right"]) for r in runs if "phone" in r["kinds"]]
+    assert (0, 5, 19, "ring", "now") in found and (1, 0, 17, "", "") in found
+
+
 def test_token_ids_equal_the_tokenizers_library():
     from tokenizers import Tokenizer
 

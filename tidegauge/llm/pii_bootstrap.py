@@ -42,6 +42,8 @@ LOOSE = {
     "card": r"^[0-9][0-9 -]+[0-9]$",
     "phone": r"^[+(]?[0-9][0-9 ().-]+[0-9]$",
 }
+#: Digits of the longest identifier with spaces; every token of a zone that may be part of one holds a digit.
+MOST_DIGITS = 19
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
 
 
@@ -130,39 +132,44 @@ def seeds_of(scanned: DataFrame) -> DataFrame:
 
 
 def candidates_of(scanned: DataFrame, max_tokens: int) -> DataFrame:
-    """Runs of up to ``max_tokens`` tokens of a zone that do not overlap a seed, with the kinds that they may be."""
+    """Runs of tokens of a zone that do not overlap a seed, with the kinds that they may be.
+
+    Runs of up to ``max_tokens`` tokens are instances whatever they are; longer ones only if they are of a kind.
+    """
     seeds = F.concat(*(F.transform(k, lambda x: F.named_struct(F.lit("a"), x["start"], F.lit("b"), x["end"])) for k in KINDS))
     zones = scanned.select("id", "key", seeds.alias("seeds"), F.explode("zone").alias("z"))
     zones = zones.select("id", "key", "seeds", F.split("z.body", " ").alias("t"), F.col("z.start").alias("at"), "z.left", "z.right")
     tokens = zones.select("*", F.posexplode(F.transform("t", lambda x: F.length(x))).alias("i", "size"))
     before = F.length(F.array_join(F.slice("t", F.lit(1), F.col("i")), " ")) + (F.col("i") > 0).cast("int")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(max_tokens), F.size("t") - F.col("i")))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(max(max_tokens, MOST_DIGITS)), F.size("t") - F.col("i")))
     runs = tokens.withColumn("first", F.col("at") + before).withColumn("n", F.explode(lengths))
     run = F.array_join(F.slice("t", F.col("i") + 1, F.col("n")), " ")
     runs = runs.select(
-        "id", "key", "seeds", "first", run.alias("run"),
+        "id", "key", "seeds", "first", "n", run.alias("run"),
         F.when(F.col("i") > 0, F.lower(F.element_at("t", F.col("i")))).otherwise(F.col("left")).alias("left"),
         F.when(F.col("i") + F.col("n") < F.size("t"), F.lower(F.element_at("t", F.least(F.col("i") + F.col("n") + 1, F.size("t"))))).otherwise(F.col("right")).alias("right"),
     )
     lead = F.length(F.regexp_extract("run", r"^[^0-9A-Za-z+(]*", 0))
     body = F.regexp_replace(F.regexp_replace("run", r"^[^0-9A-Za-z+(]+", ""), r"[^0-9A-Za-z)]++$", "")
-    runs = runs.select("id", "key", "seeds", (F.col("first") + lead).alias("start"), body.alias("body"), "left", "right")
+    runs = runs.select("id", "key", "seeds", "n", (F.col("first") + lead).alias("start"), body.alias("body"), "left", "right")
     runs = runs.withColumn("end", F.col("start") + F.length("body"))
     runs = runs.where(~F.exists("seeds", lambda s: (s["a"] < F.col("end")) & (s["b"] > F.col("start"))))
     kinds = F.filter(
         F.array(*(F.when(F.col("body").rlike(LOOSE[k]) & valid(k, F.col("body")), F.lit(k)) for k in KINDS)), lambda k: k.isNotNull()
     )
-    return runs.select("id", "key", kinds.alias("kinds"), "start", "end", shape(F.col("body")).alias("shape"), "left", "right")
+    runs = runs.withColumn("kinds", kinds).where((F.col("n") <= max_tokens) | (F.size("kinds") > 0))
+    return runs.select("id", "key", "kinds", "start", "end", shape(F.col("body")).alias("shape"), "left", "right")
 
 
 def score(seeds: DataFrame, candidates: DataFrame, rounds: int, support: int) -> DataFrame:
     """(shape, left, right, kind, score) of unlabelled instances after so many rounds over the graph."""
     views = ("shape", "left", "right")
     labelled = seeds.groupBy(*views, "kind").agg(F.count("*").alias("n"))
-    unknown = candidates.groupBy(*views).agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
-    unknown = materialize(unknown, "instances")
+    unknown = materialize(candidates.groupBy(*views).agg(F.count("*").alias("n")), "instances")
     labelled = materialize(labelled, "labelled")
-    open_kinds = unknown.select(*views, "n", F.explode("kinds").alias("kind"))
+    # Digits decide the kinds, so instances of one shape may differ in them.
+    open_kinds = candidates.select(*views, F.explode("kinds").alias("kind")).groupBy(*views, "kind").agg(F.count("*").alias("n"))
+    open_kinds = materialize(open_kinds, "open")
     scored = open_kinds.withColumn("score", F.lit(0.0))
     for _ in range(rounds):
         confidence = []
