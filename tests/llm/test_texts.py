@@ -92,6 +92,14 @@ def test_repeats_across_a_host_are_dropped_without_an_article(spark):
     assert found == {i: own[i] if i else f"{notice}\n{own[0]} {notice}" for i in own}
 
 
+def test_copies_of_an_article_without_a_tag_stay(spark):
+    body = " ".join(f"body{k}" for k in range(40))
+    notice = " ".join(f"legal{k}" for k in range(12))
+    rows = [(i, f"http://h.org/{i}", f"<div>{notice}</div><div>{body if i < 2 else f'own{i} ' * 20}</div>") for i in range(8)]
+    found = {r["page_id"]: r["text"] for r in host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: body if i < 2 else ("own%d " % i * 20).strip() for i in range(8)}
+
+
 def brute_covered(streams, shortest):
     """Per page, the tokens inside a run of ``shortest`` that another page of the host has, too."""
     at = defaultdict(set)

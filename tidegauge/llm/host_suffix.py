@@ -6,7 +6,8 @@ not. What markup leaves open (a page without an article) is decided by
 repetition: the token streams of a host's open and dropped blocks are put side
 by side, all suffixes are sorted by their first ``shortest`` tokens, and equal
 neighbours from distinct pages are repeats. Open tokens that a repeat covers
-are boilerplate; the runs between them stay.
+are boilerplate; the runs between them stay. A whole open block that few pages
+of the host repeat (two, or the share ``copies``) is a copied article and stays.
 
 A suffix cut to ``shortest`` tokens suffices, since a longer repeat is a chain
 of such windows; so a suffix is one small row keyed by host and window, never a
@@ -161,15 +162,19 @@ def windows_of(kinds: list[int], texts: list[str], shortest: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def unique_text(kinds: list[int], texts: list[str], covered: set[int], shortest: int) -> str:
-    """Open blocks without the tokens that a repeated window covers."""
+def unique_text(kinds: list[int], texts: list[str], covered: set[int], shortest: int, whole: set[int]) -> str:
+    """Open blocks without the tokens that a repeated window covers; blocks in ``whole`` stay as they are."""
     at, kept = 0, []
     hidden = {p + k for p in covered for k in range(shortest)}
-    for kind, text in zip(kinds, texts):
+    for block, (kind, text) in enumerate(zip(kinds, texts)):
         if kind == KEEP:
             kept.append(text)
             continue
         words = text.split()
+        if block in whole:
+            at += len(words)
+            kept.append(text)
+            continue
         left = [w for k, w in enumerate(words, at) if k not in hidden]
         at += len(words)
         if kind == OPEN and left:
@@ -178,7 +183,7 @@ def unique_text(kinds: list[int], texts: list[str], covered: set[int], shortest:
 
 
 def extract(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shortest: int = 8
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shortest: int = 8, copies: float = 0.1
 ) -> DataFrame:
     """Per page: id_col, url_col, text (blocks joined by line feeds) and n_repeated (tokens covered by repeats)."""
 
@@ -214,8 +219,8 @@ def extract(
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, repeated = [], []
-            for kinds, blocks, covered in zip(*(c.to_pylist() for c in b.columns[2:])):
-                texts.append(unique_text(kinds, blocks, set(covered or []), shortest))
+            for kinds, blocks, covered, whole in zip(*(c.to_pylist() for c in b.columns[2:])):
+                texts.append(unique_text(kinds, blocks, set(covered or []), shortest, set(whole or [])))
                 repeated.append(len({p + k for p in covered or [] for k in range(shortest)}))
             columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_repeated"])
@@ -229,8 +234,17 @@ def extract(
     repeats = array.groupBy("host", "prefix").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.max("open").alias("open"))
     repeats = repeats.where("open and first < last").select("host", "prefix")
     covered = array.where("open").join(repeats, ["host", "prefix"]).groupBy("page_id").agg(F.collect_set("at").alias("covered"))
+    # An open block that few pages of the host hold word for word, and none outside its text, is a copied article.
+    spread = parsed.select("page_id", "host", "kinds", "open", F.posexplode("blocks").alias("block", "said"))
+    spread = spread.select("page_id", "host", "open", "block", F.get("kinds", F.col("block")).alias("kind"), F.xxhash64("said").alias("said"))
+    held = spread.groupBy("host", "said").agg(F.countDistinct("page_id").alias("n"), F.max(F.col("kind") == DROP).alias("outside"))
+    sizes = parsed.groupBy("host").agg(F.countDistinct("page_id").alias("pages"))
+    few = held.where("n > 1 and not outside").join(sizes, "host").where(F.col("n") <= F.greatest(F.lit(2), F.col("pages") * copies))
+    whole = spread.where(F.col("open") & (F.col("kind") == OPEN)).join(few.select("host", "said"), ["host", "said"])
+    whole = whole.groupBy("page_id").agg(F.collect_set("block").alias("whole"))
     kept = F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k == KEEP, t)), lambda t: t.isNotNull())
     known = parsed.where("not open").select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.lit(0).cast("long").alias("n_repeated"))
-    asked = parsed.where("open").join(covered, "page_id", "left").select("page_id", "url", "kinds", "blocks", "covered")
+    asked = parsed.where("open").join(covered, "page_id", "left").join(whole, "page_id", "left")
+    asked = asked.select("page_id", "url", "kinds", "blocks", "covered", "whole")
     decided = asked.mapInArrow(finish, "page_id long, url string, text string, n_repeated long")
     return known.unionAll(decided).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_repeated")
