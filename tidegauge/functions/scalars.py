@@ -21,10 +21,6 @@ def day_of_file(name: Column) -> Column:
     return F.regexp_extract(name, r"\.d(\d{1,2})\.csv$", 1).try_cast("int")
 
 
-def day_label(day: Column) -> Column:
-    return F.concat(F.lit("d"), F.lpad(day.cast("string"), 2, "0"))
-
-
 def tuple_label(*parts: Column) -> Column:
     return F.concat(F.lit("("), F.concat_ws(",", *(p.cast("string") for p in parts)), F.lit(")"))
 
@@ -66,7 +62,3 @@ def null_share(x: Column) -> Column:
 
 def hour_angle(hour: Column) -> Column:
     return F.lit(2.0) * F.pi() * hour / 24.0
-
-
-def utc_now() -> Column:
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

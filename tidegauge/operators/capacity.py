@@ -60,27 +60,43 @@ def enough_by_hour(vectors: DataFrame) -> bool:
     return row[1] == 24 and row[0] >= LEAST_VECTORS
 
 
-def draws(spark, n_vectors: int, simulations: int = SIMULATIONS) -> DataFrame:
-    """(horizon, simulation, vector): a draw with replacement from a hash, equal on every run and engine."""
+def numbers(spark, simulations: int = SIMULATIONS) -> DataFrame:
+    """(horizon, simulation, number): a number from a hash, equal on every run and engine."""
     grid = spark.range(HORIZON * simulations).select(
         (F.floor(F.col("id") / simulations) + 1).cast("int").alias("forecast_horizon_hour"),
         (F.col("id") % simulations).cast("int").alias("simulation"),
     )
     key = F.concat_ws(":", F.lit(str(SEED)), F.col("forecast_horizon_hour").cast("string"), F.col("simulation").cast("string"))
-    number = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
-    return grid.withColumn("vector", (number % n_vectors).cast("int"))
+    return grid.withColumn("number", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"))
+
+
+def draws(spark, n_vectors: int, simulations: int = SIMULATIONS) -> DataFrame:
+    """(horizon, simulation, vector): a draw with replacement among all vectors."""
+    return numbers(spark, simulations).withColumn("vector", (F.col("number") % n_vectors).cast("int")).drop("number")
+
+
+def draws_by_hour(points: DataFrame, vectors: DataFrame, simulations: int = SIMULATIONS) -> DataFrame:
+    """(horizon, simulation, vector): a draw with replacement among the vectors of the same hour of day."""
+    known = vectors.groupBy("hour_of_day").agg(F.array_sort(F.collect_list("vector")).alias("of_hour"))
+    ahead = points.select("forecast_horizon_hour", "hour_of_day").distinct().join(known, "hour_of_day")
+    drawn = numbers(points.sparkSession, simulations).join(F.broadcast(ahead), "forecast_horizon_hour")  # 24 rows
+    place = F.get("of_hour", (F.col("number") % F.size("of_hour")).cast("int"))
+    return drawn.select("forecast_horizon_hour", "simulation", place.alias("vector"))
 
 
 def simulate(points: DataFrame, vectors: DataFrame, simulations: int = SIMULATIONS) -> DataFrame:
     """(horizon, simulation, demand by trigger, total): one vector for all triggers of a draw, clipped before they are summed.
 
+    Vectors are drawn among those of the same hour of day if every hour has enough of them, else among all.
     Vectors (held-out hours) and points (24 hours) are bounded by calendar and are broadcast.
     """
-    n = vectors.count()
+    if enough_by_hour(vectors):
+        drawn = draws_by_hour(points, vectors, simulations)
+    else:
+        drawn = draws(points.sparkSession, vectors.count(), simulations)
     by_hour = points.where("aggregation_level = 'trigger'").groupBy("forecast_horizon_hour").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("Trigger", "point_forecast_compute_seconds"))), lambda x: x["point_forecast_compute_seconds"]).alias("points")
     )
-    drawn = draws(points.sparkSession, n, simulations)
     joined = drawn.join(F.broadcast(vectors.select("vector", "residuals")), "vector").join(F.broadcast(by_hour), "forecast_horizon_hour")
     demand = F.zip_with("points", "residuals", lambda p, r: F.greatest(p + r, F.lit(0.0)))
     joined = joined.select("forecast_horizon_hour", "simulation", demand.alias("demand"))

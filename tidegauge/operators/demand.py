@@ -64,7 +64,7 @@ def with_durations(invocations: DataFrame, durations: DataFrame) -> DataFrame:
 
 
 def hourly_demand(invocations: DataFrame, durations: DataFrame, triggers: DataFrame, hours: int) -> DataFrame:
-    """Demand per hour and trigger on the dense grid, zero where nothing happened.
+    """Demand per hour and trigger on the dense grid, zero where nothing happened; what lies outside the grid raises.
 
     ``invocations`` has a row per function and hour with its ``calls``.
     ``active_functions`` counts those rows, whether or not they have a duration.
@@ -76,7 +76,10 @@ def hourly_demand(invocations: DataFrame, durations: DataFrame, triggers: DataFr
         F.sum(F.when(matched, calls)).alias("matched"),
         F.count_if(calls > 0).alias("active_functions"),
     )
-    filled = dense_grid(triggers, hours).join(observed, ["hour_index", "Trigger"], "left")
+    grid = dense_grid(triggers, hours).withColumn("known", F.lit(True))
+    joined = grid.join(observed, ["hour_index", "Trigger"], "full")
+    place = F.concat(F.lit("outside the grid: hour "), F.coalesce(F.col("hour_index").cast("string"), F.lit("null")), F.lit(", trigger "), F.coalesce("Trigger", F.lit("null")))
+    filled = joined.withColumn("trace_day", F.when(F.col("known"), F.col("trace_day")).otherwise(F.raise_error(place).cast("int")))
     seconds = F.coalesce("compute_seconds", F.lit(0.0))
     return filled.select(
         "trace_day",
@@ -107,12 +110,6 @@ def hourly_totals(demand: DataFrame, triggers: list[str]) -> DataFrame:
     )
 
 
-def observed_triggers(demand: DataFrame) -> list[str]:
-    """Triggers with any invocation, sorted: as many as the vocabulary has."""
-    rows = demand.groupBy("Trigger").agg(F.sum("invocations").alias("n")).where("n > 0").orderBy("Trigger").collect()
-    return [r["Trigger"] for r in rows]
-
-
 def missing_durations(invocations: DataFrame, durations: DataFrame) -> DataFrame:
     """One row: function-days without a duration, their invocations, and both as percentages."""
     days = invocations.groupBy(*FUNCTION_KEY).agg(F.sum("calls").alias("calls"))

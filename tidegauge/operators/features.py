@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidegauge.functions import hour_angle, null_share, ratio, slug
+from tidegauge.functions import hour_angle, null_share, ratio
 from tidegauge.schema import FEATURES, LAGS, MEAN_WINDOWS, STD_WINDOWS, TEST_HOURS, VALIDATION_HOURS, WARMUP_HOURS
 
 def by_trigger() -> WindowSpec:
@@ -55,11 +55,16 @@ def engineer(panel: DataFrame) -> DataFrame:
     return trigger_share(load_ratio(rolling(lags(temporal(panel)))))
 
 
-def split(featured: DataFrame, hours: int) -> DataFrame:
-    """Adds ``split`` and drops the warm-up: the last hours test, those before validate, the rest train."""
+def labelled(panel: DataFrame, hours: int) -> DataFrame:
+    """Adds ``split``: the last hours test, those before validate, the first are warm-up, the rest train."""
     h = F.col("hour_index")
-    name = F.when(h >= hours - TEST_HOURS, "test").when(h >= hours - TEST_HOURS - VALIDATION_HOURS, "validation").otherwise("train")
-    return featured.where(h >= WARMUP_HOURS).withColumn("split", name)
+    name = F.when(h >= hours - TEST_HOURS, "test").when(h >= hours - TEST_HOURS - VALIDATION_HOURS, "validation")
+    return panel.withColumn("split", name.when(h >= WARMUP_HOURS, "train").otherwise("warmup"))
+
+
+def split(featured: DataFrame, hours: int) -> DataFrame:
+    """Adds ``split`` and drops the warm-up."""
+    return labelled(featured.where(F.col("hour_index") >= WARMUP_HOURS), hours)
 
 
 def model_features(panel: DataFrame, hours: int) -> DataFrame:
@@ -90,8 +95,3 @@ def split_summary(features: DataFrame, triggers: list[str]) -> DataFrame:
             null_share(F.col(c)).alias(f"{c}_missing_percentage_after_warmup"),
         ]
     return features.agg(*out)
-
-
-def slugged(features: DataFrame) -> DataFrame:
-    """Distinct triggers with the names that summaries use for them."""
-    return features.select("Trigger", slug(F.col("Trigger")).alias("name")).distinct()

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import capacity, checks, demand, features, forecast, gbdt, reports, sarimax
-from tidegauge.schema import GBDT, HOURLY_MEAN, SARIMAX, SEASONAL, TEST_HOURS, TRIGGERS, VALIDATION_HOURS
+from tidegauge.schema import GBDT, HOURLY_MEAN, SARIMAX, SEASONAL, TEST_HOURS, VALIDATION_HOURS
 from tidegauge.sources import adapter
+from tidegauge.sources.shared import materialize
 from tidegauge.streaming import hourly
 
 HOURS = adapter.HOURS
@@ -96,12 +97,25 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return features.split_summary(model_features(spark, d), list(adapter.TRIGGERS))
 
 
+def stored_demand(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly panel (hours x triggers) as a table: a query that reads it several times aggregates the events once."""
+    return materialize(hourly_demand(spark, d), "hourly-demand")
+
+
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """The hourly panel with its split, warm-up hours as 'warmup'."""
-    rows = hourly_demand(spark, d)
-    named = features.split(rows, HOURS).select("hour_index", "Trigger", "split")
-    joined = rows.join(named, ["hour_index", "Trigger"], "left")
-    return joined.withColumn("split", F.coalesce("split", F.lit("warmup")))
+    """The stored hourly panel with its split, warm-up hours as 'warmup'."""
+    return features.labelled(stored_demand(spark, d), HOURS)
+
+
+def hourly_mean_of(rows: DataFrame) -> DataFrame:
+    one = forecast.hour_of_day_mean(rows, "validation", HOURLY_MEAN)
+    return one.unionByName(forecast.hour_of_day_mean(rows, "test", HOURLY_MEAN))
+
+
+def predictions_of(rows: DataFrame) -> DataFrame:
+    """Both baselines over both splits of a labelled panel."""
+    one, two = forecast.seasonal_fixed_origin(rows, "validation", SEASONAL), forecast.seasonal_walk_forward(rows, "test", SEASONAL)
+    return one.unionByName(two).unionByName(hourly_mean_of(rows))
 
 
 def seasonal_validation(spark: SparkSession, d: str) -> DataFrame:
@@ -113,25 +127,28 @@ def seasonal_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hourly_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = panel(spark, d)
-    one = forecast.hour_of_day_mean(rows, "validation", HOURLY_MEAN)
-    return one.unionByName(forecast.hour_of_day_mean(rows, "test", HOURLY_MEAN))
+    return hourly_mean_of(panel(spark, d))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    return seasonal_validation(spark, d).unionByName(seasonal_test(spark, d)).unionByName(hourly_mean(spark, d))
+    return predictions_of(panel(spark, d))
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     return forecast.evaluate(predictions(spark, d))
 
 
+def stored_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A few rows a model and trigger, read several times by rankings."""
+    return materialize(metrics(spark, d), "metrics")
+
+
 def ranking(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.rank_models(metrics(spark, d))
+    return forecast.rank_models(stored_metrics(spark, d))
 
 
 def ranking_by_trigger(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.rank_by_trigger(metrics(spark, d))
+    return forecast.rank_by_trigger(stored_metrics(spark, d))
 
 
 def selection(spark: SparkSession, d: str) -> DataFrame:
@@ -143,35 +160,37 @@ def selected_predictions(spark: SparkSession, d: str) -> DataFrame:
     return forecast.selected_predictions(rows, forecast.evaluate(rows))
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    return capacity.future_points(hourly_demand(spark, d), HOURS)
+def capacity_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Future points and residual vectors, if the model that validation selects is the one that can be simulated."""
+    rows = panel(spark, d)
+    found = predictions_of(rows)
+    capacity.require_supported(forecast.select_model(forecast.evaluate(found)).first()["model"])
+    return capacity.future_points(rows.drop("split"), HOURS), capacity.residual_vectors(found)
 
 
-def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return capacity.residual_vectors(hourly_mean(spark, d))
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return capacity_inputs(spark, d)[0]
 
 
 def residuals(spark: SparkSession, d: str) -> DataFrame:
     named = [F.get("residuals", k).alias(f"residual_{t}") for k, t in enumerate(adapter.TRIGGERS)]
-    return vectors(spark, d).select("vector", "hour_index", "hour_of_day", *named)
-
-
-def simulated(spark: SparkSession, d: str) -> DataFrame:
-    return capacity.simulate(points(spark, d), vectors(spark, d))
+    return capacity_inputs(spark, d)[1].select("vector", "hour_index", "hour_of_day", *named)
 
 
 def bootstrap_demand(spark: SparkSession, d: str) -> DataFrame:
-    return simulated(spark, d).groupBy("forecast_horizon_hour").agg(
+    return capacity.simulate(*capacity_inputs(spark, d)).groupBy("forecast_horizon_hour").agg(
         F.count("*").alias("simulations"), F.avg("total").alias("mean_total"), F.min("total").alias("least_total"), F.max("total").alias("most_total")
     )
 
 
 def intervals(spark: SparkSession, d: str) -> DataFrame:
-    return capacity.intervals(points(spark, d), simulated(spark, d), list(adapter.TRIGGERS))
+    ahead, errors = capacity_inputs(spark, d)
+    return capacity.intervals(ahead, capacity.simulate(ahead, errors), list(adapter.TRIGGERS))
 
 
 def scenarios(spark: SparkSession, d: str) -> DataFrame:
-    return capacity.scenarios(points(spark, d), simulated(spark, d))
+    ahead, errors = capacity_inputs(spark, d)
+    return capacity.scenarios(ahead, capacity.simulate(ahead, errors))
 
 
 def recommended(spark: SparkSession, d: str) -> DataFrame:
@@ -184,17 +203,21 @@ def day_set_difference(spark: SparkSession, d: str) -> DataFrame:
 
 def constraint_report(spark: SparkSession, d: str) -> DataFrame:
     """(rule, violations) of every constraint that data alone decides."""
-    calls, seconds, mb, rows = adapter.invocations(spark, d), adapter.durations(spark, d), adapter.memory(spark, d), hourly_demand(spark, d)
+    calls, seconds, mb, rows = adapter.invocations(spark, d), adapter.durations(spark, d), adapter.memory(spark, d), stored_demand(spark, d)
+    featured, found = features.model_features(rows, HOURS), predictions_of(features.labelled(rows, HOURS))
+    ahead, errors = capacity.future_points(rows, HOURS), capacity.residual_vectors(found)
+    drawn = capacity.simulate(ahead, errors)
+    tested = materialize(capacity.scenarios(ahead, drawn), "scenarios")
     parts = [
         checks.invocation_rules(calls, adapter.TRIGGERS),
         checks.duration_rules(seconds),
         checks.memory_rules(mb),
         checks.panel_rules(rows, HOURS),
         checks.reconciliation(rows, demand.hourly_totals(rows, list(adapter.TRIGGERS)), calls),
-        checks.feature_rules(model_features(spark, d)),
-        checks.split_rules(model_features(spark, d), VALIDATION_HOURS, TEST_HOURS),
-        checks.prediction_rules(predictions(spark, d)),
-        checks.capacity_rules(points(spark, d), intervals(spark, d), scenarios(spark, d), recommended(spark, d)),
+        checks.feature_rules(featured),
+        checks.split_rules(featured, VALIDATION_HOURS, TEST_HOURS),
+        checks.prediction_rules(found),
+        checks.capacity_rules(ahead, capacity.intervals(ahead, drawn, list(adapter.TRIGGERS)), tested, capacity.recommendation(tested)),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -217,10 +240,12 @@ def bi_forecast_vs_actual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Validation and test predictions of the four compared models, computed once (models x hours x triggers, on the driver)."""
-    rows, known, base = sarimax_panel(spark, d), model_features(spark, d), hourly_demand(spark, d)
+    """Validation and test predictions of the four compared models, computed once (models x hours x triggers)."""
+    base = stored_demand(spark, d)
+    whole = features.labelled(base, HOURS)
+    rows, known = whole.where("split != 'warmup'"), features.model_features(base, HOURS)
     orders = sarimax.select_orders(rows)
-    validated = gbdt_validation(spark, d)
+    validated = gbdt_validation(base)
     chosen = gbdt_choice(validated)
     parts = [
         sarimax.predict(rows, "validation", orders),
@@ -228,10 +253,10 @@ def all_predictions(spark: SparkSession, d: str) -> DataFrame:
         validated.where(F.col("candidate_id") == chosen[0]),
         gbdt.rolling(known, base, "test", (chosen,)),
     ]
-    out = predictions(spark, d)
+    out = predictions_of(whole)
     for part in parts:
         out = out.unionByName(part.select(*forecast.RESULT))
-    found = spark.createDataFrame(out.collect(), out.schema)
+    found = materialize(out, "predictions")
     forecast.require_models(found, (SEASONAL, HOURLY_MEAN, SARIMAX, GBDT))
     return found
 
@@ -349,10 +374,9 @@ def sarimax_test(spark: SparkSession, d: str) -> DataFrame:
     return sarimax.predict(rows, "test", sarimax.select_orders(rows))
 
 
-def gbdt_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Validation predictions of every declared configuration, computed once (configurations x hours x triggers, on the driver)."""
-    found = gbdt.rolling(model_features(spark, d), hourly_demand(spark, d), "validation", gbdt.CONFIGS)
-    return spark.createDataFrame(found.collect(), found.schema)
+def gbdt_validation(base: DataFrame) -> DataFrame:
+    """Validation predictions of every declared configuration from a stored panel, computed once."""
+    return materialize(gbdt.rolling(features.model_features(base, HOURS), base, "validation", gbdt.CONFIGS), "validation")
 
 
 def gbdt_choice(validated: DataFrame) -> tuple:
@@ -365,17 +389,17 @@ def gbdt_choice(validated: DataFrame) -> tuple:
 
 
 def gbdt_test(spark: SparkSession, d: str) -> DataFrame:
-    chosen = gbdt_choice(gbdt_validation(spark, d))
-    return gbdt.rolling(model_features(spark, d), hourly_demand(spark, d), "test", (chosen,))
+    base = stored_demand(spark, d)
+    chosen = gbdt_choice(gbdt_validation(base))
+    return gbdt.rolling(features.model_features(base, HOURS), base, "test", (chosen,))
 
 
 def gbdt_importance(spark: SparkSession, d: str) -> DataFrame:
     """Gains of the model that precedes the test hours."""
-    return gbdt.importance(model_features(spark, d), gbdt_choice(gbdt_validation(spark, d)))
+    base = stored_demand(spark, d)
+    return gbdt.importance(features.model_features(base, HOURS), gbdt_choice(gbdt_validation(base)))
 
 
 def streaming_hourly(spark: SparkSession, d: str) -> DataFrame:
     return hourly.replay(spark, d).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "events")
 
-
-VOCABULARY = TRIGGERS
