@@ -2,14 +2,18 @@
 
 Training counts hashed letter trigrams and writing scripts per language over
 all labelled rows. To predict, every word gets a log-likelihood per language;
-script ranges leave only the languages that use the word's script; a Viterbi
-pass with a switching penalty labels the words, and runs of one label are the
-spans. The document's language is the one with most letters.
+script ranges leave only the languages that use the script of most of the word's
+letters (all languages, if none uses it); a Viterbi pass with a switching
+penalty labels the words, and runs of one label are the spans. The document's
+language is the one with most letters. Marks (vowel signs, accents) belong to
+the word that they stand in, but are no letters by themselves.
 
 The model is ``BUCKETS`` numbers a language, whatever the corpus. A null text
 and a text without a letter give ``und`` with score 0 and no span. Very long
 texts are labelled whole. Ties go to the language that sorts first. Repeated
-rows are each labelled. Without any labelled row every text gives ``und``.
+rows are each labelled. Without any labelled row every text gives ``und``. An
+empty table gives an empty result; a null id stays null; extra columns are
+ignored, or carried in one struct.
 """
 
 from __future__ import annotations
@@ -28,8 +32,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import id_text_row, schema_of, small_batches
 
 BUCKETS = 1 << 16
-#: Code points with their own case and letter entries; those above are letters of script 0.
-KNOWN = 0x30000
+POINTS = 0x110000
 #: First and last code point of writing scripts.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)],
@@ -45,27 +48,32 @@ SCRIPTS = {
     "georgian": [(0x10A0, 0x10FF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF)],
-    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)],
+    "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF), (0x30000, 0x3FFFF)],
 }
 N_SCRIPTS = len(SCRIPTS) + 1
 #: Words of all texts that advance together, padding included: bounds the memory of a pass.
 WORDS_AT_ONCE = 300_000
+#: Below any sum of scores: a word never gets a language that does not write its script.
+EXCLUDED = -1e6
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: the lower-case letter (0: no letter), and its script."""
-    lower, script = np.zeros(KNOWN + 1, dtype=np.uint32), np.zeros(KNOWN + 1, dtype=np.uint8)
-    for c in range(KNOWN):
-        if unicodedata.category(chr(c))[0] == "L":
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point: the lower-case letter or mark (0: neither), its script, and whether it is a letter."""
+    lower, script = np.zeros(POINTS, dtype=np.uint32), np.zeros(POINTS, dtype=np.uint8)
+    letter = np.zeros(POINTS, dtype=bool)
+    for c in range(POINTS):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
             low = chr(c).lower()
-            lower[c] = ord(low) if len(low) == 1 else c
-    lower[KNOWN] = KNOWN
+            lower[c], letter[c] = ord(low) if len(low) == 1 else c, True
+        elif kind == "M":
+            lower[c] = c
     for k, ranges in enumerate(SCRIPTS.values(), 1):
         for first, last in ranges:
             script[first : last + 1] = k
-    return lower, script
+    return lower, script, letter
 
 
 @dataclass
@@ -79,10 +87,11 @@ class Letters:
 
 
 def letters(text: str) -> Letters:
-    lower, script = tables()
-    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4"), KNOWN)
+    lower, script, letter = tables()
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
     low = np.zeros(len(points) + 2, dtype=np.uint32)
-    low[1:-1] = lower[points]
+    if letter[points].any():
+        low[1:-1] = lower[points]
     at = np.flatnonzero(low[1:-1])
     mixed = low[at] * np.uint32(0x9E3779B1) ^ low[at + 1] * np.uint32(0x85EBCA77) ^ low[at + 2] * np.uint32(0xC2B2AE3D)
     bucket = (mixed * np.uint32(0x27D4EB2F)) >> np.uint32(16)
@@ -90,6 +99,17 @@ def letters(text: str) -> Letters:
     return Letters(at, bucket, script[points[at]], starts)
 
 
+def word_scripts(found: Letters) -> np.ndarray:
+    """The script of most letters of each word; of equals the first in the list of scripts."""
+    first = np.minimum.reduceat(found.script, found.words)
+    last = np.maximum.reduceat(found.script, found.words)
+    ends = np.append(found.words[1:], len(found.script))
+    for k in np.flatnonzero(first != last):
+        counts = np.bincount(found.script[found.words[k] : ends[k]], minlength=N_SCRIPTS)
+        first[k] = 1 + counts[1:].argmax()  # marks of no script do not count
+    return first
+
+
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = 256) -> dict:
     """{lang: (trigram counts, script counts)} over all rows with a text and a label."""
 
@@ -123,22 +143,22 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 class Model:
     names: list[str]
     scores: np.ndarray  # bucket x language
-    scripts: np.ndarray  # script x language: penalty of a word in that script
+    scripts: np.ndarray  # script x language: 0, or EXCLUDED where the language does not use the script
 
 
-def fitted(counts: dict, *, smoothing: float = 0.5, script_share: float = 0.01, script_penalty: float = 25.0) -> Model:
+def fitted(counts: dict, *, smoothing: float = 0.5, script_share: float = 0.01) -> Model:
     names = sorted(counts)
     grams = np.stack([counts[k][0] for k in names], axis=1) + smoothing if names else np.zeros((BUCKETS, 0))
     scripts = np.stack([counts[k][1] for k in names], axis=1) if names else np.zeros((N_SCRIPTS, 0))
     uses = scripts >= script_share * np.maximum(scripts.sum(axis=0), 1)
-    penalty = np.where(uses | ~uses.any(axis=1, keepdims=True), 0.0, -script_penalty)
+    penalty = np.where(uses | ~uses.any(axis=1, keepdims=True), 0.0, EXCLUDED)
     return Model(names, np.log(grams / grams.sum(axis=0)).astype(np.float32), penalty.astype(np.float32))
 
 
 def word_scores(model: Model, found: Letters) -> np.ndarray:
-    """Words x languages: log-likelihood of each word's trigrams, less the penalty of languages without its script."""
+    """Words x languages: log-likelihood of each word's trigrams; no path takes a language without the word's script."""
     by_word = np.add.reduceat(model.scores[found.bucket], found.words, axis=0)
-    return by_word + model.scripts[found.script[found.words]]
+    return by_word + model.scripts[word_scripts(found)]
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:

@@ -13,11 +13,15 @@
 
 A null text counts as empty and yields one piece: the closing id alone. Ties
 and repeated rows are packed one by one. An empty table gives an empty result.
+Very long texts are tokenized whole, as one piece of memory in a task; runs of
+white space of any length are allowed. A null id stays null. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import id_text_row, materialize
 
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: White space from which the fast library's cut into words may run out of stack.
+LONG_SPACE = re.compile(r"\s{2000}")
 #: Fixed value: the cut into words that belongs to this family of byte-level vocabularies.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -46,10 +52,12 @@ class Encoder:
 
     The file's vocabulary drives tiktoken, whose merges by rank are the same
     and run several times as fast; the tests hold both libraries' ids equal.
+    Texts with very long white space go to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
@@ -59,6 +67,7 @@ class Encoder:
         vocabulary = {t: i for t, i in file["model"]["vocab"].items() if t not in added}
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items()}
         self.model = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=added)
+        self.slow = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of text as such: the name of an added token is text, too."""
@@ -66,6 +75,8 @@ class Encoder:
 
     def encode_added(self, text: str) -> np.ndarray:
         """Ids with one id for each added token of the file, as the tokenizers library gives them by default."""
+        if len(text) >= 2000 and LONG_SPACE.search(text):
+            return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.model.encode(text, allowed_special="all"), dtype="<u4")
 
 

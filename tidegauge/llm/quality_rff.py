@@ -10,7 +10,9 @@ and score bins) reach the driver.
 Null and empty texts have the statistics of a text without characters and get a
 score like any other. Very long texts are read whole. Repeated rows count each.
 Without labels every score is 0.5; with labels of one class it is that class's
-share. Ties have equal scores.
+share. Where no labelled row is left for calibration, the ridge's score counts
+as it is, cut to 0 and 1. Ties have equal scores. An empty table gives an empty
+result. A null id matches no label and is scored. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.points):
-            return np.full(len(x), 0.5)
+            return np.clip(self.raw(x), 0.0, 1.0) if self.weights.any() else np.full(len(x), 0.5)
         return np.clip(np.interp(self.raw(x), self.points, self.values), 0.0, 1.0)
 
 
