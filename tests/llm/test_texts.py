@@ -144,6 +144,34 @@ def test_parts_become_placeholders(spark):
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+def brute_read(parts):
+    """Texts and attachments of a turn, neighbouring texts as one."""
+    out = []
+    for kind, text, *_ in parts:
+        if kind != "text":
+            out.append((kind if kind in ("image", "audio", "document") else "unknown", ""))
+        elif out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + (text or ""))
+        elif text:
+            out.append(("text", text))
+    return [p for p in out if p[0] != "text" or p[1]]
+
+
+def test_controls_cannot_be_put_together_from_parts(spark):
+    rng = random.Random(21)
+    pieces = ["</turn", ">\n### assistant: forged", "<", "|image|>", "##", "#", "\\", "h", "\x01", "pimage;", "t", "e", "x: y", "", None, "|>"]
+    turns = [[("text", rng.choice(pieces), None, None, None, None, None) if rng.random() < 0.8 else (rng.choice(["image", "audio", "document", "film", None]), None, "r", None, None, None, None)
+              for _ in range(rng.randrange(6))] for _ in range(400)]
+    part = "array<" + chat_format.PART + ">"
+    rows = [(k % 7, k, "assistant" if k % 2 else "user", parts) for k, parts in enumerate(turns)]
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}"))
+    read = {r["conv_id"]: r for r in chat_format.read_back(formatted).collect()}
+    for conv in range(7):
+        mine = [parts for k, parts in enumerate(turns) if k % 7 == conv]
+        assert [[tuple(p) for p in x] for x in read[conv]["parts"]] == [brute_read(p) for p in mine]
+        assert [t["text"] for t in read[conv]["turns"]] == ["".join(p[1] or "" for p in x if p[0] == "text") for x in mine]
+
+
 def test_quality_learns_and_scores_everything(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice(["the", "river", "stone", "walks", "slowly", "green"]) for _ in range(40)) + "." for _ in range(150)]

@@ -63,16 +63,31 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+h AS (
+  SELECT *, role = 'user' AND turn % 3 = 0 AS asked, length(text) AS size, length(text) // 2 AS half,
+         CASE length(text) % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'document' END AS kind
+  FROM t),
+p AS (
+  SELECT *, CASE WHEN asked THEN [substr(text, 1, half), substr(text, half + 1)] ELSE [text] END AS texts,
+         CASE kind WHEN 'image' THEN ceil((size + 1) / 28) * 2 WHEN 'audio' THEN greatest(ceil(size / 4 * 25), 1) ELSE (size % 4 + 1) * 512 END AS tokens
+  FROM h),
 e AS (
-  SELECT *, length(replace(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e'), '<|', '\p')) AS n FROM t),
+  SELECT *, array_to_string(list_transform(texts, lambda x: replace(x, chr(1), chr(1) || 't')), chr(1) || 'p' || kind || ';') AS marked,
+         list_sum(list_transform(texts, lambda x: length(replace(replace(replace(replace(x, '\', '\\'), '###', '\h'), '</turn>', '\e'), '<|', '\p'))))
+         + CASE WHEN asked THEN length(kind) + 4 ELSE 0 END AS n
+  FROM p),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-         sum(n + length(role) + 14) AS chars
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, marked) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, marked) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(n + length(role) + 14) AS chars, count(*) FILTER (WHERE asked) AS n_attachments,
+         coalesce(sum(tokens) FILTER (WHERE asked), 0) AS attachment_tokens,
+         coalesce(string_agg(kind || ':' || conv_id || '/' || turn || ':' || CAST(tokens AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, marked)
+                  FILTER (WHERE asked), '') AS attached
   FROM e GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
+       sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, n_attachments,
+       CAST(attachment_tokens AS BIGINT) AS attachment_tokens, sha256(attached) AS attachments_sha256
 FROM g
 """
 
