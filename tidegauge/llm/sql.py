@@ -72,7 +72,8 @@ p AS (
          CASE kind WHEN 'image' THEN ceil((size + 1) / 28) * 2 WHEN 'audio' THEN greatest(ceil(size / 4 * 25), 1) ELSE (size % 4 + 1) * 512 END AS tokens
   FROM h),
 e AS (
-  SELECT *, array_to_string(list_transform(texts, lambda x: replace(x, chr(1), chr(1) || 't')), chr(1) || 'p' || kind || ';') AS marked,
+  SELECT *, replace(texts[1], chr(1), chr(1) || 't')
+           || CASE WHEN asked THEN chr(1) || 'p' || kind || ';' || replace(texts[2], chr(1), chr(1) || 't') ELSE '' END AS marked,
          list_sum(list_transform(texts, lambda x: length(replace(replace(replace(replace(x, '\', '\\'), '###', '\h'), '</turn>', '\e'), '<|', '\p'))))
          + CASE WHEN asked THEN length(kind) + 4 ELSE 0 END AS n
   FROM p),
