@@ -64,6 +64,107 @@ def test_patterns_find_what_the_base_misses(spark):
     assert clean[0]["text"] == "word call [PHONE] today" and clean[41]["text"] == texts[41] and len(clean) == 42
 
 
+def shape_of(body):
+    return re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", body))
+
+
+def around(text, pattern):
+    """(start, end, body, left word, right word) of all matches."""
+    found = list(re.finditer(pattern, text))
+    edges = [0, *(x for m in found for x in m.span()), len(text)]
+    for k, m in enumerate(found):
+        before, after = text[edges[2 * k] : m.start()], text[m.end() : edges[2 * k + 3]]
+        yield m.start(), m.end(), m.group(), re.split(r"\s+", before[-40:].rstrip(" "))[-1].lower(), re.split(r"\s+", after[:40].lstrip(" "))[0].lower()
+
+
+def brute_instances(text, most=19, max_tokens=4):
+    seeds, runs = [], []
+    for kind, pattern in PATTERNS.items():
+        seeds += [(kind, s, e, (shape_of(b), left, right)) for s, e, b, left, right in around(text, pattern) if fits(kind, b)]
+    for at, _, body, left, right in around(text, pii_bootstrap.ZONE):
+        t = body.split(" ")
+        for i in range(len(t)):
+            for n in range(1, min(most, len(t) - i) + 1):
+                run = " ".join(t[i : i + n])
+                lead = len(re.match(r"[^0-9A-Za-z+(]*", run).group())
+                inner = re.sub(r"[^0-9A-Za-z)]+$", "", run[lead:])
+                s = at + sum(len(x) + 1 for x in t[:i]) + lead
+                if any(a < s + len(inner) and b > s for _, a, b, _ in seeds):
+                    continue
+                kinds = [k for k in PATTERNS if re.search(pii_bootstrap.LOOSE[k], inner) and fits(k, inner)]
+                words = (t[i - 1].lower() if i else left, t[i + n].lower() if i + n < len(t) else right)
+                if n <= max_tokens or kinds:
+                    runs.append((kinds, s, s + len(inner), (shape_of(inner), *words)))
+    return seeds, runs
+
+
+def brute_learned(texts, rounds=3, support=5, accept=0.75, trust=0.5):
+    """Spans that the bootstrap adds, one row after the other."""
+    every = [brute_instances(t or "") for t in texts]
+    sure, total, open_ = defaultdict(int), defaultdict(int), defaultdict(int)
+    for seeds, runs in every:
+        for kind, *_, views in seeds:
+            for v in enumerate(views):
+                sure[v, kind] += 1
+                total[v] += 1
+        for kinds, *_, views in runs:
+            for v in enumerate(views):
+                total[v] += 1
+            for k in kinds:
+                open_[views, k] += 1
+    points = dict.fromkeys(open_, 0)
+    for _ in range(rounds):
+        likely, promoted = defaultdict(int), defaultdict(int)
+        for (views, kind), n in open_.items():
+            for v in enumerate(views):
+                likely[v, kind] += n * points[views, kind]
+                promoted[v, kind] += n * (points[views, kind] >= accept * 10**6)
+        by = {k: (sure[k] * 10**6 + likely[k]) // (total[k[0]] + 1) for k in likely if sure[k] + promoted[k] >= support}
+        for views, kind in open_:
+            c = [by.get((v, kind), 0) for v in enumerate(views)]
+            c = [x / 10**6 if x >= trust * 10**6 else 0 for x in c]
+            points[views, kind] = round((1 - (1 - c[0]) * (1 - c[1]) * (1 - c[2])) * 10**6)
+    out = {}
+    for i, (_, runs) in enumerate(every):
+        new = sorted({(list(PATTERNS).index(k), s, -e) for kinds, s, e, views in runs for k in kinds if points[views, k] >= accept * 10**6})
+        kept = []
+        for kind, s, e in new:
+            if not any(k == kind and b > s for k, _, b in kept):
+                kept.append((kind, s, -e))
+        out[i] = kept
+    return out
+
+
+def learned_corpus():
+    rng = random.Random(12)
+    texts = [f"pay with card {rng.choice(['4532015112830366', '4111111111111111', '4111111111111112'])} now" for _ in range(30)]
+    texts += [f"call {rng.randrange(10)}{rng.randrange(10)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} today" for _ in range(7)]
+    texts += [f"call +1 {rng.randrange(200, 999)} {rng.randrange(1000, 9999)} today" for _ in range(90)]
+    texts += [f"ring {rng.randrange(10, 99)} {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} {'soon' if k else 'today'}" for k in range(2)]
+    texts += [f"id 12345 {c} paid" for c in ("4532015112830366", "4532015112830367") for _ in range(6)]
+    return [*texts, "version 2024 01 01 of 12 345 6789", None, "", "(1 2 3 4 5 6 7 8 9)", "1 " * 300]
+
+
+def test_learned_spans_equal_brute_force_in_any_order(spark):
+    texts = learned_corpus()
+    want = brute_learned(texts)
+    assert any(want[i] for i, t in enumerate(texts) if t and t.startswith("call")) and any(want[i] for i, t in enumerate(texts) if t and t.startswith("ring"))
+    docs = docs_of(spark, texts)
+    for rows in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).coalesce(1), docs.repartition(7)):
+        found = {r["doc_id"]: ({tuple(x) for x in r["spans"]} - {tuple(x) for x in r["base"]}) for r in pii_bootstrap.extract(rows).collect()}
+        assert found == {i: set(x) for i, x in want.items()}
+
+
+def test_redaction_of_null_ids_and_clashing_columns(spark):
+    schema = "_id string, doc_id long, text string, _key int, spans string, row int, end int, x int"
+    rows = [("a", None, "mail a@b.com now", 1, "s", 2, 3, 4), ("b", None, None, 1, "s", 2, 3, 4), ("c", 5, "1.2.3.4 and x@y.zz", 1, "s", 2, 3, 4), ("c", 5, "1.2.3.4 and x@y.zz", 1, "s", 2, 3, 4)]
+    docs = spark.createDataFrame(rows, schema)
+    clean = pii_bootstrap.redact(docs, pii_bootstrap.extract(docs))
+    texts = {"a": "mail [EMAIL] now", "b": None, "c": "[IP] and [EMAIL]"}
+    assert clean.schema == docs.schema
+    assert sorted(map(tuple, clean.collect())) == sorted((r[0], r[1], texts[r[0]], *r[3:]) for r in rows)
+
+
 def test_personal_data_of_nothing(spark):
     empty = docs_of(spark, ["x"]).limit(0)
     assert pii_bootstrap.extract(empty).count() == 0

@@ -4,16 +4,21 @@ Seeds are the validated matches of four fixed patterns. Every seed and every
 other identifier-like token run of the corpus is an instance with lexical
 patterns: its shape (digits to 9, letter runs to a), the word to its left and
 the word to its right. The bipartite graph of instances and patterns is scored
-in rounds: a pattern's confidence for a kind is the scored share of its
-instances, an unlabelled instance takes the noisy-or of its patterns. Instances
+in rounds. A pattern counts for a kind once enough instances support it, seeds
+or instances promoted in earlier rounds, and once its confidence, the scored
+share of its instances, is high; so promoted instances induce patterns that no
+seed has. An unlabelled instance takes the noisy-or of such patterns. Instances
 above the acceptance level that also satisfy the kind's digit rules are new
 spans. Identical instances are counted before any shuffle, so a common word or
-shape is one row.
+shape is one row. Scores are whole millionths and sums of whole numbers, so the
+order of rows changes nothing.
 
 Null and empty texts have no spans. Rows that share id and text get the same
-spans. Very long texts are scanned whole. Without seeds nothing is added. New
-spans never overlap seeds, and of overlapping new spans of a kind the first,
-then the longest stays.
+spans; a null id is an id like any other. Very long texts are scanned whole, in
+time that grows with their length. Without seeds nothing is added. New spans
+never overlap seeds, and of overlapping new spans of a kind the first, then the
+longest stays. An empty table gives an empty result. Extra columns are ignored,
+and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize
+from tidegauge.llm.common import join_unique, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, possessive where the following character decides, so that no run is scanned twice.
@@ -82,25 +87,40 @@ def shape(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, "[0-9]", "9"), "[A-Za-z]+", "a")
 
 
+def starts_of(sizes: Column, block: int = 512) -> Column:
+    """Sums of all earlier entries of an array<int>, at every entry: in blocks, since arrays are copied when they grow."""
+
+    def step(state: Column, x: Column) -> Column:
+        return F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def plain(x: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, none, step)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(block)), lambda k: plain(F.slice(sizes, k + 1, block)))
+    firsts = plain(F.transform(blocks, lambda b: b["at"]))["out"]
+    whole = F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.transform(b["out"], lambda x: x + first)))
+    return F.when(F.size(sizes) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
 def located(found: str, gaps: str) -> Column:
     """array<struct(start, end, body, left, right)> from a pattern's matches and the text between them."""
+    sizes = F.transform(found, lambda body, k: F.length(F.get(F.col(gaps), k)) + F.length(body))
+    firsts = F.zip_with(found, starts_of(sizes), lambda body, at: F.struct(body.alias("body"), at.alias("at")))
 
-    def step(state: Column, k: Column) -> Column:
-        body, before, after = (F.element_at(F.col(c), i) for c, i in ((found, k), (gaps, k), (gaps, k + 1)))
-        start = state["at"] + F.length(before)
-        one = F.struct(
+    def one(x: Column, k: Column) -> Column:
+        before, after = F.get(F.col(gaps), k), F.get(F.col(gaps), k + 1)
+        start = x["at"] + F.length(before)
+        return F.struct(
             start.alias("start"),
-            (start + F.length(body)).alias("end"),
-            body.alias("body"),
+            (start + F.length(x["body"])).alias("end"),
+            x["body"].alias("body"),
             F.coalesce(word_before(before), F.lit("")).alias("left"),
             F.coalesce(word_after(after), F.lit("")).alias("right"),
         )
-        return F.struct((start + F.length(body)).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    kind = "array<struct<start:int,end:int,body:string,left:string,right:string>>"
-    none = F.array().cast(kind)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step)["out"]).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,body:string,left:string,right:string>>")
+    return F.when(F.size(found) > 0, F.transform(firsts, one)).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,15 +159,24 @@ def candidates_of(scanned: DataFrame, max_tokens: int) -> DataFrame:
     seeds = F.concat(*(F.transform(k, lambda x: F.named_struct(F.lit("a"), x["start"], F.lit("b"), x["end"])) for k in KINDS))
     zones = scanned.select("id", "key", seeds.alias("seeds"), F.explode("zone").alias("z"))
     zones = zones.select("id", "key", "seeds", F.split("z.body", " ").alias("t"), F.col("z.start").alias("at"), "z.left", "z.right")
-    tokens = zones.select("*", F.posexplode(F.transform("t", lambda x: F.length(x))).alias("i", "size"))
-    before = F.length(F.array_join(F.slice("t", F.lit(1), F.col("i")), " ")) + (F.col("i") > 0).cast("int")
-    lengths = F.sequence(F.lit(1), F.least(F.lit(max(max_tokens, MOST_DIGITS)), F.size("t") - F.col("i")))
-    runs = tokens.withColumn("first", F.col("at") + before).withColumn("n", F.explode(lengths))
-    run = F.array_join(F.slice("t", F.col("i") + 1, F.col("n")), " ")
+    most = max(max_tokens, MOST_DIGITS)
+    places = starts_of(F.transform("t", lambda x: F.length(x) + 1))
+    # What a token needs of its zone: the runs that start there, and one word on either side.
+    views = F.zip_with(
+        F.sequence(F.lit(0), F.size("t") - 1), places,
+        lambda i, start: F.struct(
+            start.alias("start"), F.slice("t", i + 1, most).alias("t"), F.when(i > 0, F.get(F.col("t"), i - 1)).alias("before"),
+            F.get(F.col("t"), i + most).alias("after"),
+        ),
+    )
+    near = F.filter("seeds", lambda s: (s["b"] > F.col("at")) & (s["a"] < F.col("at") + F.length(F.array_join("t", " "))))
+    tokens = zones.select("id", "key", near.alias("seeds"), "at", "left", "right", F.explode(views).alias("v"))
+    runs = tokens.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("v.t"))))
+    run = F.array_join(F.slice("v.t", F.lit(1), F.col("n")), " ")
+    next_one = F.lower(F.coalesce(F.get(F.col("v.t"), F.col("n")), F.when(F.col("n") == most, F.col("v.after"))))
     runs = runs.select(
-        "id", "key", "seeds", "first", "n", run.alias("run"),
-        F.when(F.col("i") > 0, F.lower(F.element_at("t", F.col("i")))).otherwise(F.col("left")).alias("left"),
-        F.when(F.col("i") + F.col("n") < F.size("t"), F.lower(F.element_at("t", F.least(F.col("i") + F.col("n") + 1, F.size("t"))))).otherwise(F.col("right")).alias("right"),
+        "id", "key", "seeds", (F.col("at") + F.col("v.start")).alias("first"), "n", run.alias("run"),
+        F.coalesce(F.lower("v.before"), F.col("left")).alias("left"), F.coalesce(next_one, F.col("right")).alias("right"),
     )
     lead = F.length(F.regexp_extract("run", r"^[^0-9A-Za-z+(]*", 0))
     body = F.regexp_replace(F.regexp_replace("run", r"^[^0-9A-Za-z+(]+", ""), r"[^0-9A-Za-z)]++$", "")
@@ -161,38 +190,57 @@ def candidates_of(scanned: DataFrame, max_tokens: int) -> DataFrame:
     return runs.select("id", "key", "kinds", "start", "end", shape(F.col("body")).alias("shape"), "left", "right")
 
 
-def score(seeds: DataFrame, candidates: DataFrame, rounds: int, support: int) -> DataFrame:
-    """(shape, left, right, kind, score) of unlabelled instances after so many rounds over the graph."""
-    views = ("shape", "left", "right")
-    labelled = seeds.groupBy(*views, "kind").agg(F.count("*").alias("n"))
-    unknown = materialize(candidates.groupBy(*views).agg(F.count("*").alias("n")), "instances")
-    labelled = materialize(labelled, "labelled")
+#: Scores are whole numbers of this size.
+ONE = 1_000_000
+VIEWS = ("shape", "left", "right")
+
+
+def by_pattern(instances: DataFrame) -> DataFrame:
+    """Instances once for each of their patterns: view (place in VIEWS) and value."""
+    values = F.array(*(F.struct(F.lit(k).alias("view"), F.col(v).alias("value")) for k, v in enumerate(VIEWS)))
+    return instances.withColumn("p", F.explode(values)).select("*", "p.view", "p.value").drop("p")
+
+
+def score(seeds: DataFrame, candidates: DataFrame, rounds: int, support: int, accept: float = 0.75, trust: float = 0.5) -> DataFrame:
+    """(shape, left, right, kind, n, score) of unlabelled instances after so many rounds over the graph.
+
+    A pattern counts with ``support`` seeds or promoted instances (score at least ``accept``) and a confidence of ``trust``.
+    """
+    labelled = materialize(seeds.groupBy(*VIEWS, "kind").agg(F.count("*").alias("n")), "labelled")
+    unknown = materialize(candidates.groupBy(*VIEWS).agg(F.count("*").alias("n")), "instances")
     # Digits decide the kinds, so instances of one shape may differ in them.
-    open_kinds = candidates.select(*views, F.explode("kinds").alias("kind")).groupBy(*views, "kind").agg(F.count("*").alias("n"))
-    open_kinds = materialize(open_kinds, "open")
-    scored = open_kinds.withColumn("score", F.lit(0.0))
+    open_kinds = candidates.select(*VIEWS, F.explode("kinds").alias("kind")).groupBy(*VIEWS, "kind").agg(F.count("*").alias("n"))
+    scored = materialize(open_kinds.withColumn("points", F.lit(0).cast("long")), "open")
+    totals = by_pattern(labelled.select(*VIEWS, "n").unionAll(unknown.select(*VIEWS, "n"))).groupBy("view", "value").agg(F.sum("n").alias("total"))
+    sure = by_pattern(labelled).groupBy("view", "value", "kind").agg(F.sum("n").alias("sure"))
+    totals, sure = materialize(totals, "totals"), materialize(sure, "sure")
+    instance = [*VIEWS, "kind", "n"]
     for _ in range(rounds):
-        confidence = []
-        for view in views:
-            total = labelled.select(view, "n").unionAll(unknown.select(view, "n")).groupBy(view).agg(F.sum("n").alias("total"))
-            won = labelled.groupBy(view, "kind").agg(F.sum("n").alias("sure"))
-            likely = scored.groupBy(view, "kind").agg(F.sum(F.col("n") * F.col("score")).alias("likely"))
-            rows = won.where(F.col("sure") >= support).join(likely, [view, "kind"], "left").join(total, view)
-            share = (F.col("sure") + F.coalesce("likely", F.lit(0.0))) / (F.col("total") + 1)
-            confidence.append(rows.select(view, "kind", share.alias(f"by_{view}")))
-        joined = open_kinds
-        for view, rows in zip(views, confidence):
-            joined = joined.join(rows, [view, "kind"], "left")
-        doubt = reduce(lambda a, b: a * b, (1 - F.coalesce(f"by_{v}", F.lit(0.0)) for v in views))
-        scored = materialize(joined.select(*views, "kind", "n", (1 - doubt).alias("score")), "scores")
-    return scored
+        edges = by_pattern(scored)
+        won = edges.groupBy("view", "value", "kind").agg(
+            F.sum(F.col("n") * F.col("points")).alias("likely"),
+            F.sum(F.when(F.col("points") >= int(accept * ONE), F.col("n")).otherwise(0)).alias("promoted"),
+        )
+        known = won.join(sure, ["view", "value", "kind"], "left").na.fill(0, ["sure"]).where(F.col("sure") + F.col("promoted") >= support)
+        known = known.join(totals, ["view", "value"])
+        trusted = known.withColumn("by", F.floor((F.col("sure") * ONE + F.col("likely")) / (F.col("total") + 1)))
+        trusted = trusted.where(F.col("by") >= int(trust * ONE)).select("view", "value", "kind", "by")
+        best = edges.join(trusted, ["view", "value", "kind"]).groupBy(*instance).agg(
+            *(F.max(F.when(F.col("view") == k, F.col("by"))).alias(f"by_{v}") for k, v in enumerate(VIEWS))
+        )
+        doubt = reduce(lambda a, b: a * b, (1 - F.coalesce(f"by_{v}", F.lit(0)) / ONE for v in VIEWS))
+        found = best.select(*instance, F.round((1 - doubt) * ONE).cast("long").alias("won"))
+        joined = scored.drop("points").join(found, instance, "left")
+        scored = materialize(joined.select(*instance, F.coalesce("won", F.lit(0).cast("long")).alias("points")), "scores")
+    return scored.select(*instance, (F.col("points") / ONE).alias("score"))
 
 
 def apart(spans: Column) -> Column:
-    """Of sorted spans, those that do not overlap an earlier kept one of their kind."""
+    """Of spans in order of kind and start, those that do not overlap an earlier kept one of their kind."""
 
     def keep(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda y: (y["kind"] == x["kind"]) & (y["end"] > x["start"]) & (y["start"] < x["end"]))
+        last = F.try_element_at(kept, F.lit(-1))
+        clash = (last["kind"] == x["kind"]) & (last["end"] > x["start"])
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
 
     return F.aggregate(spans, F.array().cast("array<struct<kind:int,start:int,neg:int,end:int>>"), keep)
@@ -206,17 +254,19 @@ def extract(
     rounds: int = 3,
     support: int = 5,
     accept: float = 0.75,
+    trust: float = 0.5,
     max_tokens: int = 4,
 ) -> DataFrame:
     """Per row: id_col, key (xxhash64 of the text), base and spans: arrays of (kind, start, end), kind by place in KINDS."""
     scanned = materialize(scan(docs, id_col, text_col), "scanned")
     seeds = seeds_of(scanned)
     candidates = materialize(candidates_of(scanned, max_tokens), "candidates")
-    scores = score(seeds, candidates, rounds, support).where(F.col("score") >= accept)
+    scores = score(seeds, candidates, rounds, support, accept, trust).where(F.col("score") >= accept)
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    views = ["shape", "left", "right", "kind"]
+    name = F.concat_ws("\n", *VIEWS, "kind").alias("instance")  # none of them holds a line feed
     wanted = candidates.where(F.size("kinds") > 0).withColumn("kind", F.explode("kinds"))
-    new = wanted.join(scores.select(*views), views).select("id", "key", number.alias("kind"), "start", "end").distinct()
+    wanted = wanted.select("id", "key", number.alias("kind"), "start", "end", name)
+    new = join_unique(wanted, scores.select(name), "instance").select("id", "key", "kind", "start", "end").distinct()
     ordered = F.sort_array(F.collect_list(F.struct("kind", "start", (F.col("start") - F.col("end")).alias("neg"), "end")))
     new = new.groupBy("id", "key").agg(ordered.alias("new"))
 
@@ -225,7 +275,9 @@ def extract(
 
     base = F.concat(*map(numbered, KINDS))
     added = F.transform(apart(F.col("new")), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    joined = scanned.select("id", "key", base.alias("base")).join(new, ["id", "key"], "left")
+    new = new.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "new")
+    rows = scanned.select("id", "key", base.alias("base"))
+    joined = rows.join(new, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
     spans = F.when(F.col("new").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", added)))
     return joined.select(F.col("id").alias(id_col), "key", "base", spans.alias("spans"))
 
@@ -238,21 +290,24 @@ def written(spans: str) -> Column:
 
 def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    spans = found.select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans")).where(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["_id", "_key"])
-    order = F.array_sort(F.transform("_spans", lambda x: F.named_struct(F.lit("s"), x["start"], F.lit("e"), x["end"], F.lit("k"), x["kind"])))
-    name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def step(state: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text_col), state["at"] + 1, F.greatest(x["s"] - state["at"], F.lit(0)))
-        tag = F.when(x["s"] >= state["at"], F.get(name, x["k"])).otherwise("")
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], gap, tag).alias("out"))
+    spans = found.select(F.col(id_col).alias("_of"), F.col("key").alias("_text"), F.col("spans").alias("_spans")).where(F.size("spans") > 0)
+    spans = spans.dropDuplicates(["_of", "_text"])  # rows of one id and text have equal spans
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    keyed = docs.select(row, docs[id_col].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text"))
+    order = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
+    joined = keyed.join(spans, same, "left").select("row", order.alias("x"))
+
+    def reach(state: Column, x: Column) -> Column:
+        return F.concat(state, F.array(F.greatest(F.element_at(state, -1), x["e"])))
 
-    clean = F.aggregate(
-        "_order", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col))),
+    name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    joined = joined.withColumn("end", F.aggregate("x", F.array(F.lit(0)), reach))  # how far the spans before each one reach
+    pieces = F.zip_with(
+        F.col("x"), F.slice("end", F.lit(1), F.size("x")),
+        lambda x, end: F.when(x["s"] >= end, F.concat(F.substring(text, end + 1, x["s"] - end), F.get(name, x["k"]))).otherwise(""),
     )
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn("_id", F.col(id_col).cast("long"))
-    joined = keyed.join(spans, ["_id", "_key"], "left").withColumn("_order", F.when(F.col("_spans").isNotNull(), order))
-    text = F.when(F.col("_order").isNotNull(), clean).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    tail = F.substring(text, F.element_at("end", -1) + 1, F.length(text))
+    clean = F.when(F.col("x").isNull(), F.col("row").getField(text_col)).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return joined.select(F.col("row").withField(f"`{text_col}`", clean).alias("row")).select("row.*")
