@@ -196,3 +196,33 @@ def test_contamination_of_empty_tables(spark):
     assert decontaminate.contamination(docs, items).count() == 0
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontaminate.contamination(some, items).first()["n_hit"] == 0
+
+
+@pytest.mark.parametrize("max_windows", [100_000, 40])
+def test_contamination_equals_brute_force(spark, max_windows):
+    rng = random.Random(17)
+
+    def line(n):
+        return " ".join(rng.choice(["Alpha", "beta", "ça", "d4", "E"]) + str(rng.randrange(3)) for _ in range(n))
+
+    items = [(k if k % 9 else None, line(rng.choice([0, 1, 3, 10, 14, 30]))) for k in range(60)]
+    docs = [(k if k % 11 else None, " ".join(rng.choice([line(4), (rng.choice(items)[1] or "x")]) for _ in range(rng.randrange(6)))) for k in range(80)]
+
+    def words_of(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+
+    want = []
+    for i, text in docs:
+        w, hit, names = words_of(text), set(), set()
+        for item, said in items:
+            v = words_of(said)
+            for k in range(max(len(v) - 9, 1) if v and item is not None else 0):
+                win = v[k : k + 10]
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        names.add(str(item))
+        want.append((i, len(w), len(hit), sorted(names)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(d, b, max_windows=max_windows).collect()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in found)
