@@ -219,6 +219,76 @@ def test_suffix_array_equals_brute_force(spark):
     assert found == {p: " ".join(x for k, x in enumerate(w) if k not in covered[p]) for p, w in streams.items()}
 
 
+def test_class_names_and_quotes_empty_no_page():
+    def text(page):
+        kinds, blocks = host_suffix.blocks_of_page(page)
+        return [b for k, b in zip(kinds, blocks) if k == host_suffix.KEEP]
+
+    story = "<article><p title=it's>one two</p><p>it's three</p></article>"
+    for page in (story, f'<html class="no-js modal-ready"><body class="cookies-not-set widget">{story}</body></html>', f'<main class="search">{story}</main>', f'<div class="no-ads">{story}</div>'):
+        assert text(page) == ["one two", "it's three"]
+    assert text('<article class="post promo"><p>a</p><article class="comment">no</article><div class="cookie-banner">no</div></article>') == ["a"]
+    assert text("<article><p title='a>b' data-x=\"c>d\">in</p><a href=x=\"y>z</article>") == ["in", "z"]
+    assert text("<article>" + "<p a='" * 3000) == ["<p a='" * 3000]  # no end of a tag: text, and no time lost
+
+
+def brute_extract(pages, shortest=8, copies=0.1):
+    """The rule of module host_suffix over distinct (id, url, html), one page after the other."""
+    parsed = {}
+    for page in dict.fromkeys(pages):
+        kinds, blocks = host_suffix.blocks_of_page(page[2] or "")
+        undecided = host_suffix.KEEP not in kinds and host_suffix.OPEN in kinds
+        parsed[page] = (host_suffix.host_of(page[1]), kinds if undecided else [host_suffix.DROP if k == host_suffix.OPEN else k for k in kinds], blocks, undecided)
+    out = {}
+    for page, (host, kinds, blocks, undecided) in parsed.items():
+        others = [v for p, v in parsed.items() if p != page and v[0] == host]
+        streams = {p: [w for k, b in zip(v[1], v[2]) if k != host_suffix.KEEP for w in b.split()] for p, v in parsed.items() if v[0] == host}
+        hidden = brute_covered(streams, shortest)[page] if undecided else set()
+        at, kept = 0, []
+        for k, b in zip(kinds, blocks):
+            if k == host_suffix.KEEP:
+                kept.append(b)
+                continue
+            n = 1 + sum(b in v[2] for v in others)
+            outside = any(k2 == host_suffix.DROP and b2 == b for v in [*others, (host, kinds, blocks, undecided)] for k2, b2 in zip(v[1], v[2]))
+            copied = n > 1 and not outside and n <= max(2, (len(others) + 1) * copies)
+            words = b.split()
+            left = words if copied else [w for j, w in enumerate(words, at) if j not in hidden]
+            at += len(words)
+            if k == host_suffix.OPEN and left:
+                kept.append(" ".join(left))
+        out[page] = ("\n".join(kept), len(hidden))
+    return [(p[0], *out[p]) for p in pages]
+
+
+def test_pages_equal_brute_force(spark):
+    rng = random.Random(31)
+    lines = [" ".join(rng.choice("abcd") + rng.choice("xy") for _ in range(rng.choice([2, 9, 20, 70]))) for _ in range(14)]
+    pages = []
+    for k in range(60):
+        inner = "".join(f"<{t}>{rng.choice(lines)} {rng.choice(['', f'own{k} ' * 4])}</{t}>" for t in rng.choices(["div", "p", "nav", "footer", "li"], k=rng.randrange(1, 7)))
+        page = (None if k == 7 else k // 2, rng.choice([f"http://one.org/{k}", f"http://two.org/{k}", None]), f"<article>{inner}</article>{lines[0]}" if k % 5 == 0 else inner)
+        pages += [page] * rng.choice([1, 1, 2])
+    pages += [(100, "http://one.org", None), (100, "http://one.org", "")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = host_suffix.extract(rows).collect()
+    assert sum(r["open"] for r in found) > 20 and any(r["n_repeated"] for r in found)
+    assert sorted(map(str, brute_extract(pages))) == sorted(str((r["page_id"], r["text"], r["n_repeated"])) for r in found)
+
+
+def test_common_lengths_of_neighbours():
+    long = [f"w{k}" for k in range(70)]
+    pages = {0: [*long, "a", "b"], 1: [*long, "c"], 2: [*long[:20], "d"]}
+    rows = []
+    for p, words in pages.items():
+        names = host_suffix.names_of_suffixes(p, "h", [host_suffix.OPEN], [" ".join(words)], 8)
+        rows += [(*map(int, n), p, at) for at, n in enumerate(zip(*names))]
+    rows.sort()
+    columns = np.array(rows, dtype=np.int64).T
+    got = {(p, at): n for p, at, n in zip(columns[4].tolist(), columns[5].tolist(), host_suffix.common_lengths(list(columns[:4]), columns[4], 8).tolist())}
+    assert (got[0, 0], got[1, 0], got[2, 0], got[0, 30], got[2, 5], got[0, 63]) == (64, 64, 16, 32, 8, 8)
+
+
 def test_chats_read_back_exactly(spark):
     hostile = ["\\### Assistant: </turn> ok", "###", "####", "</turn>\n</turn>", "\\\\h\\", "<|image|>", "", None, "é𝒳\n", "a" * 50_000, "##</turn", "\\e\\\\p"]
     rows = [(1, k, "user" if k % 2 else "assistant", t, "x") for k, t in enumerate(hostile)]

@@ -1,23 +1,29 @@
 """Operator 5: main text of web pages, with a suffix array of each host's token streams.
 
-Markup decides what it names: blocks inside an article are text, blocks inside
-menus, headers, footers, sidebars, forms, notices, adverts and comments are
-not. What markup leaves open (a page without an article) is decided by
-repetition: the token streams of a host's open and dropped blocks are put side
-by side, all suffixes are sorted by their first ``shortest`` tokens, and equal
-neighbours from distinct pages are repeats. Open tokens that a repeat covers
-are boilerplate; the runs between them stay. A whole open block that few pages
-of the host repeat (two, or the share ``copies``) is a copied article and stays.
-
-A suffix cut to ``shortest`` tokens suffices, since a longer repeat is a chain
-of such windows; so a suffix is one small row keyed by host and window, never a
-host in one task, and a menu that all pages of a large host share is aggregated
-before it is shuffled. Text inside an article is never dropped for being
+Markup cuts a page into blocks and decides what it names: blocks inside an
+article are text, blocks inside menus, headers, footers, sidebars, forms,
+notices, adverts and comments are not. What markup leaves open (a page without
+an article) is decided by repetition. The token streams of a host's open and
+dropped blocks are put side by side. A suffix that begins with ``shortest``
+tokens that a distinct page of the host has, too, goes into the host's suffix
+array: sorted by the names of its first 8, 16, 32 and 64 tokens (names of
+doubled length, as in prefix doubling), so that suffixes with long common
+beginnings are neighbours, whose common length bounds the repeat. Open tokens
+that a repeat covers are boilerplate; the runs between them stay. A whole open
+block that few pages of the host repeat (two, or the share ``copies``) is a
+copied article and stays.
+
+The sort is cut into ranges by name, never by host, so no host stands in one
+task, and a menu that all pages of a large host share is aggregated before it is
+shuffled. A cut between two neighbours shortens a repeat's known length at most
+to ``shortest`` and uncovers nothing, since the suffixes inside the repeat are in
+the array themselves. Text inside an article is never dropped for being
 repeated: two pages may hold the same article.
 
 A null page gives the empty text, a null address the host ''. Whole pages are
-read, whatever their length. Repeated rows are extracted each; rows of one
-page_id count as one page. Extra columns are ignored.
+read, whatever their length. Repeated rows are extracted each and count as one
+page; two pages of one page_id that differ are two pages. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize, small_batches
+from tidegauge.llm.common import join_unique, materialize, small_batches
 
 #: Elements whose content is never text, that are never text outside or inside an article, and that end a block.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noframes", "noembed"}
@@ -55,34 +61,48 @@ NOISE = {
     "topbar", "widget",
 }
 PAGE_HEAD = {"header", "masthead"}
+#: Words that turn the other words of a class name round, and elements that no class name drops.
+NEGATIONS = {"no", "not", "non", "without", "free", "has", "js", "ready", "disabled", "hidden"}
+PAGE = {"html", "body", "main"}
 STORY = {"article", "articlebody", "entry", "main", "post", "story"}
 
+#: A comment, a declaration, or a tag; a quote opens a value only after an equals sign.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>""",
     re.S,
 )
 NAMED = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NOT_WORD = re.compile(r"[^a-z0-9]+")
 KEEP, DROP, OPEN = 0, 1, 2
-EXTRACTED = "page_id long, url string, host string, kinds array<tinyint>, blocks array<string>, open boolean"
+#: Lengths, in multiples of the shortest repeat, by which suffixes are named.
+DOUBLED = (2, 4, 8)
+EXTRACTED = "page long, page_id long, url string, host string, kinds array<tinyint>, blocks array<string>, open boolean"
+SUFFIX = f"page long, at int, name long, {', '.join(f'name{k} long' for k in DOUBLED)}"
 
 
-def names_of(attributes: str) -> set[str]:
-    """Words of the element's class, id, role and itemprop."""
+def names_of(attributes: str) -> tuple[set[str], set[str]]:
+    """Words of the element's class, id, role and itemprop; and those of names that no word turns round."""
     if "=" not in attributes:
-        return set()
-    found = " ".join(a or b or c for a, b, c in NAMED.findall(attributes))
-    return set(NOT_WORD.split(found.lower())) | set(found.lower().split()) if found else set()
+        return set(), set()
+    every, plain = set(), set()
+    for name in " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower().split():
+        words = {w for w in NOT_WORD.split(name) if w} | {name}
+        every |= words
+        if not words & NEGATIONS:
+            plain |= words
+    return every, plain
 
 
 def weight(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
     """(what it adds to the noise level, to the article level)."""
-    names = names_of(attributes)
+    names, plain = names_of(attributes)
     story = bool(names & STORY)
-    if tag in DROPPED or names & NOISE:
+    if tag in PAGE or tag == "article" and not inside:
+        return 0, int(tag in ARTICLE)
+    if tag in DROPPED or plain & NOISE:
         return 1, 0
-    if (tag == "header" or names & PAGE_HEAD) and not inside and not story:
+    if (tag == "header" or plain & PAGE_HEAD) and not inside and not story:
         return 1, 0
     return 0, int(tag in ARTICLE or (story and tag in ("div", "section", "td")))
 
@@ -111,12 +131,12 @@ def blocks_of_page(page: str) -> tuple[list[int], list[str]]:
         if tag.start() > at:
             parts.append(page[at : tag.start()])
         at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
+        name = (tag[2] or "").lower()
         if not name:
             continue
         if name in BLOCK:
             close()
-        if tag[1] or tag[4]:
+        if tag[1]:
             places = [k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name][:1]
             if places:
                 close()
@@ -128,7 +148,7 @@ def blocks_of_page(page: str) -> tuple[list[int], list[str]]:
             end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        attributes = tag[3] or tag[6] or ""
+        attributes = tag[3] or ""
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         if name in BLOCK and stack and stack[-1][0] == "p":
@@ -150,101 +170,135 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def windows_of(kinds: list[int], texts: list[str], shortest: int) -> np.ndarray:
-    """Hashes of all runs of ``shortest`` tokens of the page's stream of open and dropped blocks."""
+def names_of_suffixes(page: int, host: str, kinds: list[int], texts: list[str], shortest: int) -> list[np.ndarray]:
+    """Names of the first ``shortest`` tokens of every suffix of the page's open and dropped blocks, and of the doubled lengths.
+
+    Equal names: equal tokens on the same host. A suffix that is shorter than a name has one that no other suffix has.
+    """
     words = [w for k, t in zip(kinds, texts) if k != KEEP for w in t.split()]
-    if len(words) < shortest:
-        return np.zeros(0, dtype=np.int64)
+    n = len(words) - shortest + 1
+    if n < 1:
+        return [np.zeros(0, dtype=np.int64)] * (1 + len(DOUBLED))
     values = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    total = np.zeros(len(words) - shortest + 1, dtype=np.uint64)
+    one = np.full(n, xxhash.xxh64_intdigest(host), dtype=np.uint64)
     for k in range(shortest):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + values[k : k + len(total)]
-    return total.view(np.int64)
+        one = one * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n]
+    found, length = [one], shortest
+    for _ in DOUBLED:
+        half = found[-1]
+        second = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(page & (2**64 - 1))
+        second[: max(n - length, 0)] = half[length:]
+        found.append((half ^ (half >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + second)
+        length *= 2
+    return [x.view(np.int64) for x in found]
+
 
+def common_lengths(names: list[np.ndarray], pages: np.ndarray, shortest: int) -> np.ndarray:
+    """Of sorted suffixes, the length up to which each equals a neighbour from another page; ``shortest`` at least."""
+    longest = np.full(len(pages), shortest, dtype=np.int64)
+    equal = np.ones(max(len(pages) - 1, 0), dtype=bool)
+    for k, name in enumerate(names):
+        equal &= name[1:] == name[:-1]
+        starts = np.flatnonzero(np.append(True, ~equal))
+        if k and len(pages):
+            distinct = np.minimum.reduceat(pages, starts) != np.maximum.reduceat(pages, starts)
+            sizes = np.diff(np.append(starts, len(pages)))
+            longest[np.repeat(distinct, sizes)] = shortest * DOUBLED[k - 1]
+    return longest
 
-def unique_text(kinds: list[int], texts: list[str], covered: set[int], shortest: int, whole: set[int]) -> str:
-    """Open blocks without the tokens that a repeated window covers; blocks in ``whole`` stay as they are."""
+
+def unique_text(kinds: list[int], texts: list[str], repeats: list[tuple[int, int]], whole: set[int]) -> tuple[str, int]:
+    """Open blocks without the tokens that a repeat (start, length) covers, and how many are; blocks in ``whole`` stay as they are."""
+    n = sum(len(t.split()) for k, t in zip(kinds, texts) if k != KEEP)
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for at, length in repeats:
+        edge[at] += 1
+        edge[min(at + length, n)] -= 1
+    hidden = np.cumsum(edge)[:n] > 0
     at, kept = 0, []
-    hidden = {p + k for p in covered for k in range(shortest)}
     for block, (kind, text) in enumerate(zip(kinds, texts)):
         if kind == KEEP:
             kept.append(text)
             continue
         words = text.split()
         if block in whole:
-            at += len(words)
             kept.append(text)
-            continue
-        left = [w for k, w in enumerate(words, at) if k not in hidden]
+        elif kind == OPEN:
+            left = [w for w, x in zip(words, hidden[at : at + len(words)]) if not x]
+            if left:
+                kept.append(" ".join(left))
         at += len(words)
-        if kind == OPEN and left:
-            kept.append(" ".join(left))
-    return "\n".join(kept)
+    return "\n".join(kept), int(hidden.sum())
 
 
 def extract(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shortest: int = 8, copies: float = 0.1
 ) -> DataFrame:
-    """Per page: id_col, url_col, text (blocks joined by line feeds) and n_repeated (tokens covered by repeats)."""
+    """Per page: id_col, url_col, text (blocks joined by line feeds), n_repeated (tokens that repeats cover) and open (left to repetition)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for page, url, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for key, page, url, text in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
                 kinds, texts = blocks_of_page(text.as_py() or "")
                 undecided = KEEP not in kinds and OPEN in kinds
                 if not undecided:  # the article is known: what is open stands outside it
                     kinds = [DROP if k == OPEN else k for k in kinds]
-                rows.append((page, url, host_of(url), kinds, texts, undecided))
-            columns = list(zip(*rows)) or [()] * 6
-            types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.bool_()]
-            names = ["page_id", "url", "host", "kinds", "blocks", "open"]
+                rows.append((key, page, url, host_of(url), kinds, texts, undecided))
+            columns = list(zip(*rows)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.bool_()]
+            names = ["page", "page_id", "url", "host", "kinds", "blocks", "open"]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                page, host, kinds, blocks, undecided = (c[k].as_py() for c in b.columns)
-                windows = windows_of(kinds, blocks, shortest)
-                n = len(windows)
-                columns = [
-                    pa.array([page] * n, pa.int64()),
-                    pa.array([host] * n, pa.string()),
-                    pa.array(windows, pa.int64()),
-                    pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array([undecided] * n, pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "prefix", "at", "open"])
+                page, host, kinds, blocks = (c[k].as_py() for c in b.columns)
+                found = names_of_suffixes(page, host, kinds, blocks, shortest)
+                n = len(found[0])
+                columns = [pa.array(np.full(n, page, dtype=np.int64)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["page", "at", "name", *(f"name{k}" for k in DOUBLED)])
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = [b.column(k).to_numpy() for k in range(2, b.num_columns)]
+            length = common_lengths(names, b.column(0).to_numpy(), shortest)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(length.astype(np.int32))], names=["page", "at", "length"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, repeated = [], []
-            for kinds, blocks, covered, whole in zip(*(c.to_pylist() for c in b.columns[2:])):
-                texts.append(unique_text(kinds, blocks, set(covered or []), shortest, set(whole or [])))
-                repeated.append(len({p + k for p in covered or [] for k in range(shortest)}))
+            found = []
+            for kinds, blocks, repeats, whole in zip(*(c.to_pylist() for c in b.columns[2:])):
+                found.append(unique_text(kinds, blocks, [(r["at"], r["length"]) for r in repeats or []], set(whole or [])))
+            texts, repeated = zip(*found) if found else ((), ())
             columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(repeated, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_repeated"])
 
     small_batches(pages)
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    key = F.xxhash64(pages[id_col], pages[url_col], pages[html_col])
+    source = pages.select(key.alias("page"), pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     parsed = materialize(source.mapInArrow(parse, EXTRACTED), "blocks")
-    array = parsed.select("page_id", "host", "kinds", "blocks", "open").mapInArrow(
-        suffixes, "page_id long, host string, prefix long, at int, open boolean"
-    )
-    repeats = array.groupBy("host", "prefix").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.max("open").alias("open"))
-    repeats = repeats.where("open and first < last").select("host", "prefix")
-    covered = array.where("open").join(repeats, ["host", "prefix"]).groupBy("page_id").agg(F.collect_set("at").alias("covered"))
+    kept = F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k == KEEP, t)), lambda t: t.isNotNull())
+    known = parsed.where("not open").select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.lit(0).cast("long").alias("n_repeated"), "open")
+
+    # Names that distinct pages of a host share: of all pages, aggregated where they are made.
+    every = parsed.select("page", "host", "kinds", "blocks").mapInArrow(suffixes, SUFFIX).select("page", "name")
+    shared = every.groupBy("name").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a != b").select("name")
+    mine = parsed.where("open").dropDuplicates(["page"]).select("page", "host", "kinds", "blocks").mapInArrow(suffixes, SUFFIX)
+    array = join_unique(materialize(mine, "suffixes"), materialize(shared, "shared"), "name")
+    order = ["name", *(f"name{k}" for k in DOUBLED), "page", "at"]
+    array = array.select("page", "at", *order[:-2]).repartitionByRange(*order).sortWithinPartitions(*order)
+    repeats = array.mapInArrow(neighbours, "page long, at int, length int").groupBy("page").agg(F.collect_list(F.struct("at", "length")).alias("repeats"))
+
     # An open block that few pages of the host hold word for word, and none outside its text, is a copied article.
-    spread = parsed.select("page_id", "host", "kinds", "open", F.posexplode("blocks").alias("block", "said"))
-    spread = spread.select("page_id", "host", "open", "block", F.get("kinds", F.col("block")).alias("kind"), F.xxhash64("said").alias("said"))
-    held = spread.groupBy("host", "said").agg(F.countDistinct("page_id").alias("n"), F.max(F.col("kind") == DROP).alias("outside"))
-    sizes = parsed.groupBy("host").agg(F.countDistinct("page_id").alias("pages"))
-    few = held.where("n > 1 and not outside").join(sizes, "host").where(F.col("n") <= F.greatest(F.lit(2), F.col("pages") * copies))
+    spread = parsed.select("page", "host", "kinds", "open", F.posexplode("blocks").alias("block", "said"))
+    spread = spread.select("page", "host", "open", "block", F.get("kinds", F.col("block")).alias("kind"), F.xxhash64("said").alias("said"))
+    held = spread.groupBy("host", "said").agg(F.countDistinct("page").alias("n"), F.max(F.col("kind") == DROP).alias("outside"), F.max("open").alias("open"))
+    sizes = parsed.groupBy("host").agg(F.countDistinct("page").alias("pages"))
+    few = held.where("n > 1 and open and not outside").join(sizes, "host").where(F.col("n") <= F.greatest(F.lit(2), F.col("pages") * copies))
     whole = spread.where(F.col("open") & (F.col("kind") == OPEN)).join(few.select("host", "said"), ["host", "said"])
-    whole = whole.groupBy("page_id").agg(F.collect_set("block").alias("whole"))
-    kept = F.filter(F.zip_with("kinds", "blocks", lambda k, t: F.when(k == KEEP, t)), lambda t: t.isNotNull())
-    known = parsed.where("not open").select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.lit(0).cast("long").alias("n_repeated"))
-    asked = parsed.where("open").join(covered, "page_id", "left").join(whole, "page_id", "left")
-    asked = asked.select("page_id", "url", "kinds", "blocks", "covered", "whole")
-    decided = asked.mapInArrow(finish, "page_id long, url string, text string, n_repeated long")
-    return known.unionAll(decided).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_repeated")
+    whole = whole.groupBy("page").agg(F.collect_set("block").alias("whole"))
+    asked = parsed.where("open").join(repeats, "page", "left").join(whole, "page", "left")
+    asked = asked.select("page_id", "url", "kinds", "blocks", "repeats", "whole")
+    decided = asked.mapInArrow(finish, "page_id long, url string, text string, n_repeated long").withColumn("open", F.lit(True))
+    return known.unionAll(decided).select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_repeated", "open")

@@ -103,7 +103,7 @@ def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_suffix.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "open")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
