@@ -7,7 +7,8 @@ that a 304 may update are merged into the stored ones.
 
 The as-of join has two levels, so that no address ever stands in one task with
 all its captures: windows run inside (address, time bucket), and one row per
-bucket carries the last full response over to later buckets.
+bucket carries the last full response over to later buckets. Records that can
+match nothing, without address or time, are spread over buckets of their own.
 
 Order is (ts, record_id); of records with equal time the smaller id is earlier.
 A record without time or address resolves to ``no_response``. Null headers are
@@ -15,7 +16,7 @@ empty; header names match without case, the last of repeated names counts.
 Revisits without any common validator are ``no_validator``, with a different
 one ``validator_mismatch``; only ``resolved`` ones get merged headers. Repeated
 rows are resolved each. Bodies never move: the result names the record that
-holds the body. Extra columns are ignored.
+holds the body. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def resolve(
     status_col: str = "status",
     headers_col: str = "headers",
     digest_col: str = "digest",
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int = 3_600,
 ) -> DataFrame:
     """Per revisit: id_col, canonical, ts, verdict, refers_to, refers_ts, digest, headers (merged where resolved)."""
     rows = records.select(
@@ -90,7 +91,9 @@ def resolve(
         F.coalesce((F.lower(type_col) == "response") & (F.col(status_col) == 200), F.lit(False)).alias("full"),
         lower_names(F.col(headers_col)).alias("headers"), F.col(digest_col).alias("digest"),
     ).where("revisit or full")
-    rows = rows.withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    nowhere = F.col("key").isNull() | F.col("ts").isNull()
+    own = -1 - F.pmod(F.xxhash64("id"), F.lit(1024))
+    rows = rows.withColumn("bucket", F.when(nowhere, own).otherwise(F.floor(F.col("ts") / bucket_seconds)))
     stored = F.struct("id", "ts", "headers", "digest")
     usable = F.col("full") & F.col("key").isNotNull() & F.col("ts").isNotNull()
 
