@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import materialize, small_batches
+from tidegauge.llm.common import join_unique, materialize, small_batches
 
 FRAME, HOP, WIDTH = 1024, 256, 12
 
@@ -201,16 +201,15 @@ def search(audio: DataFrame, queries: Column, *, id_col: str, pcm_col: str, rate
     ``matches`` lists other classes in order of class: match_class, offset,
     votes, bit_error_rate. Members of the own class are exact copies.
     """
-    codes = materialize(fingerprints(audio, id_col=id_col, pcm_col=pcm_col, rate=rate), "codes").withColumn(
-        "print", F.when(F.size("codes") > 0, F.sha2(F.array_join("codes", ","), 256))
-    )
+    prints = F.when(F.size("codes") > 0, F.sha2(F.array_join("codes", ","), 256))
+    codes = materialize(fingerprints(audio, id_col=id_col, pcm_col=pcm_col, rate=rate).withColumn("print", prints), "codes")
     pairs = align(codes.select("id", "codes"), queries, **options)
     lists = pairs.groupBy("query_class").agg(
         F.sort_array(F.collect_list(F.struct("match_class", "offset", "votes", "bit_error_rate"))).alias("matches")
     )
-    members = codes.groupBy("print").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies")).where("print is not null")
-    own = codes.where(queries).select("id", "print").join(members, "print", "left")
-    return own.join(lists.withColumnRenamed("query_class", "class_id"), "class_id", "left").select(
+    members = codes.where("print is not null").groupBy("print").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
+    lists = materialize(lists.withColumnRenamed("query_class", "class_id"), "matches")
+    own = materialize(join_unique(codes.where(queries).select("id", "print"), members, "print", "left"), "members")
+    return join_unique(own, lists, "class_id", "left").select(
         F.col("id").alias(id_col), "class_id", F.coalesce("n_copies", F.lit(0)).alias("n_copies"), "matches"
     )
-

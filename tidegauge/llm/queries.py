@@ -76,23 +76,37 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATE = 4000
 
 
+#: Recordings of later takes have ids from here on.
+LATER = 10**12
+
+
 def recordings(vectors: DataFrame) -> DataFrame:
-    """(vec_id, pcm): each vector played as two voices, one note a component: its size and sign give the pitch."""
+    """(vec_id, pcm): each vector played as two voices, one note a component: its size and sign give the pitch.
+
+    Every tenth vector has a later take: four notes first, then the same sound, quieter and over a faint hum.
+    """
 
     def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         time = np.arange(RATE // 8) / RATE
         for b in batches:
-            sounds = []
-            for vector in b.column(1):
+            ids, sounds = [], []
+            for i, vector in zip(b.column(0).to_pylist(), b.column(1)):
                 x = np.array([v or 0.0 for v in vector.as_py() or []])
                 notes = 2 * np.minimum(np.abs(x) * 12, 5).astype(int) + (x < 0)
                 hertz = 220 * 2 ** (notes / 12)
                 low, high = hertz[: len(x) // 2], hertz[len(x) // 2 :][: len(x) // 2]
-                voices = np.sin(2 * np.pi * low[:, None] * time) + np.sin(2 * np.pi * high[:, None] * time)
-                sounds.append((voices.ravel() * 8000).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sounds, pa.binary())], names=["vec_id", "pcm"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(play, "vec_id long, pcm binary")
+                voices = (np.sin(2 * np.pi * low[:, None] * time) + np.sin(2 * np.pi * high[:, None] * time)).ravel()
+                ids.append(i)
+                sounds.append((voices * 8000).astype("<i2").tobytes())
+                if i is not None and i % 10 == 0:
+                    lead = np.sin(2 * np.pi * np.array([[262.0], [330.0], [392.0], [523.0]]) * time).ravel()
+                    later = np.concatenate([lead, 0.7 * voices])
+                    hum = 0.004 * np.sin(2 * np.pi * 1175 * np.arange(len(later)) / RATE)
+                    ids.append(LATER + i)
+                    sounds.append(((later + hum) * 8000).astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sounds, pa.binary())], names=["vec_id", "pcm"])
+
+    return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(play, "vec_id long, pcm binary")
 
 
 def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
