@@ -226,3 +226,30 @@ def test_contamination_equals_brute_force(spark, max_windows):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contamination(d, b, max_windows=max_windows).collect()
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in found)
+
+
+def test_large_leaves_are_split_until_small(spark):
+    rng = random.Random(23)
+    shared = words(rng, 60)  # a passage that all texts hold, with as much text of their own
+    texts = [(k, " ".join([*words(rng, 60), *shared, *words(rng, 60)])) for k in range(150)]
+    texts += [(1000 + k, " ".join(texts[k][1].split()[: 170 - k % 3])) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = [(8, 3), (512, 3)]
+    for block, levels in sizes:
+        found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.similarity_join(docs, block=block, levels=levels).collect()}
+        assert found == brute_classes(texts)
+    signed = chosen_path.signatures(docs, "doc_id", "text", 5, 0.8, 1, 20).where("id < 1000")
+    leaves = chosen_path.materialize(signed.select("id", F.explode("leaves").alias("leaf")), "leaves")
+    split = chosen_path.split_large(leaves, signed, most=8, levels=6, threshold=0.8, spread=1.5)
+    before, after = (x.groupBy("leaf").count().where("count > 8").agg(F.sum("count")).first()[0] or 0 for x in (leaves, split))
+    assert before > 300 and after < before / 4
+
+
+def test_every_later_take_is_found_in_the_query(spark, data):
+    from tidegauge.llm.queries import LATER, op4_chroma_fingerprints
+
+    found = {r["vec_id"]: r for r in op4_chroma_fingerprints(spark, data).collect()}
+    known = [i for i in found if i < LATER and found[i]["class_id"] is not None]
+    assert known and all(found[LATER + i]["class_id"] in {m["match_class"] for m in found[i]["matches"] or []} for i in known)
+    step = 4 * (RATE // 8) / chroma.HOP
+    assert all(min(abs(m["offset"] - step) for m in found[i]["matches"] if m["match_class"] == found[LATER + i]["class_id"]) <= 1 for i in known)

@@ -4,23 +4,29 @@ A document is the set of its distinct word five-grams. In every repetition a
 set walks a tree of paths: at a node it follows each of its tokens whose hash
 (of repetition, path and token) falls under ``1 / (threshold * set size)``, so
 sets that share most tokens keep following the same children and others part.
-A walk is decided by hashes alone: each document computes its own leaves, and
-only the leaves are shuffled. Repetitions go on until a pair at the threshold
-meets with probability ``recall``.
+A walk is decided by hashes alone: each document computes its own nodes of depth
+``depth``, and only those are shuffled. A node that is still large is split
+again on further shared tokens, level by level: texts that share a passage only
+part after a few, near copies stay together and are left as they are once a
+level shows that. Repetitions go on until a
+pair at the threshold meets with probability ``recall``, splits included.
 
 Documents with one token set form a class first, so copies cost one row. The
 representatives that meet at a leaf are compared there by min-hash sketches
 with a margin below the threshold, in blocks of bounded size; a forest of the
 likely pairs, not the pairs, leaves the task. Its connected components are
 small candidate sets; each is compared by brute force, in blocks, on its real
-sets. That yields every link inside a component, counted and not expanded.
+sets of hashed tokens. That yields every link inside a component, counted and
+not expanded.
 
 Result: one row per document with ``class_id`` (least id of its connected
 component of links), ``copy_of`` (least id with the same token set),
 ``n_links`` (different texts linked to it) and ``n_tokens``. Null, empty and
 wordless texts have no tokens and stay alone. Texts under five words are one
-token: all their words. Repeated rows and ties fall into one class. Extra
-columns are ignored. An empty table gives an empty result.
+token: all their words. Very long texts are read whole. Repeated rows and ties
+fall into one class; different texts under one id are rows of that id, of which
+one, the same on every run, stands for the id. A null id is a document without
+links. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import id_text_row, materialize, normalised, whole_groups
+from tidegauge.llm.common import id_text_row, join_unique, materialize, normalised, whole_groups
 
 #: Bins of a sketch, and how far below the threshold a likely pair may be estimated (over four standard errors).
 SKETCH = 128
@@ -96,14 +102,70 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return least
 
 
-def repeats_for(recall: float, depth: int) -> int:
-    """Repetitions until a pair at the threshold shares a leaf with probability ``recall``."""
+def repeats_for(recall: float, depth: int, levels: int = 0, spread: float = 1.0) -> int:
+    """Repetitions until a pair at the threshold shares a leaf with probability ``recall``, after ``levels`` splits, too."""
     meet = 1.0
-    for _ in range(depth):
-        meet = 1.0 - math.exp(-meet)
+    for k in range(levels + depth):
+        meet = 1.0 - math.exp(-meet * (spread if k < levels else 1.0))
     return max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - meet)))
 
 
+def children_of(leaves: np.ndarray, tokens: np.ndarray, odds: float) -> list[tuple[int, int]]:
+    """(leaf, child) for each token of the set that a split of the leaf follows."""
+    limit = np.uint64(min(int(odds * 2.0**64), 2**64 - 1))
+    spread, found = mixed(tokens.astype(np.uint64) + MASK), []
+    for leaf in leaves.tolist():
+        node = mixed(np.array([leaf], dtype=np.int64).view(np.uint64) + MASK)[0]
+        drawn = mixed(spread ^ node)
+        follow = drawn[drawn <= limit] if odds < 1 else drawn
+        found += [(leaf, child) for child in mixed(follow + node).view(np.int64).tolist()]
+    return found
+
+
+def split_large(leaves: DataFrame, signed: DataFrame, *, most: int, levels: int, threshold: float, spread: float) -> DataFrame:
+    """(id, leaf) rows in which leaves of over ``most`` rows are split again, up to ``levels`` times.
+
+    A split follows ``spread`` shared tokens of a pair at the threshold on average. A leaf with three children that each
+    keep over half of its rows together holds near copies, and stays.
+    """
+    settled, current = [], leaves
+    for _ in range(levels):
+        large = materialize(current.groupBy("leaf").count().where(F.col("count") > most), "large")
+        if large.isEmpty():
+            break
+        marked = materialize(join_unique(current, large, "leaf", "left"), "marked")
+        settled.append(marked.where("count is null").select("id", "leaf"))
+        hot = marked.where("count is not null")
+        sets = signed.select("id", "n_tokens", "tokens").join(hot.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        asked = hot.groupBy("id").agg(F.collect_list("leaf").alias("leaves")).join(sets, "id").select("id", "n_tokens", "tokens", "leaves")
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for i, n, tokens, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                    odds = min(1.0, spread / (threshold * n))
+                    found = children_of(np.asarray(of.values), np.frombuffer(tokens.as_py(), dtype="<u4"), odds)
+                    out += [(i, leaf, child) for leaf, child in found]
+                yield edge_batch(out, ["id", "parent", "leaf"])
+
+        below = materialize(asked.mapInArrow(split, "id long, parent long, leaf long"), "split")
+        children = below.groupBy("parent", "leaf").agg(F.count("*").alias("n"))
+        together = children.join(large.withColumnRenamed("leaf", "parent"), "parent").groupBy("parent").agg(
+            F.count_if(F.col("n") * 2 > F.col("count")).alias("together")
+        )
+        parted = large.join(together, large["leaf"] == together["parent"], "left").select(
+            large["leaf"], (F.coalesce("together", F.lit(0)) < 3).alias("parts")
+        )
+        parted = materialize(parted, "parted")
+        settled.append(join_unique(hot.select("id", "leaf"), parted.where("not parts").select("leaf"), "leaf").select("id", "leaf"))
+        current = join_unique(below, parted.where("parts").select(F.col("leaf").alias("parent")), "parent").select("id", "leaf")
+        current = materialize(current, "leaves")
+    out = current
+    for part in settled:
+        out = out.unionAll(part)
+    return out
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, depth: int, repeats: int) -> DataFrame:
     """Per document: set size, hash of the set, sketch, 32 bits of each token, and leaves."""
 
@@ -181,16 +243,20 @@ def gathered(keyed: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): least node of each connected component, by large-star and small-star rounds."""
+    """(node, root): least node of each connected component, by large-star and small-star rounds.
+
+    The centres of stars are heavy keys by design; ``join_unique`` keeps each from meeting all its edges in one task.
+    """
     edges = materialize(edges.select("a", "b").where("a != b").distinct(), "edges")
     before = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = materialize(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_unique(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
+        down = materialize(down, "down")
         floor = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(floor, "a").select("b", "m").union(floor.select("a", "m")).toDF("a", "b").where("a != b").distinct()
+        small = join_unique(down, floor, "a").select("b", "m").union(floor.select("a", "m")).toDF("a", "b").where("a != b").distinct()
         edges = materialize(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -249,9 +315,11 @@ def similarity_join(
     recall: float = 0.9999,
     depth: int = 3,
     block: int = 512,
+    levels: int = 3,
+    spread: float = 1.5,
 ) -> DataFrame:
     """Per document: id_col, class_id, copy_of, n_links, n_tokens. See the module's text for the method."""
-    repeats = repeats_for(recall, depth)
+    repeats = repeats_for(recall, depth, levels, spread)
     signed = materialize(signatures(docs, id_col, text_col, size, threshold, depth, repeats), "signatures")
     copies = signed.where("n_tokens > 0").groupBy("set_hash").agg(F.min("id").alias("copy_of"))
     heads = copies.select("set_hash", F.col("copy_of").alias("id"))
@@ -260,7 +328,8 @@ def similarity_join(
         """One row per representative, of these columns alone: what is not asked for is not shuffled."""
         return signed.select("id", "set_hash", *columns).join(heads, ["id", "set_hash"], "left_semi").drop("set_hash")
 
-    leaves = of_heads("leaves").select("id", F.explode("leaves").alias("leaf")).distinct()
+    leaves = materialize(of_heads("leaves").select("id", F.explode("leaves").alias("leaf")).distinct(), "leaves")
+    leaves = split_large(leaves, signed, most=block, levels=levels, threshold=threshold, spread=spread)
     # Sketches join the few ids that meet at a leaf; all leaves move without them.
     cells = materialize(blocks_of(leaves, "leaf", "id", block).select("group", "id"), "cells")
     met = signed.select("id", "sketch").join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
@@ -304,16 +373,13 @@ def similarity_join(
     named = copies.join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left").join(
         counts.withColumnRenamed("id", "copy_of"), "copy_of", "left"
     )
-    return (
-        signed.select("id", "n_tokens", "set_hash")
-        .join(named, "set_hash", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.coalesce("root", "copy_of", "id").alias("class_id"),
-            F.coalesce("copy_of", "id").alias("copy_of"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.col("n_tokens").cast("long").alias("n_tokens"),
-        )
+    members = join_unique(signed.select("id", "n_tokens", "set_hash"), named, "set_hash", "left")
+    return members.select(
+        F.col("id").alias(id_col),
+        F.coalesce("root", "copy_of", "id").alias("class_id"),
+        F.coalesce("copy_of", "id").alias("copy_of"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
     )
 
 
