@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``docs``. ``run`` writes each stage's result to the
 shared folder as Parquet and reads it back as the next stage's documents.
+
+Nulls in any column, repeated rows, empty and very long texts and further
+columns of any name pass through; each stage says what it does with them. An
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,7 +23,10 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language (null, or no letter at all); fill missing labels with the prediction."""
+    """Drop documents without a language (null, or no letter at all); fill missing labels with the prediction.
+
+    Every row is decided by its own text; repeated rows and null ids are rows like any other.
+    """
     counts = language_id.train(docs.where(~held_out(4, 2)))
     found = language_id.identify(docs, counts, carry=True).where("lang_pred != 'und'")
     label = F.coalesce(F.col("row.lang"), F.col("lang_pred"))
@@ -27,27 +34,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each class of five-gram Jaccard links at 0.8 and above."""
-    classes = chosen_path.similarity_join(docs)
-    dropped = classes.where("doc_id != class_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the least id of each class of five-gram Jaccard links at 0.8 and above.
+
+    Of repeated rows (one id and text) one stays. Rows without an id are known by their text, and stay only if
+    no row with an id is alike. Rows of one id with different texts are one document: they stay or go together.
+    """
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    known = F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.pmod(key, F.lit(1 << 61)))
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), known.alias("id"), key.alias("key"))
+    classes = chosen_path.similarity_join(named.select("id", F.col("row.text").alias("text")), id_col="id")
+    dropped = classes.where("id != class_id").select("id").distinct()
+    return named.join(dropped, "id", "left_anti").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold ten consecutive words of a benchmark item."""
+    """Drop documents that hold ten consecutive words of a benchmark item, or all words of a shorter one.
+
+    A null or empty text holds none and stays. Every row is decided by its own text.
+    """
     hits = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), carry=True)
     return hits.where("n_hit = 0").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the text by its kind; no document goes."""
+    """Replace personal data in the text by its kind; no document goes. A null text stays null; null ids are cleaned, too."""
     found = pii_bootstrap.extract(docs)
     clean = pii_bootstrap.redact(docs, found)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of 2048: one row per piece of a document."""
+    """Token windows of 2048: one row per piece of a document; a null text is one piece, the closing id."""
     return packing_nnls.pack(docs, tokenizer_file())
 
 
