@@ -39,16 +39,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def heavy_keys(counts: DataFrame, key: str, rows: int) -> list:
+    """Keys of a (key, count) table with more than ``HEAVY_SHARE`` of the rows: fewer than 1,000."""
+    least = max(LEAST_HEAVY, int(rows * HEAVY_SHARE))
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("count") > least)).select(key).collect()]
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", heavy: list | None = None) -> DataFrame:
     """``rows`` joined with a table of one row a key; rows of heavy keys do not meet in one task.
 
-    ``how`` is inner or left. Keys with more than ``HEAVY_SHARE`` of the rows,
-    fewer than 1,000, are joined by broadcast; all others by Spark's choice.
-    ``rows`` should be a stored table: it is read three times.
+    ``how`` is inner or left. ``heavy`` keys, fewer than 1,000, are joined by
+    broadcast; all others by Spark's choice. Where they are not given, they are
+    counted; ``rows`` should be a stored table then.
     """
-    least = max(LEAST_HEAVY, int(rows.count() * HEAVY_SHARE))
-    heavy = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > least).select(key)
-    known = [r[0] for r in heavy.collect()]
+    known = heavy_keys(rows.groupBy(key).count(), key, rows.count()) if heavy is None else heavy
     if not known:
         return rows.join(unique, key, how)
     mark = F.coalesce(F.col(key).isin(*known), F.lit(False))
