@@ -234,12 +234,12 @@ def test_large_leaves_are_split_until_small(spark):
     texts = [(k, " ".join([*words(rng, 60), *shared, *words(rng, 60)])) for k in range(150)]
     texts += [(1000 + k, " ".join(texts[k][1].split()[: 170 - k % 3])) for k in range(40)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    sizes = [(8, 3), (512, 3)]
+    sizes = [(2, 3), (512, 3)]
     for block, levels in sizes:
         found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.similarity_join(docs, block=block, levels=levels).collect()}
         assert found == brute_classes(texts)
     signed = chosen_path.signatures(docs, "doc_id", "text", 5, 0.8, 1, 20).where("id < 1000")
-    leaves = chosen_path.materialize(signed.select("id", F.explode("leaves").alias("leaf")), "leaves")
+    leaves = chosen_path.meeting(chosen_path.materialize(signed.select("id", F.explode("leaves").alias("leaf")), "leaves"))
     split = chosen_path.split_large(leaves, signed, most=8, levels=6, threshold=0.8, spread=1.5)
     before, after = (x.groupBy("leaf").count().where("count > 8").agg(F.sum("count")).first()[0] or 0 for x in (leaves, split))
     assert before > 300 and after < before / 4

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import id_text_row, join_unique, materialize, normalised, whole_groups
+from tidegauge.llm.common import heavy_keys, id_text_row, join_unique, materialize, normalised, whole_groups
 
 #: Bins of a sketch, and how far below the threshold a likely pair may be estimated (over four standard errors).
 SKETCH = 128
@@ -122,20 +122,25 @@ def children_of(leaves: np.ndarray, tokens: np.ndarray, odds: float) -> list[tup
     return found
 
 
+def meeting(leaves: DataFrame) -> DataFrame:
+    """(id, leaf, count) of leaves that more than one row reaches; most leaves are of one document alone and move no further."""
+    counts = materialize(leaves.groupBy("leaf").count().where("count > 1"), "counts")
+    heavy = heavy_keys(counts, "leaf", leaves.count())
+    return materialize(join_unique(leaves, counts, "leaf", heavy=heavy).select("id", "leaf", "count"), "met")
+
+
 def split_large(leaves: DataFrame, signed: DataFrame, *, most: int, levels: int, threshold: float, spread: float) -> DataFrame:
-    """(id, leaf) rows in which leaves of over ``most`` rows are split again, up to ``levels`` times.
+    """(id, leaf, count) rows in which leaves of over ``most`` rows are split again, up to ``levels`` times.
 
     A split follows ``spread`` shared tokens of a pair at the threshold on average. A leaf with three children that each
     keep over half of its rows together holds near copies, and stays.
     """
     settled, current = [], leaves
     for _ in range(levels):
-        large = materialize(current.groupBy("leaf").count().where(F.col("count") > most), "large")
-        if large.isEmpty():
+        settled.append(current.where(F.col("count") <= most))
+        hot = current.where(F.col("count") > most)
+        if hot.isEmpty():
             break
-        marked = materialize(join_unique(current, large, "leaf", "left"), "marked")
-        settled.append(marked.where("count is null").select("id", "leaf"))
-        hot = marked.where("count is not null")
         sets = signed.select("id", "n_tokens", "tokens").join(hot.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
         asked = hot.groupBy("id").agg(F.collect_list("leaf").alias("leaves")).join(sets, "id").select("id", "n_tokens", "tokens", "leaves")
 
@@ -149,20 +154,20 @@ def split_large(leaves: DataFrame, signed: DataFrame, *, most: int, levels: int,
                 yield edge_batch(out, ["id", "parent", "leaf"])
 
         below = materialize(asked.mapInArrow(split, "id long, parent long, leaf long"), "split")
-        children = below.groupBy("parent", "leaf").agg(F.count("*").alias("n"))
-        together = children.join(large.withColumnRenamed("leaf", "parent"), "parent").groupBy("parent").agg(
-            F.count_if(F.col("n") * 2 > F.col("count")).alias("together")
-        )
-        parted = large.join(together, large["leaf"] == together["parent"], "left").select(
-            large["leaf"], (F.coalesce("together", F.lit(0)) < 3).alias("parts")
-        )
-        parted = materialize(parted, "parted")
-        settled.append(join_unique(hot.select("id", "leaf"), parted.where("not parts").select("leaf"), "leaf").select("id", "leaf"))
-        current = join_unique(below, parted.where("parts").select(F.col("leaf").alias("parent")), "parent").select("id", "leaf")
-        current = materialize(current, "leaves")
-    out = current
-    for part in settled:
-        out = out.unionAll(part)
+        children = materialize(below.groupBy("parent", "leaf").count().where("count > 1"), "children")
+        large = hot.groupBy(F.col("leaf").alias("parent")).agg(F.first("count").alias("n"))
+        together = children.join(large, "parent").groupBy("parent").agg(F.count_if(F.col("count") * 2 > F.col("n")).alias("together"))
+        stays = materialize(together.where("together > 2").select("parent", F.lit(True).alias("stays")), "stays")
+        kept = join_unique(hot, stays.withColumnRenamed("parent", "leaf"), "leaf")
+        settled.append(kept.select("id", "leaf", "count"))
+        parted = children.join(stays, "parent", "left_anti").select("leaf", "count")
+        heavy = heavy_keys(parted, "leaf", below.count())
+        current = materialize(join_unique(below.select("id", "leaf"), parted, "leaf", heavy=heavy), "leaves")
+    else:
+        settled.append(current)
+    out = settled[0].select("id", "leaf", "count")
+    for part in settled[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -222,10 +227,12 @@ def sketch_forest(ids: np.ndarray, sketches: np.ndarray, least: float) -> Iterat
                 label[label == label[j]] = label[k]
 
 
-def blocks_of(keyed: DataFrame, key: str, salt_of: str, block: int) -> DataFrame:
-    """Rows with a ``cell`` (low block, high block): any two rows of one key share a cell, and no cell exceeds about two blocks."""
-    sizes = keyed.groupBy(key).count().where("count > 1")
-    sized = keyed.join(sizes, key).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
+def blocks_of(sized: DataFrame, key: str, salt_of: str, block: int) -> DataFrame:
+    """Rows with a ``cell`` (low block, high block): any two rows of one key share a cell, and no cell exceeds about two blocks.
+
+    ``sized`` has the ``count`` of rows of each key.
+    """
+    sized = sized.where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     mine = F.pmod(F.xxhash64(salt_of), F.col("blocks")).cast("int")
     cells = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
         F.transform(
@@ -328,8 +335,8 @@ def similarity_join(
         """One row per representative, of these columns alone: what is not asked for is not shuffled."""
         return signed.select("id", "set_hash", *columns).join(heads, ["id", "set_hash"], "left_semi").drop("set_hash")
 
-    leaves = materialize(of_heads("leaves").select("id", F.explode("leaves").alias("leaf")).distinct(), "leaves")
-    leaves = split_large(leaves, signed, most=block, levels=levels, threshold=threshold, spread=spread)
+    leaves = materialize(of_heads("leaves").select("id", F.explode("leaves").alias("leaf")), "leaves")
+    leaves = split_large(meeting(leaves), signed, most=8 * block, levels=levels, threshold=threshold, spread=spread)
     # Sketches join the few ids that meet at a leaf; all leaves move without them.
     cells = materialize(blocks_of(leaves, "leaf", "id", block).select("group", "id"), "cells")
     met = signed.select("id", "sketch").join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
@@ -352,6 +359,8 @@ def similarity_join(
     groups = materialize(_rooted(components(likely)), "components")
 
     # The one shuffle of token sets; it meets the members of candidate sets only.
+    sizes = groups.groupBy("root").count()
+    groups = materialize(join_unique(groups, sizes, "root"), "sized")
     sets = signed.select("id", "n_tokens", "tokens").join(groups.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.sources.shared import join_unique, materialize, shared_dir
+from tidegauge.sources.shared import heavy_keys, join_unique, materialize, shared_dir
 
-__all__ = ["join_unique", "materialize", "shared_dir"]
+__all__ = ["heavy_keys", "join_unique", "materialize", "shared_dir"]
 
 #: Bytes that end a word: everything in ASCII but digits and letters. A-Z map to a-z.
 WORD_BYTES = bytes(
