@@ -3,10 +3,11 @@
 A recording becomes pitch-class frames (12 energies a frame); rectangles of the
 frames are summed on an integral image; 16 differences of rectangle sums, two
 bits each, pack into one integer a frame. To align, recordings of equal
-fingerprints form one class; integers of query classes meet those of all
-classes on parts of their bits in an equi-join. Only pairs of classes leave that
-join, each once. The histogram of frame offsets of a pair is made where the pair
-is decided: it proposes the alignments, and bit errors over the overlap decide.
+fingerprints form one class; query classes go in blocks of bounded size to the
+tasks that hold all classes, which look up parts of their integers in a block's
+index. A pair that shares a part is decided there: the histogram of its frame
+offsets proposes alignments, and bit errors over the overlap decide. Nothing but
+matches leaves a task.
 
 A null, empty or too short recording has no fingerprint and no match. Silence
 gives equal integers everywhere: a class holds all silent recordings of one
@@ -112,11 +113,30 @@ def parts_of(bits: int) -> list[int]:
     return sorted({0, 32 - bits})
 
 
-def keys_of(codes: DataFrame, bits: int) -> DataFrame:
-    """(class, key): the distinct parts of a class's integers."""
-    code = codes.select("class", F.explode(F.array_distinct("codes")).alias("code"))
-    keys = F.array(*(F.shiftleft(F.shiftright("code", s).bitwiseAND((1 << bits) - 1), 1) + k for k, s in enumerate(parts_of(bits))))
-    return code.select("class", F.explode(keys).alias("key")).distinct()
+class Block:
+    """Query classes with an index of the parts of their integers."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], bits: int):
+        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
+        self.codes = [np.frombuffer(c, dtype="<u4") for _, c in rows]
+        self.bits, self.index = bits, []
+        every = np.concatenate(self.codes) if rows else np.zeros(0, dtype=np.uint32)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int64), [len(c) for c in self.codes])
+        for s in parts_of(bits):
+            entries = np.unique((self.part(every, s).astype(np.int64) << 32) | owner)
+            self.index.append((s, entries >> 32, entries & 0xFFFFFFFF))
+
+    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
+        return codes >> np.uint32(s) & np.uint32((1 << self.bits) - 1)
+
+    def sharing(self, codes: np.ndarray) -> np.ndarray:
+        """Places of the queries that share a part with these integers."""
+        seen = np.zeros(len(self.ids), dtype=bool)
+        for s, keys, owners in self.index:
+            mine = np.unique(self.part(codes, s)).astype(np.int64)
+            for lo, hi in zip(np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")):
+                seen[owners[lo:hi]] = True
+        return np.flatnonzero(seen)
 
 
 def voted_offsets(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -148,14 +168,16 @@ def best_offsets(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, bits: int, v
 
 
 def align(
-    codes: DataFrame, queries: Column, *, bits: int = 20, votes: int = 1, most_errors: float = 0.15, overlap: int = 24, short: int = 512
+    codes: DataFrame, queries: Column, *, bits: int = 20, votes: int = 1, most_errors: float = 0.15, overlap: int = 24, short: int = 512,
+    block_codes: int = 2_000_000,
 ) -> DataFrame:
     """Matches between classes: (query_class, match_class, offset, votes, bit_error_rate); and ``classes`` for membership.
 
     ``codes`` are rows of ``fingerprints``; ``queries`` says which ids ask. The
     best offset of a pair is the one with fewest bit errors among those with
     ``votes`` equal keys and ``overlap`` frames in common. Pairs of up to
-    ``short`` integers together try all offsets, many pairs at a time.
+    ``short`` integers together try all offsets, many pairs at a time. A block
+    of queries holds about ``block_codes`` integers, or one longer recording.
     """
     known = materialize(codes.where(F.size("codes") > 0).withColumn("asks", queries), "fingerprints")
     marked = known.withColumn("print", F.sha2(F.array_join("codes", ","), 256))
@@ -164,34 +186,44 @@ def align(
     )
     classes = materialize(classes, "classes")
     asking = classes.where("asks")
-    mine = keys_of(asking, bits).withColumnRenamed("class", "query_class")
-    pairs = mine.join(keys_of(classes, bits), "key").where("query_class != class").select("query_class", "class").distinct()
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, others = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            mine, theirs = ([np.asarray(v.values.to_numpy(), dtype=np.uint32) for v in batch.column(k)] for k in (2, 3))
-            sizes: dict[tuple[int, int], list[int]] = {}
-            for k, (x, y) in enumerate(zip(mine, theirs)):
-                sizes.setdefault((len(x), len(y)), []).append(k)
-            out = [[], [], [], [], []]
-            for (n, m), rows in sizes.items():
-                for group in [rows] if n + m <= short else [[k] for k in rows]:
-                    a, b = np.stack([mine[k] for k in group]), np.stack([theirs[k] for k in group])
-                    offsets = np.arange(1 - n, m) if n + m <= short else voted_offsets(a[0], b[0], bits)
-                    best, won, share = best_offsets(a, b, offsets, bits, votes, overlap)
-                    keep = share <= most_errors
-                    for column, values in zip(out, (ids[group], others[group], best, won, share)):
-                        column.extend(values[keep].tolist())
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, types)], names=["query_class", "match_class", "offset", "votes", "bit_error_rate"]
-            )
-
-    a = asking.select(F.col("class").alias("query_class"), F.col("codes").alias("a"))
-    b = classes.select("class", F.col("codes").alias("b"))
-    found = small_batches(pairs.join(b, "class").join(a, "query_class").select("query_class", "class", "a", "b"))
-    found = found.mapInArrow(decide, "query_class long, match_class long, offset long, votes long, bit_error_rate double")
+    total = asking.agg(F.sum(F.size("codes"))).first()[0] or 0
+    blocks = max(1, -(-total // block_codes))
+    tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def decide_with(sent) -> DataFrame:
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Block(sent.value, bits)
+            for batch in batches:
+                out = [[], [], [], [], []]
+                for other, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    theirs = np.asarray(v.values.to_numpy(), dtype=np.uint32)
+                    sizes: dict[int, list[int]] = {}
+                    for k in block.sharing(theirs).tolist():
+                        if block.ids[k] != other:
+                            sizes.setdefault(len(block.codes[k]), []).append(k)
+                    for n, places in sizes.items():
+                        m = len(theirs)
+                        for group in [places] if n + m <= short else [[k] for k in places]:
+                            a = np.stack([block.codes[k] for k in group])
+                            b = np.broadcast_to(theirs, (len(group), m))
+                            offsets = np.arange(1 - n, m) if n + m <= short else voted_offsets(a[0], theirs, bits)
+                            best, won, share = best_offsets(a, b, offsets, bits, votes, overlap)
+                            keep = share <= most_errors
+                            for column, values in zip(out, (block.ids[group], np.full(len(group), other), best, won, share)):
+                                column.extend(values[keep].tolist())
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, types)], names=["query_class", "match_class", "offset", "votes", "bit_error_rate"]
+                )
+
+        rows = small_batches(classes.select("class", "codes").repartition(tasks, "class"))  # small rows, much work
+        return rows.mapInArrow(decide, "query_class long, match_class long, offset long, votes long, bit_error_rate double")
+
+    found = None
+    for k in range(blocks):
+        rows = asking.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k).select("class", "codes").toLocalIterator()
+        sent = codes.sparkSession.sparkContext.broadcast([(r["class"], np.array(r["codes"], dtype="<u4").tobytes()) for r in rows])
+        found = decide_with(sent) if found is None else found.unionAll(decide_with(sent))
     return found.withColumn("offset", F.col("offset").cast("int"))
 
 
