@@ -160,6 +160,42 @@ def test_recordings_with_noise_in_every_frame_are_found(spark, short):
     assert {k: (r["offset"], r["votes"], r["bit_error_rate"]) for k, r in found.items()} == {1: (0, 60, 1 / 32), 2: (5, 60, 1 / 32)}
 
 
+@pytest.mark.parametrize("most", [2_000_000, 50])
+@pytest.mark.parametrize("short", [512, 1])
+@pytest.mark.parametrize("bits", [20, 32])
+def test_alignment_equals_brute_force_over_all_offsets(monkeypatch, most, short, bits):
+    monkeypatch.setattr(chroma.Block, "most", most)
+    rng = np.random.default_rng(1)
+    base = [rng.integers(0, 2**32, int(rng.integers(1, 90)), dtype=np.uint32) for _ in range(10)]
+    base += [np.full(50, 7, np.uint32), np.full(70, 7, np.uint32)]  # silence of two lengths
+    recordings = []
+    for k in range(48):
+        noise = (np.uint32(1) << rng.integers(0, 32, len(base[k % 12])).astype(np.uint32)) * (rng.random(len(base[k % 12])) < 0.7).astype(np.uint32)
+        recordings.append(np.concatenate([rng.integers(0, 2**32, int(rng.integers(0, 9)), dtype=np.uint32), base[k % 12] ^ noise]))
+    block = chroma.Block([(i, recordings[i].tobytes()) for i in range(0, 48, 5)], bits)
+
+    def brute(a, b):
+        best = None
+        for k in sorted(range(-len(a) + 1, len(b)), key=lambda k: (abs(k), k)):
+            x, y = a[max(-k, 0) :], b[max(k, 0) :]
+            n = min(len(x), len(y))
+            differ = x[:n] ^ y[:n]
+            equal = sum(int(((differ >> np.uint32(s) & np.uint32(2**bits - 1)) == 0).sum()) for s in {0, 32 - bits})
+            share = int(np.bitwise_count(differ).sum(dtype=np.int64)) / (32.0 * n)
+            if n >= 24 and equal and share <= 0.15 and (best is None or share < best[2]):
+                best = (k, equal, share)
+        return best
+
+    some = 0
+    for j, codes in enumerate(recordings):
+        found = zip(*(c.tolist() for c in block.matches(codes, j, short, 1, 0.15, 24)))
+        want = {i: brute(recordings[i], codes) for i in range(0, 48, 5) if i != j}
+        want = {i: v for i, v in want.items() if v}
+        assert {i: tuple(v) for i, *v in found} == want
+        some += len(want)
+    assert some > 20
+
+
 def test_integral_image_equals_plain_sums():
     frames = np.random.default_rng(3).random((40, 12)).astype(np.float32)
     codes = chroma.packed(frames)

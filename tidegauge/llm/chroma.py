@@ -114,57 +114,83 @@ def parts_of(bits: int) -> list[int]:
 
 
 class Block:
-    """Query classes with an index of the parts of their integers."""
+    """Query classes, one after the other in one array, with an index of the parts of their integers by part, query and place."""
+
+    most = 2_000_000  #: entries of a histogram, or integers compared, at a time
 
     def __init__(self, rows: list[tuple[int, bytes]], bits: int):
         self.ids = np.array([i for i, _ in rows], dtype=np.int64)
-        self.codes = [np.frombuffer(c, dtype="<u4") for _, c in rows]
+        self.codes = np.frombuffer(b"".join(c for _, c in rows), dtype="<u4")
+        self.sizes = np.array([len(c) // 4 for _, c in rows], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.bits, self.index = bits, []
-        every = np.concatenate(self.codes) if rows else np.zeros(0, dtype=np.uint32)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int64), [len(c) for c in self.codes])
+        owner = np.repeat(np.arange(len(rows), dtype=np.int64), self.sizes)
+        place = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
         for s in parts_of(bits):
-            entries = np.unique((self.part(every, s).astype(np.int64) << 32) | owner)
-            self.index.append((s, entries >> 32, entries & 0xFFFFFFFF))
+            keys = self.part(self.codes, s) << 32 | owner
+            order = np.argsort(keys, kind="stable")
+            self.index.append((s, keys[order], place[order]))
 
     def part(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return codes >> np.uint32(s) & np.uint32((1 << self.bits) - 1)
-
-    def sharing(self, codes: np.ndarray) -> np.ndarray:
-        """Places of the queries that share a part with these integers."""
-        seen = np.zeros(len(self.ids), dtype=bool)
-        for s, keys, owners in self.index:
-            mine = np.unique(self.part(codes, s)).astype(np.int64)
-            for lo, hi in zip(np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")):
-                seen[owners[lo:hi]] = True
-        return np.flatnonzero(seen)
-
-
-def voted_offsets(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """All ``place in b - place in a`` of equal parts of one pair, ascending."""
-    found = [np.zeros(0, dtype=np.int64)]
-    for s in parts_of(bits):
-        x, y = (c >> np.uint32(s) & np.uint32((1 << bits) - 1) for c in (a, b))
-        order = np.argsort(y, kind="stable")
-        lo, hi = np.searchsorted(y[order], x, side="left"), np.searchsorted(y[order], x, side="right")
-        found += [order[p:q] - i for i, (p, q) in enumerate(zip(lo, hi)) if q > p]
-    return np.unique(np.concatenate(found))
-
-
-def best_offsets(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, bits: int, votes: int, overlap: int) -> tuple[np.ndarray, ...]:
-    """(offset, votes, share of differing bits) by pair (row) of equally long integers; a share of 2 where no offset qualifies."""
-    best, won, share = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64), np.full(len(a), 2.0)
-    for offset in sorted(offsets.tolist(), key=lambda k: (abs(k), k)):
-        first_a, first_b = max(-offset, 0), max(offset, 0)
-        n = min(a.shape[1] - first_a, b.shape[1] - first_b)
-        if n < max(overlap, 1):
-            continue
-        x = a[:, first_a : first_a + n] ^ b[:, first_b : first_b + n]
-        mask = np.uint32((1 << bits) - 1)
-        equal = sum(((x >> np.uint32(s) & mask) == 0).sum(axis=1) for s in parts_of(bits))
-        errors = np.bitwise_count(x).sum(axis=1, dtype=np.int64) / (32.0 * n)
-        better = (equal >= votes) & (errors < share)
-        best[better], won[better], share[better] = offset, equal[better], errors[better]
-    return best, won, share
+        return (codes >> np.uint32(s) & np.uint32((1 << self.bits) - 1)).astype(np.int64)
+
+    def histogram(self, codes: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Rows (query, offset, votes): how many parts of queries ``first`` to ``last`` - 1 equal parts of these integers, by frame offset."""
+        spans = []
+        for s, keys, places in self.index:
+            mine = self.part(codes, s) << 32
+            spans.append((keys, places, np.searchsorted(keys, mine | first), np.searchsorted(keys, mine | last)))
+        if sum(int((hi - lo).sum()) for _, _, lo, hi in spans) > self.most:
+            if last - first > 1:
+                middle = (first + last) // 2
+                return np.hstack([self.histogram(codes, first, middle), self.histogram(codes, middle, last)])
+            return self.long_histogram(codes, first, spans)
+        met = []
+        for keys, places, lo, hi in spans:
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            offsets = np.repeat(np.arange(len(codes)), n) - places[at]
+            met.append(((keys[at] & 0xFFFFFFFF) << 32) + offsets + 2**31)
+        both, votes = np.unique(np.concatenate(met), return_counts=True)
+        return np.stack([both >> 32, (both & 0xFFFFFFFF) - 2**31, votes])
+
+    def long_histogram(self, codes: np.ndarray, query: int, spans: list) -> np.ndarray:
+        """The same for one query that meets these integers very often, frame by frame in an array of all offsets."""
+        n = int(self.sizes[query])
+        votes = np.zeros(n + len(codes), dtype=np.int64)
+        for _, places, lo, hi in spans:
+            for j in np.flatnonzero(hi > lo):
+                votes[j - places[lo[j] : hi[j]] + n] += 1  # places of one query are distinct
+        at = np.flatnonzero(votes)
+        return np.stack([np.full(len(at), query), at - n, votes[at]])
+
+    def matches(self, codes: np.ndarray, other: int, short: int, votes: int, most_errors: float, overlap: int) -> tuple[np.ndarray, ...]:
+        """(query class, offset, votes, share of differing bits): the best alignment of every query class that has one."""
+        every = len(self.ids)
+        groups = [(0, every)] if len(codes) <= short or not every else [(k, k + 1) for k in range(every)]
+        found = [self.aligned(self.histogram(codes, *g), codes, other, votes, most_errors, overlap) for g in groups]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def aligned(self, met: np.ndarray, codes: np.ndarray, other: int, votes: int, most_errors: float, overlap: int) -> tuple[np.ndarray, ...]:
+        query, offset, voted = met
+        from_a, from_b = np.maximum(-offset, 0), np.maximum(offset, 0)
+        n = np.minimum(self.sizes[query] - from_a, len(codes) - from_b)
+        use = (voted >= votes) & (n >= max(overlap, 1)) & (self.ids[query] != other)
+        query, offset, voted, n = query[use], offset[use], voted[use], n[use]
+        from_a, from_b = from_a[use] + self.starts[query], from_b[use]
+        share, ends, k = np.zeros(len(n)), np.cumsum(n), 0
+        while k < len(n):
+            done = int(ends[k] - n[k])
+            to = max(k + 1, int(np.searchsorted(ends, done + self.most, side="right")))
+            size, begin = n[k:to], ends[k:to] - n[k:to] - done
+            at = np.arange(int(ends[to - 1]) - done)
+            differ = self.codes[at + np.repeat(from_a[k:to] - begin, size)] ^ codes[at + np.repeat(from_b[k:to] - begin, size)]
+            share[k:to] = np.add.reduceat(np.bitwise_count(differ), begin, dtype=np.int64) / (32.0 * size)
+            k = to
+        use = np.flatnonzero(share <= most_errors)
+        use = use[np.lexsort((offset[use], np.abs(offset[use]), share[use], query[use]))]
+        use = use[np.unique(query[use], return_index=True)[1]]
+        return self.ids[query[use]], offset[use], voted[use], share[use]
 
 
 def align(
@@ -175,9 +201,10 @@ def align(
 
     ``codes`` are rows of ``fingerprints``; ``queries`` says which ids ask. The
     best offset of a pair is the one with fewest bit errors among those with
-    ``votes`` equal keys and ``overlap`` frames in common. Pairs of up to
-    ``short`` integers together try all offsets, many pairs at a time. A block
-    of queries holds about ``block_codes`` integers, or one longer recording.
+    ``votes`` equal keys and ``overlap`` frames in common. A recording of up to
+    ``short`` integers is held against all queries of a block at once, a longer
+    one against one query after the other. A block of queries holds about
+    ``block_codes`` integers, or one longer recording.
     """
     known = materialize(codes.where(F.size("codes") > 0).withColumn("asks", queries), "fingerprints")
     marked = known.withColumn("print", F.sha2(F.array_join("codes", ","), 256))
@@ -197,20 +224,9 @@ def align(
                 out = [[], [], [], [], []]
                 for other, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                     theirs = np.asarray(v.values.to_numpy(), dtype=np.uint32)
-                    sizes: dict[int, list[int]] = {}
-                    for k in block.sharing(theirs).tolist():
-                        if block.ids[k] != other:
-                            sizes.setdefault(len(block.codes[k]), []).append(k)
-                    for n, places in sizes.items():
-                        m = len(theirs)
-                        for group in [places] if n + m <= short else [[k] for k in places]:
-                            a = np.stack([block.codes[k] for k in group])
-                            b = np.broadcast_to(theirs, (len(group), m))
-                            offsets = np.arange(1 - n, m) if n + m <= short else voted_offsets(a[0], theirs, bits)
-                            best, won, share = best_offsets(a, b, offsets, bits, votes, overlap)
-                            keep = share <= most_errors
-                            for column, values in zip(out, (block.ids[group], np.full(len(group), other), best, won, share)):
-                                column.extend(values[keep].tolist())
+                    query, *rest = block.matches(theirs, other, short, votes, most_errors, overlap)
+                    for column, values in zip(out, (query, np.full(len(query), other), *rest)):
+                        column.extend(values.tolist())
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(out, types)], names=["query_class", "match_class", "offset", "votes", "bit_error_rate"]
