@@ -56,3 +56,56 @@ def test_predictions_share_rows_and_actuals(spark):
     assert bad(checks.prediction_rules(spark.createDataFrame(rows, schema))) == {
         "prediction_finite", "prediction_non_negative", "models_share_rows", "models_share_actuals",
     }
+
+
+def inputs(spark, change=lambda h, row: row):
+    from tidegauge.schema import FEATURES
+
+    rows = [change(h, {**dict.fromkeys(FEATURES, 1.0), "hour_index": h, "Trigger": "a", "compute_seconds": float(h), "lag_1": h - 1.0}) for h in range(5)]
+    columns = ["hour_index", "Trigger", "compute_seconds", *FEATURES]
+    schema = ", ".join(f"`{c}` {'int' if c == 'hour_index' else 'string' if c == 'Trigger' else 'double'}" for c in columns)
+    return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows if r], schema)
+
+
+@pytest.mark.parametrize(
+    ("change", "rules"),
+    [
+        (lambda h, r: r, set()),
+        (lambda h, r: {**r, "lag_24": None} if h == 2 else r, {"features_finite"}),
+        (lambda h, r: {**r, "lag_24": float("inf")} if h == 2 else r, {"features_finite"}),
+        (lambda h, r: {**r, "lag_1": 9.0} if h == 2 else r, {"lag_1_is_the_hour_before"}),
+        (lambda h, r: None if h == 2 else r, {"feature_hours_continuous", "lag_1_is_the_hour_before"}),
+    ],
+)
+def test_model_inputs(spark, change, rules):
+    assert bad(checks.model_input_rules(inputs(spark, change))) == rules
+
+
+def test_history_bounds(spark):
+    assert bad(checks.history_rules(demand(spark), 240, 2)) == set()
+    assert bad(checks.history_rules(demand(spark).where("hour_index > 0"), 240, 2)) == {"history_starts_at_zero", "history_rows"}
+
+
+def test_metric_and_selection_rules(spark):
+    rows = [(s, m, t) for s in ("validation", "test") for m in ("x", "y") for t in ("a", "ALL_TRIGGERS")]
+    frame = spark.createDataFrame(rows, "split string, model string, Trigger string")
+    assert bad(checks.metric_rules(frame, 2, 1)) == set()
+    assert bad(checks.metric_rules(frame.where("not (model = 'x' and Trigger != 'a')"), 2, 1)) == {"metric_rows", "one_total_per_model"}
+    schema = "selected_model string, validation_WAPE double, selection_criterion string, test_set_excluded_from_selection boolean"
+    good = ("x", 0.1, "lowest aggregated validation WAPE", True)
+    assert bad(checks.selection_rules(spark.createDataFrame([good], schema))) == set()
+    wrong = spark.createDataFrame([("x", None, "lowest test WAPE", False)], schema)
+    assert bad(checks.selection_rules(wrong)) == {"selection_complete", "selection_criterion", "selection_without_test"}
+    assert bad(checks.selection_rules(spark.createDataFrame([], schema))) == {"one_selection"}
+
+
+def test_future_rules(spark):
+    intervals = spark.createDataFrame([(h, t) for h in (1, 2) for t in ("a", "ALL_TRIGGERS")], "forecast_horizon_hour int, Trigger string")
+    schema = (
+        "forecast_horizon_hour int, headroom_percent int, required_capacity_compute_seconds double, expected_shortage_compute_seconds double, "
+        "expected_unused_capacity double"
+    )
+    scenarios = spark.createDataFrame([(h, p, 1.0, 0.0, 1.0) for h in (1, 2) for p in (0, 5)], schema)
+    assert bad(checks.future_rules(intervals, scenarios, 2, 1, 2)) == set()
+    broken = scenarios.limit(3).unionAll(spark.createDataFrame([(2, 5, 1.0, -1.0, 1.0)], schema)).limit(4)
+    assert bad(checks.future_rules(intervals.unionAll(intervals.limit(1)), broken, 2, 1, 2)) >= {"forecast_rows", "amounts_non_negative"}

@@ -59,3 +59,16 @@ def test_memory_is_a_mean_of_applications(spark):
     row = demand.memory_summary(memory).first()
     assert (row["application_count"], row["mean_allocated_mb"], row["median_allocated_mb"]) == (2, 12.5, 12.5)
     assert row["p95_allocated_mb"] == pytest.approx(17.0)
+
+
+def test_raw_sums_reconcile_with_trigger_rows_and_totals(spark):
+    from tidegauge.operators import demand as d
+    from tidegauge.sources import adapter
+
+    data = "/root/testdata/sf0.001"
+    calls, seconds = adapter.invocations(spark, data), adapter.durations(spark, data)
+    rows = d.hourly_demand(calls, seconds, adapter.vocabulary(spark), adapter.HOURS)
+    totals = d.hourly_totals(rows, list(adapter.TRIGGERS))
+    assert d.reconciled(calls, seconds, rows, totals).first()["reconciliation_passed"]
+    lost = d.reconciled(calls, seconds, rows, totals.where("hour_index != 100")).first()
+    assert not lost["reconciliation_passed"] and lost["max_hourly_invocation_difference"] > 0 and lost["raw_total_invocation_difference"] > 0

@@ -145,3 +145,22 @@ def test_four_models_are_compared(spark, data):
     found = {(r["model"], r["dataset_split"]) for r in rows}
     assert found == {(m, s) for m in models for s in ("validation", "test")}
     assert len(rows) == 4 * 2 * 6  # five triggers and the total
+
+
+def test_a_trigger_without_any_fitting_order_raises(spark):
+    rows = [(h, h % 24, "a", 1.0, "train" if h < 240 else "validation") for h in range(288)]
+    rows += [(h, h % 24, "b", 1.0, "train" if h < 20 else "validation") for h in range(24)]
+    with pytest.raises(Exception, match="no candidate order fits trigger b"):
+        sarimax.select_orders(spark.createDataFrame(rows, PANEL)).collect()
+
+
+def test_first_hours_must_have_the_stored_features():
+    import pandas as pd
+
+    from tidegauge.schema import FEATURES
+
+    row = [float(k) for k in range(len(FEATURES))]
+    panel_rows = pd.DataFrame([[5, "a", True, *row]], columns=["hour_index", "Trigger", "featured", *FEATURES])
+    gbdt.require_stored_features(panel_rows, 5, "a", row)
+    with pytest.raises(ValueError, match="differ from the stored ones"):
+        gbdt.require_stored_features(panel_rows, 5, "a", [x + 1 for x in row])

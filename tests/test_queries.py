@@ -27,7 +27,8 @@ def duck(data):
     "name",
     [
         "hourly_demand_by_trigger", "hourly_total_demand", "data_quality_summary", "minute_to_hour_reshape", "model_features", "baseline_metrics",
-        "model_ranking", "forecast_intervals", "capacity_recommendation", "bi_forecast_vs_actual",
+        "model_ranking", "forecast_intervals", "capacity_recommendation", "bi_forecast_vs_actual", "demand_reconciliation", "constraint_report",
+        "bi_table_violations",
     ],
 )
 def test_query_equals_sql(spark, data, duck, name):

@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {
         "missing_duration_accounting": p.missing_duration_accounting,
         "daily_memory_summary": p.daily_memory,
         "data_quality_summary": p.data_quality,
+        "demand_reconciliation": p.demand_reconciliation,
         "minute_to_hour_reshape": p.minute_reshape,
         "trigger_normalization": p.trigger_normalization,
         "lag_features": p.lag_features,
@@ -68,6 +69,7 @@ QUERIES: dict[str, Query] = {
         "bi_future_forecast": p.bi_future_forecast,
         "bi_capacity_scenarios": p.bi_capacity_scenarios,
         "bi_capacity_recommendation": p.recommended,
+        "bi_table_violations": p.bi_table_violations,
         "measure_kpis": p.measure_kpis,
         "visual_actual_vs_selected": p.visual_actual_vs_selected,
         "visual_actual_by_trigger": p.visual_actual_by_trigger,
@@ -79,8 +81,10 @@ QUERIES: dict[str, Query] = {
         "visual_shortage_by_headroom": p.visual_shortage_by_headroom,
         "sarimax_selected_orders": p.sarimax_orders,
         "sarimax_forecast": p.sarimax_test,
+        "sarimax_diagnostics": p.sarimax_diagnostics,
         "gbdt_recursive_forecast": p.gbdt_test,
         "gbdt_feature_importance": p.gbdt_importance,
+        "visual_feature_importance": p.visual_feature_importance,
         "streaming_hourly_demand": p.streaming_hourly,
     }.items()
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import close, finite
-from tidegauge.schema import LAGS
+from tidegauge.schema import FEATURES, LAGS, TOTAL
 
 
 class Violation(ValueError):
@@ -162,3 +164,58 @@ def capacity_rules(points: DataFrame, intervals: DataFrame, scenarios: DataFrame
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def history_rules(demand: DataFrame, hours: int, triggers: int) -> DataFrame:
+    """The observed history starts at hour 0 and has a row per hour and trigger."""
+    bounds = demand.agg(F.min("hour_index").alias("lo"), F.count("*").alias("n"))
+    return counted(bounds, {"history_starts_at_zero": F.col("lo") != 0, "history_rows": F.col("n") != hours * triggers})
+
+
+def model_input_rules(features: DataFrame) -> DataFrame:
+    """What a model may read: finite features, steps of one hour, and a first lag that is the observation before it."""
+    by = Window.partitionBy("Trigger").orderBy("hour_index")
+    rows = features.select(
+        reduce(lambda a, b: a & b, (finite(F.col(c).cast("double")) for c in FEATURES)).alias("finite"), "lag_1", "hour_index",
+        F.lag("hour_index").over(by).alias("hour_before"), F.lag("compute_seconds").over(by).alias("seconds_before"),
+    )
+    later = F.col("hour_before").isNotNull()
+    return counted(
+        rows,
+        {
+            "features_finite": ~F.col("finite"),
+            "feature_hours_continuous": later & (F.col("hour_index") - F.col("hour_before") != 1),
+            "lag_1_is_the_hour_before": later & ~F.coalesce(F.abs(F.col("lag_1") - F.col("seconds_before")) <= 1e-9, F.lit(False)),
+        },
+    )
+
+
+def metric_rules(evaluated: DataFrame, models: int, triggers: int) -> DataFrame:
+    """A metric row per model and trigger and one total row per model, in each split."""
+    by = evaluated.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("model").alias("models"))
+    totals = evaluated.groupBy("split", "model").agg(F.count_if(F.col("Trigger") == TOTAL).alias("totals"))
+    rows = counted(by, {"metric_rows": F.col("n") != models * (triggers + 1), "metric_models": F.col("models") != models})
+    return rows.unionByName(counted(totals, {"one_total_per_model": F.col("totals") != 1}))
+
+
+def future_rules(intervals: DataFrame, scenarios: DataFrame, horizon: int, triggers: int, headrooms: int) -> DataFrame:
+    """Row counts of the forecast and of its scenarios, and amounts that are not negative."""
+    rows = intervals.agg(F.count("*").alias("n"), F.countDistinct("forecast_horizon_hour", "Trigger").alias("d"))
+    tested = scenarios.agg(F.count("*").alias("n"), F.countDistinct("forecast_horizon_hour", "headroom_percent").alias("d"))
+    want, most = horizon * (triggers + 1), horizon * headrooms
+    amounts = ("required_capacity_compute_seconds", "expected_shortage_compute_seconds", "expected_unused_capacity")
+    parts = [
+        counted(rows, {"forecast_rows": (F.col("n") != want) | (F.col("d") != want)}),
+        counted(tested, {"scenario_rows": (F.col("n") != most) | (F.col("d") != most)}),
+        counted(scenarios, {"amounts_non_negative": reduce(lambda a, b: a | b, (F.col(c) < 0 for c in amounts))}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def selection_rules(record: DataFrame) -> DataFrame:
+    """One record with all its fields, the declared criterion, and no use of the test set."""
+    text, excluded = F.col("selection_criterion"), F.col("test_set_excluded_from_selection")
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in record.columns))
+    one = counted(record.agg(F.count("*").alias("n")), {"one_selection": F.col("n") != 1})
+    rules = {"selection_complete": missing, "selection_criterion": text != "lowest aggregated validation WAPE", "selection_without_test": ~excluded}
+    return one.unionByName(counted(record, rules))

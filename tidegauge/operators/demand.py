@@ -167,3 +167,24 @@ def quality_summary(invocations: DataFrame, durations: DataFrame, memory: DataFr
     for row in rows[1:]:  # single rows side by side
         one = one.join(row, F.lit(True))
     return one
+
+
+def reconciled(invocations: DataFrame, durations: DataFrame, demand: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row: the largest hourly differences between trigger rows and totals, those of the raw sums, and whether all are nil."""
+    by_hour = demand.groupBy("hour_index").agg(
+        F.sum("invocations").alias("n"), F.sum("compute_seconds").alias("s"), F.sum("active_functions").alias("f")
+    )
+    pairs = by_hour.join(totals, "hour_index", "full")
+    sides = {"invocation": ("n", "total_invocations"), "compute_seconds": ("s", "total_compute_seconds"), "active_function": ("f", "total_active_functions")}
+    names = {k: f"max_hourly_{k}_difference" for k in sides}
+    hourly = pairs.agg(
+        *(F.max(F.abs(F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0)))).cast("double").alias(names[k]) for k, (a, b) in sides.items()),
+        F.sum("total_invocations").alias("_n"), F.sum("total_compute_seconds").alias("_s"),
+    )
+    raw = with_durations(invocations, durations).agg(F.sum("calls").alias("_calls"), F.sum(F.col("calls") * F.col("average_ms") / 1000.0).alias("_seconds"))
+    both = hourly.join(raw, F.lit(True))  # single rows
+    calls, seconds = "raw_total_invocation_difference", "raw_total_compute_seconds_difference"
+    both = both.withColumns({calls: F.abs(F.col("_n") - F.col("_calls")).cast("double"), seconds: F.abs(F.col("_s") - F.coalesce("_seconds", F.lit(0.0)))})
+    exact = (F.col(names["invocation"]) == 0) & (F.col(names["active_function"]) == 0) & (F.col(calls) == 0)
+    passed = exact & (F.col(names["compute_seconds"]) <= 1e-9) & (F.col(seconds) <= 1e-6)
+    return both.select(passed.alias("reconciliation_passed"), *names.values(), calls, seconds)

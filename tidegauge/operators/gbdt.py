@@ -61,6 +61,14 @@ def row_of(hour: int, series: list[float], day_before: float) -> list[float]:
     ]
 
 
+def require_stored_features(panel: pd.DataFrame, hour: int, trigger: str, found: list[float]) -> None:
+    """The features made for a window's first hour, where all history is observed, must be the stored ones."""
+    stored = panel[panel["featured"] & (panel["hour_index"] == hour) & (panel["Trigger"] == trigger)]
+    want = stored[list(FEATURES)].fillna(0.0).to_numpy(dtype=float)
+    if len(want) and not np.allclose(want, [found], rtol=1e-9, atol=1e-9):
+        raise ValueError(f"features of hour {hour}, trigger {trigger} differ from the stored ones")
+
+
 def window(panel: pd.DataFrame, split: str, config: tuple, number: int, lo: int, hi: int) -> pd.DataFrame:
     """Fit on what precedes ``lo``, then predict hour by hour until ``hi``; all triggers advance together."""
     triggers = sorted(panel["Trigger"].unique())
@@ -70,7 +78,11 @@ def window(panel: pd.DataFrame, split: str, config: tuple, number: int, lo: int,
     out = []
     for hour in range(lo, hi + 1):
         day_before = sum(history[t][-24] for t in triggers)
-        raw = model.predict(np.array([[code, *row_of(hour, history[t], day_before)] for code, t in enumerate(triggers)], dtype=float))
+        rows = [row_of(hour, history[t], day_before) for t in triggers]
+        if hour == lo:
+            for t, row in zip(triggers, rows):
+                require_stored_features(panel, lo, t, row)
+        raw = model.predict(np.array([[code, *row] for code, row in enumerate(rows)], dtype=float))
         for t, v in zip(triggers, raw.tolist()):
             history[t].append(max(v, 0.0))
             out.append((split, GBDT, config[0], hour, hour % 24, number, t, actual[t, hour], max(v, 0.0), v < 0))

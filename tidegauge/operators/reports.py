@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import close, finite
-from tidegauge.schema import SEASONAL, TOTAL
+from tidegauge.schema import TOTAL
 
 
 class InvalidTable(ValueError):
@@ -168,4 +168,29 @@ def by_headroom(recommended: DataFrame, column: str) -> DataFrame:
     return recommended.groupBy("headroom_percent").agg(F.max(column).alias(column))
 
 
-BASELINE_COLUMNS = {"baseline_forecast": SEASONAL}
+def importance_by_feature(gains: DataFrame) -> DataFrame:
+    """Gain share of every feature, largest first."""
+    return gains.groupBy("feature").agg(F.max("gain_percentage").alias("gain_percentage")).orderBy(F.desc("gain_percentage"), "feature")
+
+
+#: Keys and numbers of the published tables; every column must hold a value.
+TABLES = {
+    "demand_history": (["hour_index", "trigger"], ["invocations", "compute_seconds"]),
+    "model_performance": (["model", "dataset_split", "trigger"], ["MAE", "RMSE", "WAPE"]),
+    "forecast_vs_actual": (["hour_index", "trigger"], ["actual_compute_seconds", "baseline_forecast", "selected_forecast"]),
+    "future_forecast": (["forecast_hour", "trigger"], ["point_forecast", "P50", "P80", "P90", "P95", "P99"]),
+    "capacity_scenarios": (
+        ["forecast_hour", "headroom_pct"],
+        ["point_forecast", "capacity", "shortage_probability", "expected_shortage_compute_seconds", "expected_unused_capacity"],
+    ),
+    "capacity_recommendation": (
+        ["headroom_percent"],
+        ["maximum_hourly_shortage_probability", "average_shortage_probability", "expected_total_shortage", "average_unused_capacity"],
+    ),
+}
+
+
+def table_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, empty, nulls, not_finite, repeated_keys) of the published tables."""
+    rows = [violations(tables[name], *contract).withColumn("table_name", F.lit(name)) for name, contract in TABLES.items()]
+    return reduce(DataFrame.unionByName, rows)

@@ -112,7 +112,10 @@ def select_orders(panel: DataFrame) -> DataFrame:
     metrics = evaluate(scored).where("aggregation_level = 'trigger'").select("Trigger", "model", "MAE", "RMSE", "WAPE")
     keyed = metrics.join(F.broadcast(orders.withColumn("model", F.concat_ws(":", "p", "q", "sq"))), "model")
     best = Window.partitionBy("Trigger").orderBy(F.col("WAPE").asc_nulls_last(), "ordinal")
-    return keyed.withColumn("n", F.row_number().over(best)).where("n = 1").select("Trigger", "p", "q", "sq", "MAE", "RMSE", "WAPE")
+    chosen = keyed.withColumn("n", F.row_number().over(best)).where("n = 1").select("Trigger", "p", "q", "sq", "MAE", "RMSE", "WAPE")
+    none = F.raise_error(F.concat(F.lit("no candidate order fits trigger "), F.col("Trigger"))).cast("int")
+    every = triggers.join(chosen, "Trigger", "left")
+    return every.withColumn("p", F.when(F.col("p").isNull(), none).otherwise(F.col("p"))).select(*chosen.columns)
 
 
 def predict(panel: DataFrame, split: str, chosen: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from tidegauge.operators.reports import TABLES
 from tidegauge.schema import FEATURES, HEADROOMS, LAGS, MEAN_WINDOWS, PERCENTILES, STD_WINDOWS
 from tidegauge.sources.adapter import TRIGGERS
 
@@ -205,6 +205,78 @@ POINT = (
     "'Historical Hour-of-Day Mean' AS selected_model, 'workload demand proxy in compute-seconds per hour' AS demand_measure"
 )
 
+
+def counted(source: str, **rules: str) -> list[str]:
+    """A (rule, violations) query per condition that should never hold over ``source``; an unknown outcome counts, too."""
+    return [f"SELECT '{name}' AS rule, count(*) FILTER (WHERE coalesce({x}, true)) AS violations FROM {source}" for name, x in rules.items()]
+
+
+SPLITS = ", ".join(
+    f"{f}(CASE WHEN split = '{s}' THEN hour_index END) AS {s}_{f}" for s in ("train", "validation", "test") for f in ("min", "max")
+)
+FEATURED = "(SELECT * FROM fe WHERE split IS NOT NULL)"
+STEPS = f"(SELECT *, lag(hour_index) {W}) AS h0, lag(y) {W}) AS y0 FROM {FEATURED})"
+GRID = "(SELECT trig, count(*) AS n, count(DISTINCT hour_index) AS d, min(hour_index) AS lo, max(hour_index) AS hi FROM de GROUP BY trig)"
+SHARED = "(SELECT count(DISTINCT model) AS models, count(*) AS n, max(a) - min(a) AS gap FROM pr GROUP BY split, hour_index, trig)"
+TOTALS = "(SELECT hour_index, sum(invocations) AS n, sum(y) AS s, sum(act) AS f FROM de GROUP BY hour_index)"
+RULES = [
+    *counted("fh", calls_finite="NOT isfinite(CAST(calls AS DOUBLE)) OR calls < 0", calls_integral="calls <> floor(calls)",
+             trigger_known=f"trig NOT IN {TRIGGERS!r}"),
+    *counted("du", duration_count_positive="NOT (isfinite(CAST(c AS DOUBLE)) AND c > 0)"),
+    *counted("me", memory_finite="NOT isfinite(k) OR k < 0", memory_samples_positive="c <= 0"),
+    *counted("de", panel_keys_present="hour_index IS NULL OR trig IS NULL", panel_target="NOT isfinite(y) OR y < 0", panel_hour_of_day="hour_of_day <> hour_index % 24"),
+    *counted(GRID, panel_unique="n <> d", panel_continuous="hi - lo + 1 <> d", panel_full_grid="d <> 720", panel_long_enough="d <= 192"),
+    *counted("(SELECT count(DISTINCT hour_index) AS d FROM de GROUP BY trace_day)", day_has_24_hours="d <> 24"),
+    *counted("(SELECT min(hour_index) AS lo, count(*) AS n FROM de)", history_starts_at_zero="lo <> 0", history_rows=f"n <> 720 * {len(TRIGGERS)}"),
+    *counted(f"(SELECT sum(calls) AS raw FROM fh), (SELECT sum(invocations) AS n, sum(y) AS s FROM de), (SELECT sum(n) AS n2, sum(s) AS s2 FROM {TOTALS})",
+             raw_equals_trigger="raw <> n", trigger_equals_total="n <> n2", seconds_reconcile="abs(s - s2) > 1e-6 + 1e-9 * abs(s2)"),
+    *counted(FEATURED, lags_present=" OR ".join(f"lag_{k} IS NULL" for k in LAGS),
+             share_in_range="lag24_trigger_share IS NOT NULL AND lag24_trigger_share NOT BETWEEN 0 AND 1",
+             load_ratio_finite="historical_load_ratio IS NOT NULL AND (NOT isfinite(historical_load_ratio) OR historical_load_ratio < 0)"),
+    *counted(STEPS, features_finite=" OR ".join(f"NOT isfinite(CAST({c} AS DOUBLE)) OR {c} IS NULL" for c in FEATURES),
+             feature_hours_continuous="h0 IS NOT NULL AND hour_index - h0 <> 1",
+             lag_1_is_the_hour_before="h0 IS NOT NULL AND NOT coalesce(abs(lag_1 - y0) <= 1e-9, false)"),
+    *counted(f"(SELECT trig, {SPLITS} FROM {FEATURED} GROUP BY trig)", train_before_validation="train_max >= validation_min",
+             validation_before_test="validation_max >= test_min", validation_length="validation_max - validation_min + 1 <> 48",
+             test_length="test_max - test_min + 1 <> 72"),
+    *counted("pr", prediction_finite="p IS NULL OR NOT isfinite(p)", prediction_non_negative="p < 0"),
+    *counted(f"{SHARED}, (SELECT count(DISTINCT model) AS every FROM pr)", models_share_rows="models <> every OR n <> every", models_share_actuals="abs(gap) > 1e-6"),
+    *counted("(SELECT count(*) AS n, count(DISTINCT model) AS models FROM mt GROUP BY split)", metric_rows=f"n <> 2 * {len(TRIGGERS) + 1}", metric_models="models <> 2"),
+    *counted("(SELECT count(*) FILTER (WHERE trig = 'ALL_TRIGGERS') AS n FROM mt GROUP BY split, model)", one_total_per_model="n <> 1"),
+    *counted("(SELECT count(*) AS n FROM se)", one_selection="n <> 1"),
+    *counted("se", selection_complete="model IS NULL OR mae IS NULL OR rmse IS NULL OR wape IS NULL", selection_criterion="wape > (SELECT min(wape) FROM mt "
+             "WHERE split = 'validation' AND lvl = 'total_demand')", selection_without_test="split = 'test'"),
+    *counted("(SELECT count(*) AS n, count(DISTINCT (horizon, trig)) AS d FROM iv)", forecast_rows=f"n <> 24 * {len(TRIGGERS) + 1} OR d <> n"),
+    *counted("(SELECT count(*) AS n, count(DISTINCT (horizon, hr)) AS d FROM cs)", scenario_rows=f"n <> 24 * {len(HEADROOMS)} OR d <> n"),
+    *counted("cs", amounts_non_negative="cap < 0 OR short < 0 OR idle < 0"),
+    *counted("pa", points_non_negative="p < 0"),
+    *counted("iv", percentiles_ordered=" OR ".join(f"q[{k}] > q[{k + 1}] + 1e-9" for k in range(1, len(PERCENTILES)))),
+    *counted("cs", probability_in_range="prob NOT BETWEEN 0 AND 1", capacity_arithmetic="abs(cap - p * (1 + hr / 100.0)) > 1e-8 + 1e-5 * abs(p * (1 + hr / 100.0))"),
+    *counted("(SELECT count(*) FILTER (WHERE hr = best) AS n FROM rc)", one_recommendation="n > 1"),
+]
+
+
+def table_violations() -> str:
+    """The contract of the published tables, over their own SQL."""
+    columns = {
+        "demand_history": ["trace_day", "hour_of_day"], "forecast_vs_actual": ["selected_model"],
+        "capacity_recommendation": [
+            "service_target_maximum_hourly_shortage_probability", "meets_service_target", "is_minimum_recommended_headroom",
+            "minimum_recommended_headroom_percent", "recommendation_status", "capacity_measure",
+        ],
+    }
+    out = []
+    for name, (keys, numbers) in TABLES.items():
+        nulls = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in [*keys, *numbers, *columns.get(name, [])])
+        odd = " + ".join(f"count(*) FILTER (WHERE NOT isfinite(CAST({c} AS DOUBLE)))" for c in numbers)
+        out.append(
+            f"SELECT CAST(count(*) = 0 AS BIGINT) AS empty, {nulls} AS nulls, {odd} AS not_finite, (SELECT count(*) FROM (SELECT 1 FROM t_{name} "
+            f"GROUP BY {', '.join(keys)} HAVING count(*) > 1)) AS repeated_keys, '{name}' AS table_name FROM t_{name}"
+        )
+    tables = ", ".join(f"t_{name} AS ({ORACLE[f'bi_{name}']})" for name in TABLES)
+    return f"WITH {tables}\n" + " UNION ALL ".join(out)
+
+
 ORACLE: dict[str, str] = {
     "hourly_demand_by_trigger": sql(
         f"SELECT trace_day, hour_of_day, hour_index, trig AS Trigger, invocations, {r('y', 'compute_seconds')}, act AS active_functions, "
@@ -226,6 +298,14 @@ ORACLE: dict[str, str] = {
         "(SELECT coalesce(string_agg(CAST(d AS VARCHAR), '|' ORDER BY d), '') AS memory_unavailable_trace_days FROM unnest(range(1, 31)) AS t(d) "
         "WHERE d NOT IN (SELECT td FROM me)), (SELECT count(*) AS hourly_trigger_row_count, count(DISTINCT hour_index) AS hourly_total_row_count, "
         f"CAST(sum(invocations) AS BIGINT) AS total_invocations, {r('sum(y)', 'total_compute_seconds')} FROM de)", "fh", "du", "dc", "me", "de"),
+    "demand_reconciliation": sql(
+        "SELECT n = 0 AND f = 0 AND rn = 0 AND s <= 1e-9 AND rs <= 1e-6 AS reconciliation_passed, n AS max_hourly_invocation_difference, "
+        f"{r('s', 'max_hourly_compute_seconds_difference')}, f AS max_hourly_active_function_difference, rn AS raw_total_invocation_difference, "
+        f"{r('rs', 'raw_total_compute_seconds_difference')} FROM (SELECT CAST(max(abs(a.n - b.n)) AS DOUBLE) AS n, max(abs(a.s - b.s)) AS s, "
+        "CAST(max(abs(a.f - b.f)) AS DOUBLE) AS f, CAST(abs(sum(b.n) - any_value(raw)) AS DOUBLE) AS rn, abs(sum(b.s) - any_value(secs)) AS rs "
+        f"FROM {TOTALS} a JOIN {TOTALS} b USING (hour_index), (SELECT sum(calls) AS raw, coalesce(sum(calls * ms / 1000.0), 0.0) AS secs "
+        "FROM fh LEFT JOIN dc USING (td, o, app, trig)))", "fh", "dc", "de"),
+    "constraint_report": sql("\nUNION ALL ".join(RULES), "fh", "du", "me", "de", "fe", "pr", "mt", "se", "pa", "iv", "cs", "rc"),
     "minute_to_hour_reshape": sql(
         "SELECT td AS trace_day, trig AS Trigger, CAST(h AS INTEGER) AS hour_of_day, CAST(coalesce(n, 0) AS BIGINT) AS calls, CAST(coalesce(f, 0) AS BIGINT) AS active_functions "
         "FROM (SELECT DISTINCT td, trig FROM fh) CROSS JOIN unnest(range(0, 24)) AS t(h) LEFT JOIN "
@@ -306,4 +386,4 @@ ORACLE: dict[str, str] = {
     "visual_shortage_by_headroom": sql(
         f"SELECT CAST(hr AS INTEGER) AS headroom_percent, {r('worst', 'maximum_hourly_shortage_probability')}, {r('short', 'expected_total_shortage')} FROM rc", "rc"),
 }
-
+ORACLE["bi_table_violations"] = table_violations()

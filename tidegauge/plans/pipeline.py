@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import capacity, checks, demand, features, forecast, gbdt, reports, sarimax
-from tidegauge.schema import GBDT, HOURLY_MEAN, SARIMAX, SEASONAL, TEST_HOURS, VALIDATION_HOURS
+from tidegauge.schema import GBDT, HEADROOMS, HORIZON, HOURLY_MEAN, SARIMAX, SEASONAL, TEST_HOURS, VALIDATION_HOURS
 from tidegauge.sources import adapter
 from tidegauge.sources.shared import materialize
 from tidegauge.streaming import hourly
@@ -48,6 +48,12 @@ def data_quality(spark: SparkSession, d: str) -> DataFrame:
     return demand.quality_summary(*sources, hourly_demand(spark, d), HOURS // 24)
 
 
+def demand_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    rows = stored_demand(spark, d)
+    totals = demand.hourly_totals(rows, list(adapter.TRIGGERS))
+    return demand.reconciled(adapter.invocations(spark, d), adapter.durations(spark, d), rows, totals)
+
+
 def minute_reshape(spark: SparkSession, d: str) -> DataFrame:
     hours = demand.minutes_to_hours(adapter.minute_matrix(spark, d))
     return hours.groupBy("trace_day", "Trigger", "hour_of_day").agg(
@@ -208,16 +214,23 @@ def constraint_report(spark: SparkSession, d: str) -> DataFrame:
     ahead, errors = capacity.future_points(rows, HOURS), capacity.residual_vectors(found)
     drawn = capacity.simulate(ahead, errors)
     tested = materialize(capacity.scenarios(ahead, drawn), "scenarios")
+    triggers, scored = list(adapter.TRIGGERS), materialize(forecast.evaluate(found), "metrics")
+    forecasts = materialize(capacity.intervals(ahead, drawn, triggers), "intervals")
     parts = [
         checks.invocation_rules(calls, adapter.TRIGGERS),
         checks.duration_rules(seconds),
         checks.memory_rules(mb),
         checks.panel_rules(rows, HOURS),
-        checks.reconciliation(rows, demand.hourly_totals(rows, list(adapter.TRIGGERS)), calls),
+        checks.history_rules(rows, HOURS, len(triggers)),
+        checks.reconciliation(rows, demand.hourly_totals(rows, triggers), calls),
         checks.feature_rules(featured),
+        checks.model_input_rules(featured),
         checks.split_rules(featured, VALIDATION_HOURS, TEST_HOURS),
         checks.prediction_rules(found),
-        checks.capacity_rules(ahead, capacity.intervals(ahead, drawn, list(adapter.TRIGGERS)), tested, capacity.recommendation(tested)),
+        checks.metric_rules(scored, 2, len(triggers)),
+        checks.selection_rules(forecast.selection_record(scored)),
+        checks.future_rules(forecasts, tested, HORIZON, len(triggers), len(HEADROOMS)),
+        checks.capacity_rules(ahead, forecasts, tested, capacity.recommendation(tested)),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -324,6 +337,27 @@ def measure_kpis(spark: SparkSession, d: str) -> DataFrame:
     return reports.kpis(bi_forecast_vs_actual(spark, d), bi_model_performance(spark, d), recommended(spark, d))
 
 
+def bi_table_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The contract of the six published tables, counted on one stored panel and one simulation."""
+    base = stored_demand(spark, d)
+    found = predictions_of(features.labelled(base, HOURS))
+    scored = materialize(forecast.evaluate(found), "metrics")
+    chosen = forecast.select_model(scored).first()["model"]
+    capacity.require_supported(chosen)
+    ahead, errors = capacity.future_points(base, HOURS), capacity.residual_vectors(found)
+    drawn = capacity.simulate(ahead, errors)
+    tested = materialize(capacity.scenarios(ahead, drawn), "scenarios")
+    tables = {
+        "demand_history": reports.demand_history(base),
+        "model_performance": reports.model_performance(scored),
+        "forecast_vs_actual": reports.forecast_vs_actual(found, chosen, {"baseline_forecast": SEASONAL}),
+        "future_forecast": reports.future_forecast(capacity.intervals(ahead, drawn, list(adapter.TRIGGERS))),
+        "capacity_scenarios": reports.capacity_scenarios(tested),
+        "capacity_recommendation": capacity.recommendation(tested),
+    }
+    return reports.table_report(tables)
+
+
 def visual_actual_vs_selected(spark: SparkSession, d: str) -> DataFrame:
     return reports.actual_vs_selected(bi_forecast_vs_actual(spark, d))
 
@@ -374,6 +408,10 @@ def sarimax_test(spark: SparkSession, d: str) -> DataFrame:
     return sarimax.predict(rows, "test", sarimax.select_orders(rows))
 
 
+def sarimax_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return sarimax.diagnostics(sarimax_test(spark, d))
+
+
 def gbdt_validation(base: DataFrame) -> DataFrame:
     """Validation predictions of every declared configuration from a stored panel, computed once."""
     return materialize(gbdt.rolling(features.model_features(base, HOURS), base, "validation", gbdt.CONFIGS), "validation")
@@ -400,6 +438,10 @@ def gbdt_importance(spark: SparkSession, d: str) -> DataFrame:
     return gbdt.importance(features.model_features(base, HOURS), gbdt_choice(gbdt_validation(base)))
 
 
+def visual_feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    return reports.importance_by_feature(gbdt_importance(spark, d))
+
+
 def streaming_hourly(spark: SparkSession, d: str) -> DataFrame:
     return hourly.replay(spark, d).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "events")
 
