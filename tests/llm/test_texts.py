@@ -491,3 +491,20 @@ def test_pipeline_stages_keep_the_columns_and_do_their_work(spark, data):
     assert all(not plain_spans(r["text"]) for r in docs.collect())
     packed = pipeline.packing(spark, docs, data)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == kept["personal_data"]
+
+
+def test_a_text_with_thousands_of_spans_is_redacted_whole(spark):
+    from tidegauge.llm import pii_bootstrap
+
+    text = "é " + " ".join(f"user{k}@ex{k % 7}.org wrote to +33 6 {k % 90 + 10} 34 56 78, ok" for k in range(1500))
+    docs = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")
+    found = pii_bootstrap.extract(docs)
+    spans = {r["doc_id"]: r["spans"] for r in found.collect()}
+    assert len(spans[1]) == 3000
+    out, at = [], 0
+    for x in sorted(spans[1], key=lambda x: (x["start"], x["end"], x["kind"])):
+        if x["start"] >= at:
+            out += [text[at : x["start"]], f"[{pii_bootstrap.KINDS[x['kind']].upper()}]"]
+        at = max(at, x["end"])
+    clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redact(docs, found).collect()}
+    assert clean == {1: "".join(out) + text[at:], 2: "none", 3: None}

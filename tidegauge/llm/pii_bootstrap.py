@@ -87,11 +87,11 @@ def shape(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, "[0-9]", "9"), "[A-Za-z]+", "a")
 
 
-def starts_of(sizes: Column, block: int = 512) -> Column:
+def starts_of(sizes: Column, block: int = 512, *, add=lambda a, b: a + b) -> Column:
     """Sums of all earlier entries of an array<int>, at every entry: in blocks, since arrays are copied when they grow."""
 
     def step(state: Column, x: Column) -> Column:
-        return F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.struct(add(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
 
     def plain(x: Column) -> Column:
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
@@ -99,7 +99,7 @@ def starts_of(sizes: Column, block: int = 512) -> Column:
 
     blocks = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(block)), lambda k: plain(F.slice(sizes, k + 1, block)))
     firsts = plain(F.transform(blocks, lambda b: b["at"]))["out"]
-    whole = F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.transform(b["out"], lambda x: x + first)))
+    whole = F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.transform(b["out"], lambda x: add(x, first))))
     return F.when(F.size(sizes) > 0, whole).otherwise(F.array().cast("array<int>"))
 
 
@@ -123,8 +123,31 @@ def located(found: str, gaps: str) -> Column:
     return F.when(F.size(found) > 0, F.transform(firsts, one)).otherwise(none)
 
 
+BLOCKS = "array<struct<lo:int,hi:int,s:array<struct<a:int,b:int>>>>"
+
+
+def blocked(spans: str, block: int = 64) -> Column:
+    """Spans (a, b) in order of a, in blocks with the range that each covers."""
+
+    def one(k: Column) -> Column:
+        part = F.slice(F.col(spans), k + 1, block)
+        return F.struct(F.get(part, F.lit(0))["a"].alias("lo"), F.array_max(F.transform(part, lambda x: x["b"])).alias("hi"), part.alias("s"))
+
+    some = F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(block)), one)
+    return F.when(F.size(spans) > 0, some).otherwise(F.array().cast(BLOCKS))
+
+
+def meeting(blocks: str, lo: Column, hi: Column) -> Column:
+    """Blocks of spans, with only those that overlap [lo, hi)."""
+
+    def trimmed(b: Column) -> Column:
+        return b.withField("s", F.filter(b["s"], lambda x: (x["b"] > lo) & (x["a"] < hi)))
+
+    return F.transform(F.filter(blocks, lambda b: (b["hi"] > lo) & (b["lo"] < hi)), trimmed)
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, key (hash of the text), seeds of all kinds and zones, without the text."""
+    """Per row: id, key (hash of the text), seeds of all kinds, zones and the seeds' places in blocks, without the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     hints = {"email": F.instr("text", "@") > 0, "phone": F.instr("text", "+") > 0}
@@ -138,7 +161,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def kept(kind: str) -> Column:
         return F.filter(kind, lambda x: valid(kind, x["body"])).alias(kind)
 
-    return out.select("id", "key", *map(kept, KINDS), "zone")
+    out = out.select("id", "key", *map(kept, KINDS), "zone")
+    places = F.concat(*(F.transform(k, lambda x: F.named_struct(F.lit("a"), x["start"], F.lit("b"), x["end"])) for k in KINDS))
+    out = out.withColumn("places", F.array_sort(places))
+    return out.withColumn("places", blocked("places"))
 
 
 def seeds_of(scanned: DataFrame) -> DataFrame:
@@ -155,22 +181,30 @@ def candidates_of(scanned: DataFrame, max_tokens: int) -> DataFrame:
     """Runs of tokens of a zone that do not overlap a seed, with the kinds that they may be.
 
     Runs of up to ``max_tokens`` tokens are instances whatever they are; longer ones only if they are of a kind.
+    A zone, and then a token, carries the seeds near it and no others.
     """
-    seeds = F.concat(*(F.transform(k, lambda x: F.named_struct(F.lit("a"), x["start"], F.lit("b"), x["end"])) for k in KINDS))
-    zones = scanned.select("id", "key", seeds.alias("seeds"), F.explode("zone").alias("z"))
-    zones = zones.select("id", "key", "seeds", F.split("z.body", " ").alias("t"), F.col("z.start").alias("at"), "z.left", "z.right")
+    nearby = F.transform("zone", lambda z: F.struct(z.alias("z"), meeting("places", z["start"], z["end"]).alias("near")))
+    zones = scanned.select("id", "key", F.explode(nearby).alias("q"))
+    zones = zones.select(
+        "id", "key", F.col("q.near").alias("near"), F.split("q.z.body", " ").alias("t"), F.col("q.z.start").alias("at"), "q.z.left", "q.z.right"
+    )
     most = max(max_tokens, MOST_DIGITS)
     places = starts_of(F.transform("t", lambda x: F.length(x) + 1))
+
+    def near(i: Column, start: Column) -> Column:
+        first = F.col("at") + start
+        found = meeting("near", first, first + F.length(F.array_join(F.slice("t", i + 1, most), " ")))
+        return F.flatten(F.transform(found, lambda b: b["s"]))
+
     # What a token needs of its zone: the runs that start there, and one word on either side.
     views = F.zip_with(
         F.sequence(F.lit(0), F.size("t") - 1), places,
         lambda i, start: F.struct(
             start.alias("start"), F.slice("t", i + 1, most).alias("t"), F.when(i > 0, F.get(F.col("t"), i - 1)).alias("before"),
-            F.get(F.col("t"), i + most).alias("after"),
+            F.get(F.col("t"), i + most).alias("after"), near(i, start).alias("seeds"),
         ),
     )
-    near = F.filter("seeds", lambda s: (s["b"] > F.col("at")) & (s["a"] < F.col("at") + F.length(F.array_join("t", " "))))
-    tokens = zones.select("id", "key", near.alias("seeds"), "at", "left", "right", F.explode(views).alias("v"))
+    tokens = zones.select("id", "key", "at", "left", "right", F.explode(views).alias("v")).withColumn("seeds", F.col("v.seeds"))
     runs = tokens.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("v.t"))))
     run = F.array_join(F.slice("v.t", F.lit(1), F.col("n")), " ")
     next_one = F.lower(F.coalesce(F.get(F.col("v.t"), F.col("n")), F.when(F.col("n") == most, F.col("v.after"))))
@@ -237,13 +271,19 @@ def score(seeds: DataFrame, candidates: DataFrame, rounds: int, support: int, ac
 
 def apart(spans: Column) -> Column:
     """Of spans in order of kind and start, those that do not overlap an earlier kept one of their kind."""
+    span = "struct<kind:int,start:int,neg:int,end:int>"
 
     def keep(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        clash = (last["kind"] == x["kind"]) & (last["end"] > x["start"])
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<kind:int,start:int,neg:int,end:int>>"), keep)
+        clash = (kept["kind"] == x["kind"]) & (kept["end"] > x["start"])
+        full = F.size(kept["open"]) >= 512  # in blocks, since arrays are copied when they grow
+        done = F.when(full, F.concat(kept["done"], F.array(kept["open"]))).otherwise(kept["done"])
+        grown = F.when(full, F.array(x)).otherwise(F.concat(kept["open"], F.array(x)))
+        return F.when(clash, kept).otherwise(F.struct(done.alias("done"), grown.alias("open"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    none = F.struct(
+        F.array().cast(f"array<array<{span}>>").alias("done"), F.array().cast(f"array<{span}>").alias("open"), F.lit(-1).alias("kind"), F.lit(0).alias("end")
+    )
+    return F.aggregate(spans, none, keep, lambda kept: F.flatten(F.concat(kept["done"], F.array(kept["open"]))))
 
 
 def extract(
@@ -299,15 +339,27 @@ def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_co
     order = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
     joined = keyed.join(spans, same, "left").select("row", order.alias("x"))
 
-    def reach(state: Column, x: Column) -> Column:
-        return F.concat(state, F.array(F.greatest(F.element_at(state, -1), x["e"])))
-
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    joined = joined.withColumn("end", F.aggregate("x", F.array(F.lit(0)), reach))  # how far the spans before each one reach
-    pieces = F.zip_with(
-        F.col("x"), F.slice("end", F.lit(1), F.size("x")),
-        lambda x, end: F.when(x["s"] >= end, F.concat(F.substring(text, end + 1, x["s"] - end), F.get(name, x["k"]))).otherwise(""),
-    )
-    tail = F.substring(text, F.element_at("end", -1) + 1, F.length(text))
+    joined = joined.withColumn("ends", F.transform("x", lambda x: x["e"]))
+    joined = joined.withColumn("end", starts_of(F.col("ends"), add=F.greatest))  # how far the spans before each one reach
+    # In blocks, since every cut walks the text from its start.
+    size = 128
+
+    def chunk(k: Column) -> Column:
+        mine, reached = F.slice("x", k + 1, size), F.slice("end", k + 1, size)
+        lo = F.get(F.col("end"), k)
+        hi = F.greatest(lo, F.array_max(F.slice("ends", k + 1, size)))
+        return F.struct(mine.alias("x"), reached.alias("end"), lo.alias("lo"), F.substring(text, lo + 1, hi - lo).alias("text"))
+
+    def clear(c: Column) -> Column:
+        def piece(x: Column, end: Column) -> Column:
+            kept = F.substring(c["text"], end - c["lo"] + 1, x["s"] - end)
+            return F.when(x["s"] >= end, F.concat(kept, F.get(name, x["k"]))).otherwise("")
+
+        return F.array_join(F.zip_with(c["x"], c["end"], piece), "")
+
+    chunks = F.transform(F.sequence(F.lit(0), F.size("x") - 1, F.lit(size)), chunk)
+    pieces = F.when(F.size("x") > 0, F.transform(chunks, clear))
+    tail = F.substring(text, F.array_max("ends") + 1, F.length(text))
     clean = F.when(F.col("x").isNull(), F.col("row").getField(text_col)).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return joined.select(F.col("row").withField(f"`{text_col}`", clean).alias("row")).select("row.*")
