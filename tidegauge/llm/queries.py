@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff, warc_revisit
+from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, fill_middle, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff, warc_revisit
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +196,19 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_nnls.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        F.col("n_lines").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -207,4 +220,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_sequence_packing": op10_sequence_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
