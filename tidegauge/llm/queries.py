@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, fill_middle, host_suffix, language_id, packing_nnls, pii_bootstrap, quality_rff, warc_revisit
+from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, fill_middle, host_suffix, language_id, packing_nnls, pcy_phrases, pii_bootstrap, quality_rff, warc_revisit
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +209,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pcy_phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -221,4 +225,5 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": op9_language_id,
     "op10_sequence_packing": op10_sequence_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_collocations": op12_collocations,
 }

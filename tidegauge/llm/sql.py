@@ -117,9 +117,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM c
 """
 
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+  FROM w, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, array_to_string(list_slice(words, i, i + 1), ' ') AS phrase, max(a) AS most
+  FROM c, unnest([1, 2]) AS t(i) WHERE k = 3 GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, a, l.f AS l, r.f AS r, cut, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM c, unnest(range(1, c.k)) AS t(cut)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(words, 1, cut), ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(words, cut + 1, c.k), ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM best LEFT JOIN longer USING (lang, phrase) WHERE place = 1 AND coalesce(100 * most < 50 * a, true))
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc_revisits": OP1,
     "op6_benchmark_decontamination": OP6,
     "op7_chat_format": OP7,
     "op11_fill_in_middle": OP11,
+    "op12_collocations": OP12,
 }
