@@ -56,7 +56,7 @@ def texts(seed=12, docs=150):
 def test_collocations_equal_brute_force(spark, longest, least, share, best):
     rows = texts()
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    found = pcy_phrases.collocations(docs, longest=longest, min_count=least, share=share, best=best, buckets=1 << 16)
+    found = pcy_phrases.collocations(docs, longest=longest, min_count=least, share=share, best=best, buckets=1 << 30, bits=1 << 12)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     expected = brute(rows, longest, least, share, best)
     assert len(expected) > 20 and sorted(map(tuple, found.collect())) == expected
@@ -86,7 +86,7 @@ def test_blocks_end_with_pieces_and_lose_nothing(monkeypatch):
 def test_bitmaps_have_the_bits_of_frequent_phrases(spark):
     rows = [(i, "a b a b c", "en", "x", 1, "y") for i in range(6)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3).selectExpr("lang", "cast(text as binary) data")
-    partials = pcy_phrases.counting_pass(docs, 1, 2, 10, 1 << 16, None, None).cache()
+    partials = pcy_phrases.counting_pass(docs, 1, 2, 10, 1 << 32, None, None).cache()
     block = pcy_phrases.Block("en", b"a b a b c")
     *_, (value, _) = block.hashes(2)
     counted = np.frombuffer(pcy_phrases.counted_bitmap(partials, 10, 1 << 16), dtype=np.uint8)
@@ -97,10 +97,37 @@ def test_bitmaps_have_the_bits_of_frequent_phrases(spark):
     assert pcy_phrases.has_bit(frequent, block.of_word[1:]).tolist() == [True, True, True, True, False]
 
 
+@pytest.mark.parametrize("least", [10, 127, 128, 1000])
+def test_counters_come_back_as_they_went(least):
+    rng = np.random.default_rng(least)
+    ids = [rng.integers(0, 1 << 26, 5000).astype(np.uint64), np.repeat(np.array([0, 5, (1 << 26) - 1], dtype=np.uint64), [3, 200, 2000])]
+    seen = {}
+    for batch in pcy_phrases.counters_of(ids, least):
+        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+            places, n = pcy_phrases.unpacked(data, pcy_phrases.counter_kind(least))
+            seen |= {int(chunk) * pcy_phrases.RANGE + p: c for p, c in zip(places.tolist(), n.tolist())}
+    values, counts = np.unique(np.concatenate(ids), return_counts=True)
+    assert seen == {int(v): min(int(c), least) for v, c in zip(values, counts)}
+
+
+def test_few_and_many_counters_sum_alike():
+    rng = np.random.default_rng(5)
+    few, many, sums = pcy_phrases.Range(3, 10), pcy_phrases.Range(3, 10), np.zeros(2000, dtype=int)
+    many.add(np.arange(pcy_phrases.RANGE // 32), np.zeros(pcy_phrases.RANGE // 32, dtype=np.uint8))
+    for _ in range(6):
+        places = np.unique(rng.integers(0, 2000, 900))
+        n = rng.integers(1, 8, len(places)).astype(np.uint8)
+        sums[places] += n
+        few.add(places, n), many.add(places, n)
+    expected = (np.flatnonzero(sums >= 10) + 3 * pcy_phrases.RANGE).tolist()
+    assert few.all is None and many.all is not None
+    assert few.frequent().tolist() == many.frequent().tolist() == expected
+
+
 def test_empty_table_and_bad_parameters(spark):
     empty = spark.createDataFrame([], DOCS)
     assert pcy_phrases.collocations(empty).count() == 0
-    for bad in ({"longest": 1}, {"buckets": 100_000}, {"buckets": 1024}, {"min_count": 0}):
+    for bad in ({"longest": 1}, {"buckets": 100_000_000}, {"buckets": 1024}, {"bits": 100}, {"min_count": 0}):
         with pytest.raises(ValueError):
             pcy_phrases.collocations(empty, **bad)
 

@@ -2,15 +2,17 @@
 
 Pass k reads the texts once. It counts the phrases of k words exactly, and
 throws every phrase of k + 1 words that may still be frequent into one of
-``buckets`` counters. The counters that reach ``min_count`` become a bitmap;
-so do the frequent phrases of k words. Pass k + 1 gets both as broadcasts and
-counts a phrase only if its bucket's bit is set and both phrases of k words
-inside it are frequent. A bitmap has ``buckets`` / 8 bytes whatever the corpus;
-false positives cost a counter each and never a result, as counts are exact.
-
-A task holds its counters and at most ``HELD`` different phrases, and emits
+``buckets`` counters. Most counters of a task are zero, so a task emits the
+others, packed by ranges of buckets, and ranges are summed in parallel. The
+buckets that reach ``min_count`` are folded into a bitmap of ``bits`` bits, and
+so are the frequent phrases of k words. Pass k + 1 gets both as broadcasts and
+counts a phrase only if its bit is set and both phrases of k words inside it
+are frequent. A bitmap has ``bits`` / 8 bytes whatever the corpus; false
+positives cost a counter each and never a result, as counts are exact.
+
+A task holds at most ``HELD`` different phrases and ``IDS`` buckets and emits
 partial sums, which Spark combines before and after the shuffle. Counters are
-capped at ``min_count`` in every task, which cannot change a bit.
+capped at ``min_count``, which cannot change a bit.
 
 Words: A-Z lower-cased, texts split at ``[.,;:!?\\x0A-\\x0D]`` into pieces, those
 at spaces and tabs. Everything is counted per language. A candidate has 2 to
@@ -36,17 +38,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chosen_path import MASK, mixed
-from tidegauge.llm.common import join_unique, materialize, small_batches, whole_groups
+from tidegauge.llm.common import join_unique, materialize, small_batches
 
 #: A byte that no UTF-8 text has: the end of a piece.
 END = b"\xff"
 #: A-Z fold to a-z; these bytes end a piece; a tab is a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-#: Bytes of text that a task works on at once, and different phrases that it holds before it emits them.
-TEXT = 1 << 22
-HELD = 400_000
-#: Counters that travel together.
-CHUNK = 1 << 16
+#: Bytes of text that a task works on at once, and different phrases and places in buckets that it holds before it emits them.
+TEXT = 1 << 21
+HELD = 150_000
+IDS = 1 << 22
+#: Counters of one range: they are summed together.
+RANGE = 1 << 24
 PARTIAL = "lang string, phrase string, hash long, n long, chunk int, counts binary"
 #: Parts of a language among which its best phrases are found first.
 PARTS = 64
@@ -118,16 +121,42 @@ def partial_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "hash", "n", "chunk", "counts"])
 
 
+def packed(places: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising places in a range and their counts, byte by byte of the steps: equal bytes lie together and compress."""
+    steps = np.diff(places, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return np.ascontiguousarray(steps.T).tobytes() + counts.tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // (4 + np.dtype(kind).itemsize)
+    steps = np.frombuffer(data, dtype=np.uint8, count=4 * n).reshape(4, n).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4")[:, 0], dtype=np.int64), np.frombuffer(data, dtype=kind, offset=4 * n)
+
+
+def counter_kind(min_count: int) -> type:
+    return np.uint8 if min_count < 128 else np.uint32
+
+
+def counters_of(ids: list[np.ndarray], min_count: int) -> Iterator[pa.RecordBatch]:
+    """Rows of counters, one for each range of buckets that the ids fall into."""
+    if ids:
+        where, n = np.unique(np.concatenate(ids), return_counts=True)
+        n = np.minimum(n, min_count).astype(counter_kind(min_count))
+        chunks = (where // RANGE).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.diff(chunks, prepend=-1)), len(chunks))
+        places = (where % RANGE).astype(np.int64)
+        yield partial_batch([(None, None, None, None, int(chunks[s]), packed(places[s:e], n[s:e])) for s, e in zip(edges, edges[1:])])
+
+
 def counting_pass(texts: DataFrame, k: int, longest: int, min_count: int, buckets: int, frequent, bucketed) -> DataFrame:
     """Partial counts of phrases of k words, and partial counters of those of k + 1 where any are asked for.
 
     ``frequent`` and ``bucketed`` are the broadcast bitmaps of the pass before, none in the first pass.
     """
-    small = np.uint8 if min_count < 256 else np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        counters = np.zeros(buckets if k < longest else 0, dtype=np.uint32)
+        held: dict[str, dict[bytes, list]] = defaultdict(dict)
+        ids: list[np.ndarray] = []
         before, allowed = (np.frombuffer(x.value, dtype=np.uint8) if x else None for x in (frequent, bucketed))
         for lang, data in blocks(batches):
             block = Block(lang, data)
@@ -136,61 +165,83 @@ def counting_pass(texts: DataFrame, k: int, longest: int, min_count: int, bucket
                 known = has_bit(before, shorter[-1][0])
                 kept = kept & known[:-1] & known[1:] & has_bit(allowed, value)
             phrases, counts, places = block.counted(np.flatnonzero(kept), k)
+            mine = held[lang]
             for phrase, n, h in zip(phrases, counts.tolist(), value[places].view(np.int64).tolist()):
-                entry = held.setdefault((lang, phrase), [h, 0])
-                entry[1] += n
-            if len(counters):
-                following = mixed(value[:-1] * MASK + block.of_word[k:])[kept[:-1] & (kept[1:] if k > 1 else block.inside[1:])]
-                where, n = np.unique(following & np.uint64(buckets - 1), return_counts=True)
-                counters[where] = np.minimum(counters[where] + n, min_count)
-            if len(held) >= HELD:
-                yield partial_batch([(lang, p, h, n, None, None) for (lang, p), (h, n) in held.items()])
-                held = {}
-        yield partial_batch([(lang, p, h, n, None, None) for (lang, p), (h, n) in held.items()])
-        for lo in range(0, len(counters), CHUNK):
-            part = counters[lo : lo + CHUNK]
-            if part.any():
-                yield partial_batch([(None, None, None, None, lo // CHUNK, part.astype(small).tobytes())])
+                mine.setdefault(phrase, [h, 0])[1] += n
+            if k < longest:
+                both = np.flatnonzero(kept[:-1] & kept[1:])
+                ids.append(mixed(value[both] * MASK + block.of_word[both + k]) & np.uint64(buckets - 1))
+                if sum(map(len, ids)) >= IDS:
+                    yield from counters_of(ids, min_count)
+                    ids = []
+            if sum(map(len, held.values())) >= HELD:
+                yield from emitted(held)
+        yield from emitted(held)
+        yield from counters_of(ids, min_count)
+
+    def emitted(held: dict[str, dict[bytes, list]]) -> Iterator[pa.RecordBatch]:
+        for lang, counts in held.items():
+            yield partial_batch([(lang, p, h, n, None, None) for p, (h, n) in counts.items()])
+        held.clear()
 
     return texts.mapInArrow(count, PARTIAL)
 
 
-def counted_bitmap(partials: DataFrame, min_count: int, buckets: int) -> bytes:
-    """One bit a bucket: whether its counters sum to ``min_count``. ``buckets`` / 8 bytes reach the driver."""
-    small = np.uint8 if min_count < 256 else np.uint32
+class Range:
+    """Sums of the counters of one range: a few lie side by side until they are added, many in an array of all buckets."""
+
+    def __init__(self, chunk: int, min_count: int):
+        self.chunk, self.min_count, self.all = chunk, min_count, None
+        self.few: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, places: np.ndarray, n: np.ndarray) -> None:
+        self.few.append((places, n))
+        if self.all is not None or sum(len(p) for p, _ in self.few) > RANGE // 64:
+            if self.all is None:
+                self.all = np.zeros(RANGE, dtype=counter_kind(self.min_count))
+            for p, c in self.few:
+                self.all[p] = np.minimum(self.all[p] + c, self.min_count)
+            self.few = []
+
+    def frequent(self) -> np.ndarray:
+        """Buckets that reach ``min_count``."""
+        if self.all is not None:
+            return np.flatnonzero(self.all >= self.min_count) + self.chunk * RANGE
+        places, n = (np.concatenate(x) for x in zip(*self.few))
+        places, at = np.unique(places, return_inverse=True)
+        return places[np.bincount(at, weights=n) >= self.min_count] + self.chunk * RANGE
+
+
+def counted_bitmap(partials: DataFrame, min_count: int, bits: int) -> bytes:
+    """The buckets whose counters sum to ``min_count``, folded into ``bits`` bits."""
+    kind = counter_kind(min_count)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, edges in whole_groups(summed(batches), "chunk"):
-            for s, e in zip(edges, edges[1:]):
-                total = sum(np.frombuffer(c.as_py(), dtype=small).astype(np.int64) for c in rows.column("counts").slice(s, e - s))
-                bits = np.packbits(total >= min_count, bitorder="little")
-                yield pa.RecordBatch.from_arrays([rows.column("chunk").slice(s, 1).combine_chunks(), pa.array([bits.tobytes()])], names=["chunk", "bits"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks that already reach a sum within a batch are added at once, so that no chunk is held in many copies."""
+        now = None
         for b in batches:
-            chunks, out = b.column(0).to_numpy(), {}
-            for k, c in zip(chunks.tolist(), b.column(1)):
-                now = np.frombuffer(c.as_py(), dtype=small).astype(np.uint32)
-                out[k] = np.minimum(out[k] + now, min_count) if k in out else now
-            counts = [v.astype(small).tobytes() for v in out.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
+            for chunk, data in zip(b.column(0).to_pylist(), b.column(1)):
+                if now is None or chunk != now.chunk:
+                    yield from found(now)
+                    now = Range(chunk, min_count)
+                now.add(*unpacked(data.as_py(), kind))
+        yield from found(now)
+
+    def found(now: Range | None) -> Iterator[pa.RecordBatch]:
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(now.frequent(), pa.int64())], names=["hash"])
 
     chunks = partials.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
-    bits = bytearray(buckets // 8)
-    for chunk, part in chunks.mapInArrow(add, "chunk int, bits binary").collect():
-        bits[chunk * (CHUNK // 8) : chunk * (CHUNK // 8) + len(part)] = part
-    return bytes(bits)
+    return frequent_bitmap(chunks.mapInArrow(add, "hash long"), bits)
 
 
-def frequent_bitmap(level: DataFrame, buckets: int) -> bytes:
-    """One bit a bucket: whether a frequent phrase hashes to it. At most ``buckets`` / 64 rows reach the driver."""
-    bucket = F.col("hash").bitwiseAND(buckets - 1)
+def frequent_bitmap(level: DataFrame, bits: int) -> bytes:
+    """One bit a bucket: whether a ``hash`` falls into it. At most ``bits`` / 64 pairs of numbers reach the driver."""
+    bucket = F.col("hash").bitwiseAND(bits - 1)
     words = level.select((bucket / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
-    bits = np.zeros(buckets // 64, dtype="<i8")
-    for word, value in words.groupBy("word").agg(F.bit_or("bit")).collect():
-        bits[word] = value
-    return bits.tobytes()
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, dtype="<i8")
+    out[found.column("word").to_numpy()] = found.column("bit").to_numpy()
+    return out.tobytes()
 
 
 def keyed(lang: Column | str, phrase: Column) -> Column:
@@ -198,12 +249,12 @@ def keyed(lang: Column | str, phrase: Column) -> Column:
     return F.concat(F.length(lang).cast("string"), F.lit(":"), lang, F.lit(" "), phrase)
 
 
-def frequent_phrases(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, min_count: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, min_count: int, buckets: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all phrases up to ``longest`` words that occur ``min_count`` times, and (lang, n) of all words."""
     spark = docs.sparkSession
     lang, data = F.coalesce(docs[lang_col].cast("string"), F.lit("und")), docs[text_col].cast("binary")
     texts = small_batches(docs).where(docs[text_col].isNotNull()).select(lang.alias("lang"), data.alias("data"))
-    levels, totals, frequent, bucketed, owned = [], None, None, None, []
+    levels, totals, frequent, bucketed = [], None, None, None
     for k in range(1, longest + 1):
         partials = materialize(counting_pass(texts, k, longest, min_count, buckets, frequent, bucketed), f"pass-{k}")
         found = partials.where("chunk IS NULL")
@@ -213,9 +264,8 @@ def frequent_phrases(docs: DataFrame, *, lang_col: str, text_col: str, longest:
         level = materialize(sums.where(F.col("f") >= min_count), f"phrases-{k}")
         levels.append(level.select("lang", F.lit(k).alias("k"), "phrase", "f"))
         if k < longest:
-            frequent = spark.sparkContext.broadcast(frequent_bitmap(level, buckets))
-            bucketed = spark.sparkContext.broadcast(counted_bitmap(partials, min_count, buckets))
-            owned += [frequent, bucketed]
+            frequent = spark.sparkContext.broadcast(frequent_bitmap(level, bits))
+            bucketed = spark.sparkContext.broadcast(counted_bitmap(partials, min_count, bits))
     return reduce(DataFrame.unionByName, levels), totals
 
 
@@ -270,16 +320,20 @@ def collocations(
     min_count: int = 10,
     share: int = 50,
     best: int = 2000,
-    buckets: int = 1 << 22,
+    buckets: int = 1 << 32,
+    bits: int = 1 << 24,
 ) -> DataFrame:
     """Per language its ``best`` phrases: lang, rank, phrase, a, l, r, n, score. See the module's text for the method.
 
-    ``buckets`` is a power of two, at least 65,536; more of them prune more and
-    cost an eighth of a byte each in every task.
+    ``buckets`` and ``bits`` are powers of two. Counting prunes while there are
+    fewer phrases than buckets times ``min_count`` and fewer frequent ones than
+    bits; a bitmap takes ``bits`` / 8 bytes in every worker.
     """
-    if longest < 2 or min_count < 1 or best < 1 or buckets < CHUNK or buckets & (buckets - 1):
-        raise ValueError("phrases have two words or more, and buckets are a power of two from 65,536")
-    phrases, totals = frequent_phrases(docs, lang_col=lang_col, text_col=text_col, longest=longest, min_count=min_count, buckets=buckets)
+    if longest < 2 or min_count < 1 or best < 1:
+        raise ValueError("phrases have two words or more, and counts are positive")
+    if any(x & (x - 1) for x in (buckets, bits)) or not 64 <= bits <= 1 << 32 or not bits <= buckets <= 1 << 48:
+        raise ValueError("bits and buckets are powers of two, bits from 64 to 2^32, buckets from bits to 2^48")
+    phrases, totals = frequent_phrases(docs, lang_col=lang_col, text_col=text_col, longest=longest, min_count=min_count, buckets=buckets, bits=bits)
     candidates = phrases.where("k > 1")
     inside = covered(candidates, longest)
     free = candidates.join(inside, ["lang", "phrase"], "left").where(F.coalesce(F.col("most") * 100 < F.col("f") * share, F.lit(True))).select(*candidates.columns)
