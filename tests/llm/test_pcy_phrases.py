@@ -92,9 +92,12 @@ def test_bitmaps_have_the_bits_of_frequent_phrases(spark):
     counted = np.frombuffer(pcy_phrases.counted_bitmap(partials, 10, 1 << 16), dtype=np.uint8)
     # a b occurs 12 times, b a and b c 6 times
     assert pcy_phrases.has_bit(counted, value[1:5]).tolist() == [True, False, True, False] and np.unpackbits(counted).sum() == 1
-    level = partials.where("chunk IS NULL").groupBy("lang", "phrase").agg({"n": "sum", "hash": "first"}).toDF("lang", "phrase", "f", "hash").where("f >= 10")
-    frequent = np.frombuffer(pcy_phrases.frequent_bitmap(level, 1 << 16), dtype=np.uint8)
+    level = partials.where("chunk IS NULL").groupBy("lang", "phrase").agg({"n": "sum"}).toDF("lang", "phrase", "f").where("f >= 10")
+    frequent = np.frombuffer(pcy_phrases.frequent_bitmap(pcy_phrases.hashed(level, 1), 1 << 16), dtype=np.uint8)
     assert pcy_phrases.has_bit(frequent, block.of_word[1:]).tolist() == [True, True, True, True, False]
+    three = spark.createDataFrame([("en", "b a b"), ("en", "a b a")], "lang string, phrase string").coalesce(1)
+    *_, (value, _) = block.hashes(3)
+    assert [r[0] for r in pcy_phrases.hashed(three, 3).collect()] == value[[2, 1]].view(np.int64).tolist()
 
 
 @pytest.mark.parametrize("least", [10, 127, 128, 1000])

@@ -46,11 +46,11 @@ END = b"\xff"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 #: Bytes of text that a task works on at once, and different phrases and places in buckets that it holds before it emits them.
 TEXT = 1 << 21
-HELD = 150_000
+HELD = 500_000
 IDS = 1 << 22
 #: Counters of one range: they are summed together.
 RANGE = 1 << 24
-PARTIAL = "lang string, phrase string, hash long, n long, chunk int, counts binary"
+PARTIAL = "lang string, phrase string, n long, chunk int, counts binary"
 #: Parts of a language among which its best phrases are found first.
 PARTS = 64
 
@@ -72,6 +72,11 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     yield from ((k, END.join(v)) for k, v in held.items())
 
 
+def word_hashes(words: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """A hash for each word in its language."""
+    return mixed(pd.util.hash_array(words, categorize=False) ^ mixed(pd.util.hash_array(langs)))
+
+
 class Block:
     """The words of one block: codes, the distinct words, and hashes of phrases that start at each word."""
 
@@ -79,9 +84,7 @@ class Block:
         tokens = data.replace(END, b" \xff ").split()
         self.codes, self.words = pd.factorize(np.array([END, *tokens], dtype=object))
         self.inside = self.codes > 0  # the end of a piece has code 0
-        salt = mixed(pd.util.hash_array(np.array([lang], dtype=object)))[0]
-        hashes = mixed(pd.util.hash_array(self.words, categorize=False) ^ salt)
-        self.of_word = hashes[self.codes]
+        self.of_word = word_hashes(self.words, np.array([lang], dtype=object))[self.codes]
 
     def hashes(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(hash, whether it lies inside a piece) of the phrases of 1, 2, ... k words at each place."""
@@ -92,8 +95,8 @@ class Block:
             inside = inside[:-1] & self.inside[j:]
             yield value, inside
 
-    def counted(self, places: np.ndarray, k: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(phrases, counts, a place of each) of the phrases of k words at these places."""
+    def counted(self, places: np.ndarray, k: int) -> tuple[list[bytes], np.ndarray]:
+        """(phrases, counts) of the phrases of k words at these places."""
         known = self.codes[places]
         width = len(self.words)
         for j in range(1, k):
@@ -104,7 +107,7 @@ class Block:
         some = np.flatnonzero(counts)
         words = [self.words[self.codes[first[some] + j]] for j in range(k)]
         phrases = list(words[0]) if k == 1 else [b" ".join(p) for p in zip(*words)]
-        return phrases, counts[some], first[some]
+        return phrases, counts[some]
 
 
 def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -114,11 +117,11 @@ def has_bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def partial_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 6
-    kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = [pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
     arrays[1] = arrays[1].cast(pa.string())
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "hash", "n", "chunk", "counts"])
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n", "chunk", "counts"])
 
 
 def packed(places: np.ndarray, counts: np.ndarray) -> bytes:
@@ -145,7 +148,7 @@ def counters_of(ids: list[np.ndarray], min_count: int) -> Iterator[pa.RecordBatc
         chunks = (where // RANGE).astype(np.int64)
         edges = np.append(np.flatnonzero(np.diff(chunks, prepend=-1)), len(chunks))
         places = (where % RANGE).astype(np.int64)
-        yield partial_batch([(None, None, None, None, int(chunks[s]), packed(places[s:e], n[s:e])) for s, e in zip(edges, edges[1:])])
+        yield partial_batch([(None, None, None, int(chunks[s]), packed(places[s:e], n[s:e])) for s, e in zip(edges, edges[1:])])
 
 
 def counting_pass(texts: DataFrame, k: int, longest: int, min_count: int, buckets: int, frequent, bucketed) -> DataFrame:
@@ -155,7 +158,7 @@ def counting_pass(texts: DataFrame, k: int, longest: int, min_count: int, bucket
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, list]] = defaultdict(dict)
+        held: dict[str, dict[bytes, int]] = defaultdict(dict)
         ids: list[np.ndarray] = []
         before, allowed = (np.frombuffer(x.value, dtype=np.uint8) if x else None for x in (frequent, bucketed))
         for lang, data in blocks(batches):
@@ -164,10 +167,9 @@ def counting_pass(texts: DataFrame, k: int, longest: int, min_count: int, bucket
             if k > 1:
                 known = has_bit(before, shorter[-1][0])
                 kept = kept & known[:-1] & known[1:] & has_bit(allowed, value)
-            phrases, counts, places = block.counted(np.flatnonzero(kept), k)
-            mine = held[lang]
-            for phrase, n, h in zip(phrases, counts.tolist(), value[places].view(np.int64).tolist()):
-                mine.setdefault(phrase, [h, 0])[1] += n
+            mine, (phrases, counts) = held[lang], block.counted(np.flatnonzero(kept), k)
+            for phrase, n in zip(phrases, counts.tolist()):
+                mine[phrase] = mine.get(phrase, 0) + n
             if k < longest:
                 both = np.flatnonzero(kept[:-1] & kept[1:])
                 ids.append(mixed(value[both] * MASK + block.of_word[both + k]) & np.uint64(buckets - 1))
@@ -179,9 +181,9 @@ def counting_pass(texts: DataFrame, k: int, longest: int, min_count: int, bucket
         yield from emitted(held)
         yield from counters_of(ids, min_count)
 
-    def emitted(held: dict[str, dict[bytes, list]]) -> Iterator[pa.RecordBatch]:
+    def emitted(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            yield partial_batch([(lang, p, h, n, None, None) for p, (h, n) in counts.items()])
+            yield partial_batch([(lang, p, n, None, None) for p, n in counts.items()])
         held.clear()
 
     return texts.mapInArrow(count, PARTIAL)
@@ -234,6 +236,21 @@ def counted_bitmap(partials: DataFrame, min_count: int, bits: int) -> bytes:
     return frequent_bitmap(chunks.mapInArrow(add, "hash long"), bits)
 
 
+def hashed(level: DataFrame, k: int) -> DataFrame:
+    """The hashes of phrases of k words, as ``Block`` makes them."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), dtype=object)
+            words = np.array([p.as_py().split(b" ") for p in b.column(1)], dtype=object).reshape(-1, k)
+            value = word_hashes(words[:, 0], langs)
+            for j in range(1, k):
+                value = mixed(value * MASK + word_hashes(words[:, j], langs))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], names=["hash"])
+
+    return level.select("lang", F.col("phrase").cast("binary").alias("phrase")).mapInArrow(add, "hash long")
+
+
 def frequent_bitmap(level: DataFrame, bits: int) -> bytes:
     """One bit a bucket: whether a ``hash`` falls into it. At most ``bits`` / 64 pairs of numbers reach the driver."""
     bucket = F.col("hash").bitwiseAND(bits - 1)
@@ -260,11 +277,11 @@ def frequent_phrases(docs: DataFrame, *, lang_col: str, text_col: str, longest:
         found = partials.where("chunk IS NULL")
         if k == 1:
             totals = found.groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
-        sums = found.groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("f"), F.first("hash").alias("hash"))
+        sums = found.groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("f"))
         level = materialize(sums.where(F.col("f") >= min_count), f"phrases-{k}")
         levels.append(level.select("lang", F.lit(k).alias("k"), "phrase", "f"))
         if k < longest:
-            frequent = spark.sparkContext.broadcast(frequent_bitmap(level, bits))
+            frequent = spark.sparkContext.broadcast(frequent_bitmap(hashed(level, k), bits))
             bucketed = spark.sparkContext.broadcast(counted_bitmap(partials, min_count, bits))
     return reduce(DataFrame.unionByName, levels), totals
 
