@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, fill_middle, host_suffix, language_id, packing_nnls, pcy_phrases, pii_bootstrap, quality_rff, warc_revisit
+from tidegauge.llm import chat_format, chosen_path, chroma, decontaminate, fill_middle, host_suffix, language_id, packing_nnls, pcy_phrases, pii_bootstrap, quality_rff, simhash_bktree, warc_revisit
 from tidegauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +213,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pcy_phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_pii_bootstrap": op2_pii_bootstrap,
@@ -226,4 +231,5 @@ QUERIES: dict[str, Query] = {
     "op10_sequence_packing": op10_sequence_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_collocations": op12_collocations,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
