@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import fold, number, ratio
+from tidegauge.operators.quantiles import grouped_percentiles
 from tidegauge.schema import FUNCTION_KEY
+from tidegauge.sources.shared import materialize
 
 
 def normalize_triggers(raw: DataFrame, vocabulary: tuple[str, ...], col: str = "Trigger") -> DataFrame:
@@ -126,12 +128,10 @@ def memory_summary(memory: DataFrame) -> DataFrame:
     """Daily distribution of the applications' weighted mean memory."""
     weighted = F.sum(F.col("AverageAllocatedMb") * F.col("SampleCount")) / F.sum("SampleCount")
     apps = memory.groupBy("trace_day", "HashOwner", "HashApp").agg(weighted.alias("mb"))
-    return apps.groupBy("trace_day").agg(
-        F.count("*").cast("long").alias("application_count"),
-        F.avg("mb").alias("mean_allocated_mb"),
-        F.percentile("mb", F.lit(0.5)).alias("median_allocated_mb"),
-        F.percentile("mb", F.lit(0.95)).alias("p95_allocated_mb"),
-    )
+    apps = materialize(apps, "applications")
+    whole = apps.groupBy("trace_day").agg(F.count("*").cast("long").alias("application_count"), F.avg("mb").alias("mean_allocated_mb"))
+    ranks = grouped_percentiles(apps, ["trace_day"], "mb", {"median_allocated_mb": 0.5, "p95_allocated_mb": 0.95})
+    return whole.join(ranks, "trace_day", "left")
 
 
 def quality_summary(invocations: DataFrame, durations: DataFrame, memory: DataFrame, demand: DataFrame, days: int) -> DataFrame:

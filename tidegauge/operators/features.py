@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidegauge.functions import hour_angle, null_share, ratio
+from tidegauge.operators.quantiles import prior_percentile
 from tidegauge.schema import FEATURES, LAGS, MEAN_WINDOWS, STD_WINDOWS, TEST_HOURS, VALIDATION_HOURS, WARMUP_HOURS
 
 def by_trigger() -> WindowSpec:
@@ -31,8 +32,7 @@ def rolling(panel: DataFrame, y: str = "compute_seconds") -> DataFrame:
 
 def load_ratio(panel: DataFrame, y: str = "compute_seconds") -> DataFrame:
     """Last hour against the 95th percentile of all earlier hours."""
-    before = by_trigger().rowsBetween(Window.unboundedPreceding, -1)
-    ranked = panel.withColumn("prior_p95", F.percentile(y, F.lit(0.95)).over(before))
+    ranked = panel.join(prior_percentile(panel, "Trigger", "hour_index", y, 0.95, "prior_p95"), ["Trigger", "hour_index"], "left").select(*panel.columns, "prior_p95")
     return ranked.withColumn("historical_load_ratio", ratio(F.col("lag_1"), F.col("prior_p95")))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A join key is heavy above this share of the rows, so there are fewer than ``1 / HEAVY_SHARE`` heavy keys.
 HEAVY_SHARE = 0.001
@@ -32,11 +34,51 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
+    _write(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str) -> None:
     df.write.option("compression", "zstd").parquet(path)
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Stored tables of this driver: what was asked of which files, and where the result lies.
+_STORED: dict[tuple, tuple[str, str]] = {}
+
+
+def source_state(spark: SparkSession, path: str) -> tuple:
+    """(file, length, modification time) of a file, or of all files below a folder; a new or changed file changes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        one = files.next()
+        found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def stored(spark: SparkSession, label: str, sources: list[str], build) -> DataFrame:
+    """The table that ``build()`` plans, computed once for these source files as they are now and read from the shared folder after that."""
+    key = (spark.sparkContext.applicationId, label, *(source_state(spark, p) for p in sources))
+    if key not in _STORED:
+        df = build()
+        path = f"{shared_dir(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
+        _write(df, path)
+        _STORED[key] = (path, df.schema.json())
+    path, schema = _STORED[key]
+    return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has kept for this application; how many there were. Plans that read them must have run."""
+    mine = [k for k in _STORED if k[0] == spark.sparkContext.applicationId]
+    for key in mine:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STORED.pop(key)[0])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(mine)
 
 
 def heavy_keys(counts: DataFrame, key: str, rows: int) -> list:
