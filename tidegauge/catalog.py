@@ -66,6 +66,10 @@ QUERIES: dict[str, Query] = {
         "measure_kpis_all_models": p.measure_kpis_all_models,
         "visual_test_metrics_all_models": p.visual_test_metrics_all_models,
         "visual_forecasts_by_hour_all_models": p.visual_forecasts_by_hour_all_models,
+        "future_point_forecast_all_models": p.points_all_models,
+        "forecast_intervals_all_models": p.intervals_all_models,
+        "capacity_scenarios_all_models": p.scenarios_all_models,
+        "capacity_recommendation_all_models": p.recommended_all_models,
         "bi_future_forecast": p.bi_future_forecast,
         "bi_capacity_scenarios": p.bi_capacity_scenarios,
         "bi_capacity_recommendation": p.recommended,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import compact
-from tidegauge.operators.forecast import hourly_means
+from tidegauge.operators.forecast import CRITERION, SELECTION, hourly_means
+from tidegauge.operators.joins import matched
 from tidegauge.schema import HEADROOMS, HORIZON, HOURLY_MEAN, LEAST_VECTORS, PERCENTILES, SEED, SHORTAGE_TARGET, SIMULATIONS, TOTAL
+from tidegauge.sources.readers import document
 
 DEMAND = "workload demand proxy in compute-seconds per hour"
 CAPACITY = "required workload-serving capacity in normalized compute-seconds per hour"
@@ -17,10 +19,23 @@ class UnsupportedModel(ValueError):
     """The simulation has no point forecast for the selected model."""
 
 
-def require_supported(selected: str) -> None:
-    """Only the hour-of-day mean has a future point forecast; another selection must not be replaced in silence."""
-    if selected != HOURLY_MEAN:
-        raise UnsupportedModel(f"selected {selected!r}, only {HOURLY_MEAN!r} can be simulated")
+class InvalidSelection(ValueError):
+    """A selection document that does not say that validation data alone decided."""
+
+
+def require_supported(selected: str, supported: tuple[str, ...] = (HOURLY_MEAN,)) -> None:
+    """A model without a future point forecast must not be replaced in silence; where none are named, the hour-of-day mean alone has one."""
+    if selected not in supported:
+        raise UnsupportedModel(f"selected {selected!r}, only {', '.join(map(repr, supported))} can be simulated")
+
+
+def selected_model(spark: SparkSession, path: str, supported: tuple[str, ...] = (HOURLY_MEAN,)) -> str:
+    """The model of the selection document at ``path``: the simulation obeys it, or raises if it has no forecast for it."""
+    record = document(spark, path, list(SELECTION))
+    if record["selection_criterion"] != CRITERION or record["test_set_excluded_from_selection"] is not True:
+        raise InvalidSelection(f"{path}: not selected by {CRITERION} without test data")
+    require_supported(record["selected_model"], supported)
+    return record["selected_model"]
 
 
 def future_points(panel: DataFrame, hours: int) -> DataFrame:
@@ -31,14 +46,36 @@ def future_points(panel: DataFrame, hours: int) -> DataFrame:
         (F.lit(hours - 1) + F.col("id")).cast("int").alias("hour_index"),
         ((F.lit(hours - 1) + F.col("id")) % 24).cast("int").alias("hour_of_day"),
     )
-    points = means.join(F.broadcast(ahead), "hour_of_day").select(  # 24 rows
+    return points_of(means.join(F.broadcast(ahead), "hour_of_day"), "mean", HOURLY_MEAN)  # 24 rows
+
+
+def next_day(panel: DataFrame, hours: int) -> DataFrame:
+    """The panel with the hours of the next day, whose demand is null."""
+    ahead = panel.select("Trigger").distinct().select(
+        "Trigger", F.explode(F.sequence(F.lit(hours).cast("int"), F.lit(hours + HORIZON - 1).cast("int"))).alias("hour_index")
+    )
+    ahead = ahead.withColumns({"trace_day": (F.floor(F.col("hour_index") / 24) + 1).cast("int"), "hour_of_day": (F.col("hour_index") % 24).cast("int")})
+    return panel.unionByName(ahead, allowMissingColumns=True)
+
+
+def predicted_points(predictions: DataFrame, hours: int, model: str) -> DataFrame:
+    """Future points from a model's predictions of the next day; every trigger must have one at every hour."""
+    ahead = predictions.where((F.col("hour_index") >= hours) & (F.col("hour_index") < hours + HORIZON))
+    missing = F.raise_error(F.concat(F.lit(f"{model}: no forecast for hour "), F.col("hour_index").cast("string"))).cast("double")
+    value = F.coalesce("predicted_compute_seconds", missing)
+    return points_of(ahead.withColumns({"forecast_horizon_hour": (F.col("hour_index") - hours + 1).cast("int"), "value": value}), "value", model)
+
+
+def points_of(ahead: DataFrame, value: str, model: str) -> DataFrame:
+    """Points by trigger and their sums, in the form that simulations read."""
+    points = ahead.select(
         "forecast_horizon_hour", "hour_index", "hour_of_day", F.lit("trigger").alias("aggregation_level"), "Trigger",
-        F.col("mean").alias("point_forecast_compute_seconds"),
+        F.col(value).alias("point_forecast_compute_seconds"),
     )
     keys = ["forecast_horizon_hour", "hour_index", "hour_of_day"]
     total = points.groupBy(*keys).agg(F.sum("point_forecast_compute_seconds").alias("point_forecast_compute_seconds"))
     total = total.withColumns({"aggregation_level": F.lit("total_demand"), "Trigger": F.lit(TOTAL)})
-    return points.unionByName(total).withColumns({"selected_model": F.lit(HOURLY_MEAN), "demand_measure": F.lit(DEMAND)})
+    return points.unionByName(total).withColumns({"selected_model": F.lit(model), "demand_measure": F.lit(DEMAND)})
 
 
 def residual_vectors(predictions: DataFrame, model: str = HOURLY_MEAN) -> DataFrame:
@@ -104,7 +141,7 @@ def simulate(points: DataFrame, vectors: DataFrame, simulations: int = SIMULATIO
 
 
 def intervals(points: DataFrame, simulated: DataFrame, triggers: list[str]) -> DataFrame:
-    """Percentiles per trigger and of the total (of the sums, not sums of percentiles)."""
+    """Percentiles per trigger and of the total (of the sums, not sums of percentiles); points and percentiles match one to one, or reading raises."""
     share = F.array(*(F.lit(p / 100) for p in PERCENTILES))
     quantiles = simulated.groupBy("forecast_horizon_hour").agg(
         *(F.percentile(F.get("demand", k), share).alias(f"q{k}") for k in range(len(triggers))), F.percentile("total", share).alias("q")
@@ -115,7 +152,8 @@ def intervals(points: DataFrame, simulated: DataFrame, triggers: list[str]) -> D
     )
     rows = quantiles.select("forecast_horizon_hour", F.explode(named).alias("x")).select("forecast_horizon_hour", "x.*")
     columns = [F.get("q", k).alias(f"simulated_P{p}_compute_seconds") for k, p in enumerate(PERCENTILES)]
-    return points.join(rows, ["forecast_horizon_hour", "Trigger"]).select(*points.columns, *columns)
+    rows = rows.select("forecast_horizon_hour", "Trigger", *columns)
+    return matched(points, rows, ["forecast_horizon_hour", "Trigger"], "points and percentiles").select(*points.columns, *rows.columns[2:])
 
 
 def scenarios(points: DataFrame, simulated: DataFrame, headrooms: tuple[int, ...] = HEADROOMS) -> DataFrame:

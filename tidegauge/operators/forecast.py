@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import close, ratio
 from tidegauge.operators.features import by_trigger
+from tidegauge.operators.joins import found
 from tidegauge.schema import TOTAL
 
 RESULT = ("split", "model", "hour_index", "hour_of_day", "Trigger", "actual_compute_seconds", "predicted_compute_seconds")
 
 
+#: The selection document's criterion and fields.
+CRITERION = "lowest aggregated validation WAPE"
+SELECTION = ("selected_model", "validation_MAE", "validation_RMSE", "validation_WAPE", "selection_criterion", "test_set_excluded_from_selection")
+
+
 def formatted(rows: DataFrame, split: str, model: str, predicted: Column) -> DataFrame:
     return rows.select(
         F.lit(split).alias("split"), F.lit(model).alias("model"), "hour_index", "hour_of_day", "Trigger",
@@ -44,9 +50,9 @@ def hourly_means(rows: DataFrame) -> DataFrame:
 
 
 def hour_of_day_mean(panel: DataFrame, split: str, model: str) -> DataFrame:
-    """Mean of the TRAIN hours with the same hour of day."""
+    """Mean of the TRAIN hours with the same hour of day; a row without such hours raises when it is made."""
     means = hourly_means(panel.where("split = 'train'"))
-    rows = panel.where(F.col("split") == split).join(means, ["Trigger", "hour_of_day"], "left")
+    rows = found(panel.where(F.col("split") == split), means, ["Trigger", "hour_of_day"], "mean", model)
     return formatted(rows, split, model, F.col("mean"))
 
 
@@ -82,10 +88,10 @@ def require_models(predictions: DataFrame, models: tuple[str, ...]) -> None:
     keys = ["split", "hour_index", "Trigger"]
     cells = predictions.groupBy("split", "model").agg(F.count("*").alias("n"), F.countDistinct(*keys).alias("distinct"))
     whole = {r["split"]: r["n"] for r in predictions.select(*keys).distinct().groupBy("split").agg(F.count("*").alias("n")).collect()}
-    found = {(r["split"], r["model"]): (r["n"], r["distinct"]) for r in cells.collect()}
+    seen = {(r["split"], r["model"]): (r["n"], r["distinct"]) for r in cells.collect()}
     for split in ("validation", "test"):
         for model in models:
-            if not whole.get(split) or found.get((split, model)) != (whole[split], whole[split]):
+            if not whole.get(split) or seen.get((split, model)) != (whole[split], whole[split]):
                 raise MissingModel(f"{model}: {split} predictions are missing or repeated")
 
 
@@ -124,7 +130,7 @@ def selection_record(evaluated: DataFrame) -> DataFrame:
         F.col("MAE").alias("validation_MAE"),
         F.col("RMSE").alias("validation_RMSE"),
         F.col("WAPE").alias("validation_WAPE"),
-        F.lit("lowest aggregated validation WAPE").alias("selection_criterion"),
+        F.lit(CRITERION).alias("selection_criterion"),
         F.lit(True).alias("test_set_excluded_from_selection"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import close, finite
+from tidegauge.operators.joins import matched
 from tidegauge.schema import TOTAL
 
 
@@ -57,7 +58,7 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def forecast_vs_actual(predictions: DataFrame, selected: str, columns: dict[str, str]) -> DataFrame:
-    """Test predictions of several models side by side; their actual values must agree."""
+    """Test predictions of several models side by side; other keys or actual values raise when the rows are made."""
     keys = ["hour_index", "Trigger"]
 
     def of(model: str, name: str) -> DataFrame:
@@ -66,10 +67,10 @@ def forecast_vs_actual(predictions: DataFrame, selected: str, columns: dict[str,
 
     out = of(selected, "selected_forecast").withColumnRenamed("actual_selected_forecast", "actual_compute_seconds")
     for name, model in columns.items():
-        out = one_to_one(out, of(model, name), keys)
-        if out.where(~close(F.col("actual_compute_seconds"), F.col(f"actual_{name}"))).limit(1).count():
-            raise InvalidTable(f"{model}: other actual values")
-        out = out.drop(f"actual_{name}")
+        out = matched(out, of(model, name), keys, model)
+        other = ~close(F.col("actual_compute_seconds"), F.col(f"actual_{name}"))
+        checked = F.when(other, F.raise_error(F.lit(f"{model}: other actual values"))).otherwise(F.col(name))
+        out = out.withColumn(name, checked).drop(f"actual_{name}")
     return out.select(
         "hour_index", F.col("Trigger").alias("trigger"), "actual_compute_seconds", *columns, F.lit(selected).alias("selected_model"), "selected_forecast"
     )

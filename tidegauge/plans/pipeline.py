@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import capacity, checks, demand, features, forecast, gbdt, reports, sarimax
 from tidegauge.schema import GBDT, HEADROOMS, HORIZON, HOURLY_MEAN, SARIMAX, SEASONAL, TEST_HOURS, VALIDATION_HOURS
-from tidegauge.sources import adapter
-from tidegauge.sources.shared import materialize
+from tidegauge.sources import adapter, sinks
+from tidegauge.sources.shared import materialize, stored, stored_path
 from tidegauge.streaming import hourly
 
 HOURS = adapter.HOURS
+MODELS = (SEASONAL, HOURLY_MEAN, SARIMAX, GBDT)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -104,8 +105,8 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored_demand(spark: SparkSession, d: str) -> DataFrame:
-    """The hourly panel (hours x triggers) as a table: a query that reads it several times aggregates the events once."""
-    return materialize(hourly_demand(spark, d), "hourly-demand")
+    """The hourly panel (hours x triggers) as a table: the queries of a session aggregate the same events once."""
+    return stored(spark, "hourly-demand", [adapter.events_path(d)], lambda: hourly_demand(spark, d))
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
@@ -167,11 +168,51 @@ def selected_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def capacity_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Future points and residual vectors, if the model that validation selects is the one that can be simulated."""
+    """Future points and residual vectors of the hour-of-day mean, which the caller asks for by name; nothing is selected."""
     rows = panel(spark, d)
-    found = predictions_of(rows)
-    capacity.require_supported(forecast.select_model(forecast.evaluate(found)).first()["model"])
-    return capacity.future_points(rows.drop("split"), HOURS), capacity.residual_vectors(found)
+    return capacity.future_points(rows.drop("split"), HOURS), capacity.residual_vectors(hourly_mean_of(rows), HOURLY_MEAN)
+
+
+def selected_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Future points and residual vectors of the model that the stored selection among all four names."""
+    model = capacity.selected_model(spark, selection_document(spark, d), MODELS)
+    return model_points(spark, d, model), capacity.residual_vectors(all_predictions(spark, d), model)
+
+
+def model_points(spark: SparkSession, d: str, model: str) -> DataFrame:
+    """The next day by one of the four models, from all observed hours."""
+    base = stored_demand(spark, d)
+    if model == HOURLY_MEAN:
+        return capacity.future_points(base, HOURS)
+    ahead = capacity.next_day(base, HOURS)
+    future = F.when(F.col("hour_index") >= HOURS, "future").otherwise(F.col("split"))
+    rows = features.labelled(ahead, HOURS).withColumn("split", future)
+    if model == SEASONAL:
+        found = forecast.seasonal_fixed_origin(rows, "future", SEASONAL)
+    elif model == SARIMAX:
+        found = sarimax.predict(rows.where("split != 'warmup'"), "future", sarimax_orders(spark, d))
+    else:
+        known = features.model_features(ahead, HOURS).withColumn("split", future)
+        found = gbdt.rolling(known, ahead, "future", (gbdt_choice(gbdt_validation(spark, d)),))
+    return capacity.predicted_points(found, HOURS, model)
+
+
+def points_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return selected_inputs(spark, d)[0]
+
+
+def intervals_all_models(spark: SparkSession, d: str) -> DataFrame:
+    ahead, errors = selected_inputs(spark, d)
+    return capacity.intervals(ahead, capacity.simulate(ahead, errors), list(adapter.TRIGGERS))
+
+
+def scenarios_all_models(spark: SparkSession, d: str) -> DataFrame:
+    ahead, errors = selected_inputs(spark, d)
+    return capacity.scenarios(ahead, capacity.simulate(ahead, errors))
+
+
+def recommended_all_models(spark: SparkSession, d: str) -> DataFrame:
+    return capacity.recommendation(scenarios_all_models(spark, d))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -253,12 +294,22 @@ def bi_forecast_vs_actual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Validation and test predictions of the four compared models, computed once (models x hours x triggers)."""
+    """Validation and test predictions of the four compared models (models x hours x triggers), computed once in a session for the same events."""
+    return stored(spark, "predictions", [adapter.events_path(d)], lambda: four_models(spark, d))
+
+
+def selection_document(spark: SparkSession, d: str) -> str:
+    """Where the selection among the four models lies as a JSON document."""
+    record = lambda path: sinks.json_document(selection_all_models(spark, d), path)
+    return stored_path(spark, "selection", [adapter.events_path(d)], record)
+
+
+def four_models(spark: SparkSession, d: str) -> DataFrame:
     base = stored_demand(spark, d)
     whole = features.labelled(base, HOURS)
     rows, known = whole.where("split != 'warmup'"), features.model_features(base, HOURS)
-    orders = sarimax.select_orders(rows)
-    validated = gbdt_validation(base)
+    orders = sarimax_orders(spark, d)
+    validated = gbdt_validation(spark, d)
     chosen = gbdt_choice(validated)
     parts = [
         sarimax.predict(rows, "validation", orders),
@@ -270,7 +321,7 @@ def all_predictions(spark: SparkSession, d: str) -> DataFrame:
     for part in parts:
         out = out.unionByName(part.select(*forecast.RESULT))
     found = materialize(out, "predictions")
-    forecast.require_models(found, (SEASONAL, HOURLY_MEAN, SARIMAX, GBDT))
+    forecast.require_models(found, MODELS)
     return found
 
 
@@ -311,7 +362,7 @@ def bi_forecast_vs_actual_all_models(spark: SparkSession, d: str) -> DataFrame:
 
 def measure_kpis_all_models(spark: SparkSession, d: str) -> DataFrame:
     rows = all_predictions(spark, d)
-    return reports.kpis(versus_all_models(rows), reports.model_performance(forecast.evaluate(rows)), recommended(spark, d))
+    return reports.kpis(versus_all_models(rows), reports.model_performance(forecast.evaluate(rows)), recommended_all_models(spark, d))
 
 
 def visual_test_metrics_all_models(spark: SparkSession, d: str) -> DataFrame:
@@ -342,8 +393,7 @@ def bi_table_violations(spark: SparkSession, d: str) -> DataFrame:
     base = stored_demand(spark, d)
     found = predictions_of(features.labelled(base, HOURS))
     scored = materialize(forecast.evaluate(found), "metrics")
-    chosen = forecast.select_model(scored).first()["model"]
-    capacity.require_supported(chosen)
+    chosen = forecast.select_model(scored).first()["model"]  # of the two baselines, which the table compares
     ahead, errors = capacity.future_points(base, HOURS), capacity.residual_vectors(found)
     drawn = capacity.simulate(ahead, errors)
     tested = materialize(capacity.scenarios(ahead, drawn), "scenarios")
@@ -395,7 +445,7 @@ def visual_shortage_by_headroom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sarimax_orders(spark: SparkSession, d: str) -> DataFrame:
-    return sarimax.select_orders(sarimax_panel(spark, d))
+    return stored(spark, "orders", [adapter.events_path(d)], lambda: sarimax.select_orders(sarimax_panel(spark, d)))
 
 
 def sarimax_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -405,16 +455,18 @@ def sarimax_panel(spark: SparkSession, d: str) -> DataFrame:
 
 def sarimax_test(spark: SparkSession, d: str) -> DataFrame:
     rows = sarimax_panel(spark, d)
-    return sarimax.predict(rows, "test", sarimax.select_orders(rows))
+    return sarimax.predict(rows, "test", sarimax_orders(spark, d))
 
 
 def sarimax_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return sarimax.diagnostics(sarimax_test(spark, d))
 
 
-def gbdt_validation(base: DataFrame) -> DataFrame:
-    """Validation predictions of every declared configuration from a stored panel, computed once."""
-    return materialize(gbdt.rolling(features.model_features(base, HOURS), base, "validation", gbdt.CONFIGS), "validation")
+def gbdt_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Validation predictions of every declared configuration, computed once in a session for the same events."""
+    base = stored_demand(spark, d)
+    plan = lambda: gbdt.rolling(features.model_features(base, HOURS), base, "validation", gbdt.CONFIGS)
+    return stored(spark, "validation", [adapter.events_path(d)], plan)
 
 
 def gbdt_choice(validated: DataFrame) -> tuple:
@@ -428,14 +480,14 @@ def gbdt_choice(validated: DataFrame) -> tuple:
 
 def gbdt_test(spark: SparkSession, d: str) -> DataFrame:
     base = stored_demand(spark, d)
-    chosen = gbdt_choice(gbdt_validation(base))
+    chosen = gbdt_choice(gbdt_validation(spark, d))
     return gbdt.rolling(features.model_features(base, HOURS), base, "test", (chosen,))
 
 
 def gbdt_importance(spark: SparkSession, d: str) -> DataFrame:
     """Gains of the model that precedes the test hours."""
     base = stored_demand(spark, d)
-    return gbdt.importance(features.model_features(base, HOURS), gbdt_choice(gbdt_validation(base)))
+    return gbdt.importance(features.model_features(base, HOURS), gbdt_choice(gbdt_validation(spark, d)))
 
 
 def visual_feature_importance(spark: SparkSession, d: str) -> DataFrame:

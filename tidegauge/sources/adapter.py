@@ -11,9 +11,13 @@ TRIGGERS = ("click", "error", "purchase", "signup", "view")
 MEMORY_DAYS = 24
 
 
+def events_path(sf_dir: str) -> str:
+    return f"{sf_dir}/events.parquet"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their trace day, hour of day and function key."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = spark.read.parquet(events_path(sf_dir))
     day = F.datediff(F.to_date("ts"), F.lit(EPOCH).cast("date")) + 1
     return raw.select(
         day.cast("int").alias("trace_day"), F.hour("ts").cast("int").alias("hour_of_day"), F.minute("ts").alias("minute"),

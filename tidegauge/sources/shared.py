@@ -40,7 +40,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def _write(df: DataFrame, path: str) -> None:
     df.write.option("compression", "zstd").parquet(path)
-    context = df.sparkSession.sparkContext
+    _delete_on_exit(df.sparkSession, path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
 
@@ -62,16 +66,30 @@ def source_state(spark: SparkSession, path: str) -> tuple:
 
 def stored(spark: SparkSession, label: str, sources: list[str], build) -> DataFrame:
     """The table that ``build()`` plans, computed once for these source files as they are now and read from the shared folder after that."""
-    key = (spark.sparkContext.applicationId, label, *(source_state(spark, p) for p in sources))
-    if key not in _STORED:
+
+    def write(path: str) -> str:
         df = build()
-        path = f"{shared_dir(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
         _write(df, path)
-        _STORED[key] = (path, df.schema.json())
-    path, schema = _STORED[key]
+        return df.schema.json()
+
+    path, schema = _kept(spark, label, sources, write)
     return spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(path)
 
 
+def stored_path(spark: SparkSession, label: str, sources: list[str], write) -> str:
+    """The path that ``write(path)`` has filled, once for these source files as they are now."""
+    return _kept(spark, label, sources, write)[0]
+
+
+def _kept(spark: SparkSession, label: str, sources: list[str], write) -> tuple[str, str]:
+    key = (spark.sparkContext.applicationId, label, *(source_state(spark, p) for p in sources))
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
+        _STORED[key] = (path, write(path))
+        _delete_on_exit(spark, path)
+    return _STORED[key]
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables that ``stored`` has kept for this application; how many there were. Plans that read them must have run."""
     mine = [k for k in _STORED if k[0] == spark.sparkContext.applicationId]
