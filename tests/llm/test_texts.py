@@ -508,3 +508,39 @@ def test_a_text_with_thousands_of_spans_is_redacted_whole(spark):
         at = max(at, x["end"])
     clean = {r["doc_id"]: r["text"] for r in pii_bootstrap.redact(docs, found).collect()}
     assert clean == {1: "".join(out) + text[at:], 2: "none", 3: None}
+
+
+def long_conversation(spark, n, one_number):
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.lit(5).alias("turn") if one_number else F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.format_string("said %07d ### </turn>", "id").alias("text"),
+    )
+    return turns.withColumn("parts", chat_format.text_part(F.col("text")))
+
+
+@pytest.mark.parametrize("one_number", [False, True])
+def test_long_conversations_take_linear_time_and_read_back(spark, one_number):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        read = chat_format.read_back(chat_format.format_conversations(long_conversation(spark, n, one_number)))
+        row = read.select(F.size("turns"), F.xxhash64("turns"), F.size(F.filter("turns", lambda t: t["trained"].isNotNull())), F.element_at("turns", -1)).first()
+        took = time.perf_counter() - began
+        assert row[0] == n and row[2] == n // 2
+        assert row[3]["text"] == f"said {n - 1 if one_number is False else n - 2:07d} ### </turn>"
+        return took
+
+    seconds(500)
+    few, many = seconds(16_000), seconds(64_000)
+    assert many < 5 * max(few, 1.0)
+
+
+def test_turns_of_one_number_keep_their_order(spark):
+    rng = random.Random(7)
+    rows = [(k % 3, rng.choice([None, 1, 1, 1, 2]), rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None]) if k % 2 else f"t{rng.randrange(90)}") for k in range(900)]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("parts", chat_format.text_part(F.col("text")))
+    found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in chat_format.read_back(chat_format.format_conversations(turns, block=16)).collect()}
+    for c in range(3):
+        mine = sorted((-1 if t is None else t, r or "", x or "") for i, t, r, x in rows if i == c)
+        assert found[c] == [(r, x) for _, r, x in mine]
