@@ -544,3 +544,12 @@ def test_turns_of_one_number_keep_their_order(spark):
     for c in range(3):
         mine = sorted((-1 if t is None else t, r or "", x or "") for i, t, r, x in rows if i == c)
         assert found[c] == [(r, x) for _, r, x in mine]
+
+
+def test_names_inside_an_article_drop_text_only_if_they_say_nothing_else(spark):
+    kept = {"social-history": "div", "search-and-rescue": "section", "notice-board": "p", "privacy_law": "div", "comments-on-hegel": "div", "free-share": "p"}
+    dropped = {"ad": "div", "ad-slot": "div", "related-posts": "section", "comment_list": "ul", "share-buttons": "div", "newsletter signup": "div"}
+    body = "".join(f'<{tag} class="{name}">text of {name}.</{tag}>' for name, tag in {**kept, **dropped}.items())
+    rows = [(1, "http://a.org/1", f"<body><article><p>One.</p>{body}</article><div class='social-history'>outside</div></body>")]
+    found = host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"]
+    assert found.split("\n") == ["One.", *(f"text of {name}." for name in kept)]

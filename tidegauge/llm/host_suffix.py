@@ -61,6 +61,12 @@ NOISE = {
     "topbar", "widget",
 }
 PAGE_HEAD = {"header", "masthead"}
+#: Words that name a part or a place of something. Inside an article only names made of these and the words above drop text.
+PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "count", "form", "group", "icon", "icons", "inline",
+    "inner", "item", "items", "left", "link", "links", "list", "module", "outer", "panel", "post", "posts", "right", "row", "section", "slot", "stories",
+    "thread", "top", "unit", "wrap", "wrapper", "zone",
+}
 #: Words that turn the other words of a class name round, and elements that no class name drops.
 NEGATIONS = {"no", "not", "non", "without", "free", "has", "js", "ready", "disabled", "hidden"}
 PAGE = {"html", "body", "main"}
@@ -81,26 +87,27 @@ EXTRACTED = "page long, page_id long, url string, host string, kinds array<tinyi
 SUFFIX = f"page long, at int, name long, {', '.join(f'name{k} long' for k in DOUBLED)}"
 
 
-def names_of(attributes: str) -> tuple[set[str], set[str]]:
-    """Words of the element's class, id, role and itemprop; and those of names that no word turns round."""
+def names_of(attributes: str) -> tuple[set[str], set[str], bool]:
+    """Words of the element's class, id, role and itemprop; those of names that no word turns round; whether one of these names says noise and nothing else."""
     if "=" not in attributes:
-        return set(), set()
-    every, plain = set(), set()
+        return set(), set(), False
+    every, plain, whole = set(), set(), False
     for name in " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower().split():
-        words = {w for w in NOT_WORD.split(name) if w} | {name}
-        every |= words
+        words = {w for w in NOT_WORD.split(name) if w}
+        every |= words | {name}
         if not words & NEGATIONS:
-            plain |= words
-    return every, plain
+            plain |= words | {name}
+            whole = whole or bool(words & NOISE) and words <= NOISE | PARTS
+    return every, plain, whole
 
 
 def weight(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
-    """(what it adds to the noise level, to the article level)."""
-    names, plain = names_of(attributes)
+    """(what it adds to the noise level, to the article level). Inside an article a name such as social-history drops nothing."""
+    names, plain, whole = names_of(attributes)
     story = bool(names & STORY)
     if tag in PAGE or tag == "article" and not inside:
         return 0, int(tag in ARTICLE)
-    if tag in DROPPED or plain & NOISE:
+    if tag in DROPPED or (whole if inside else plain & NOISE):
         return 1, 0
     if (tag == "header" or plain & PAGE_HEAD) and not inside and not story:
         return 1, 0
