@@ -289,3 +289,40 @@ def test_every_later_take_is_found_in_the_query(spark, data):
     assert known and all(found[LATER + i]["class_id"] in {m["match_class"] for m in found[i]["matches"] or []} for i in known)
     step = 4 * (RATE // 8) / chroma.HOP
     assert all(min(abs(m["offset"] - step) for m in found[i]["matches"] if m["match_class"] == found[LATER + i]["class_id"]) <= 1 for i in known)
+
+
+def brute_rows(rows, threshold=0.8):
+    """(id, text) rows with the least id and the links of each text's class, texts known by their sets alone."""
+    texts = sorted({t for _, t in rows if t})
+    sets = {t: frozenset(tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) for t in texts}
+    named = {s: min((i for i, t in rows if t and sets[t] == s and i is not None), default=None) for s in set(sets.values())}
+    known = [s for s in named if named[s] is not None]
+    link = {s: [o for o in known if o != s and len(s & o) >= threshold * len(s | o)] for s in known}
+    least = {}
+    for s in known:
+        seen, todo = {s}, [s]
+        while todo:
+            todo += [o for o in link[todo.pop()] if o not in seen and not seen.add(o)]
+        least[s] = min(named[o] for o in seen)
+    out = []
+    for i, t in rows:
+        s = sets.get(t)
+        out.append((i, least.get(s, i), len(link.get(s, ()))))
+    return sorted(out, key=repr)
+
+
+def test_texts_under_one_id_keep_their_own_links_in_any_order(spark):
+    rng = random.Random(31)
+    a, b, c = (words(rng, 80) for _ in range(3))
+
+    def near(x):
+        return " ".join([*x[:40], "changed", *x[41:]])
+
+    rows = [(9, " ".join(a)), (9, " ".join(b)), (5, near(a)), (8, near(b)), (9, " ".join(b)), (None, near(a)), (None, " ".join(c)), (7, " ".join(c)), (7, near(c))]
+    rows += [(None, near(words(rng, 80))), (4, None), (4, ""), (20, " ".join(words(rng, 60))), (20, " ".join(words(rng, 60)))]
+    want = brute_rows(rows)
+    assert {(9, 5, 1), (9, 8, 1), (7, 7, 1)} <= set(want)
+    for _ in range(3):
+        rng.shuffle(rows)
+        found = chosen_path.similarity_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in found.collect()), key=repr) == want

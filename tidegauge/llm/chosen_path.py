@@ -24,9 +24,12 @@ component of links), ``copy_of`` (least id with the same token set),
 ``n_links`` (different texts linked to it) and ``n_tokens``. Null, empty and
 wordless texts have no tokens and stay alone. Texts under five words are one
 token: all their words. Very long texts are read whole. Repeated rows and ties
-fall into one class; different texts under one id are rows of that id, of which
-one, the same on every run, stands for the id. A null id is a document without
-links. Extra columns are ignored. An empty table gives an empty result.
+fall into one class. Texts are known by their token sets throughout, never by
+their ids: different texts under one id are rows of their own, each with its own
+class and links, whatever the order of the rows. A row without an id shares the
+class of the rows with ids that have its text; where there are none, it has
+neither class nor links. Extra columns are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -133,7 +136,7 @@ def split_large(leaves: DataFrame, signed: DataFrame, *, most: int, levels: int,
     """(id, leaf, count) rows in which leaves of over ``most`` rows are split again, up to ``levels`` times.
 
     A split follows ``spread`` shared tokens of a pair at the threshold on average. A leaf with three children that each
-    keep over half of its rows together holds near copies, and stays.
+    keep over half of its rows together holds near copies, and stays. ``signed`` has the id, n_tokens and tokens of each set.
     """
     settled, current = [], leaves
     for _ in range(levels):
@@ -329,18 +332,21 @@ def similarity_join(
     repeats = repeats_for(recall, depth, levels, spread)
     signed = materialize(signatures(docs, id_col, text_col, size, threshold, depth, repeats), "signatures")
     copies = signed.where("n_tokens > 0").groupBy("set_hash").agg(F.min("id").alias("copy_of"))
-    heads = copies.select("set_hash", F.col("copy_of").alias("id"))
+    # A set's number is a hash of its hash: ids may repeat over different sets, or be null. From here on ``id`` is that number.
+    number = F.xxhash64("set_hash")
+    heads = copies.where("copy_of IS NOT NULL").select("set_hash", F.col("copy_of").alias("head"), number.alias("id"))
 
-    def of_heads(*columns: str) -> DataFrame:
-        """One row per representative, of these columns alone: what is not asked for is not shuffled."""
-        return signed.select("id", "set_hash", *columns).join(heads, ["id", "set_hash"], "left_semi").drop("set_hash")
+    def of_heads(*columns: str, asked: DataFrame | None = None) -> DataFrame:
+        """(id, columns) of one row of each set, or of those that ``asked`` names: copies, and what is not asked for, are not shuffled."""
+        wanted = heads if asked is None else heads.join(asked.select("id").distinct(), "id", "left_semi")
+        rows = signed.select(F.col("id").alias("head"), "set_hash", *columns).join(wanted, ["head", "set_hash"])
+        return rows.dropDuplicates(["head", "set_hash"]).select("id", *columns)
 
     leaves = materialize(of_heads("leaves").select("id", F.explode("leaves").alias("leaf")), "leaves")
-    leaves = split_large(meeting(leaves), signed, most=8 * block, levels=levels, threshold=threshold, spread=spread)
+    leaves = split_large(meeting(leaves), of_heads("n_tokens", "tokens"), most=8 * block, levels=levels, threshold=threshold, spread=spread)
     # Sketches join the few ids that meet at a leaf; all leaves move without them.
     cells = materialize(blocks_of(leaves, "leaf", "id", block).select("group", "id"), "cells")
-    met = signed.select("id", "sketch").join(cells.select("id").distinct(), "id").dropDuplicates(["id"])
-    cells = cells.join(met, "id")
+    cells = cells.join(of_heads("sketch", asked=cells), "id")
     least = threshold - MARGIN
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +367,8 @@ def similarity_join(
     # The one shuffle of token sets; it meets the members of candidate sets only.
     sizes = groups.groupBy("root").count()
     groups = materialize(join_unique(groups, sizes, "root"), "sized")
-    sets = signed.select("id", "n_tokens", "tokens").join(groups.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
+    groups = groups.withColumnRenamed("node", "id")
+    sets = of_heads("n_tokens", "tokens", asked=groups).join(groups, "id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, edges in whole_groups(batches, "group"):
@@ -378,14 +385,15 @@ def similarity_join(
     checked = spread.mapInArrow(verify, "id long, n_links long, to long")
     checked = materialize(checked, "links")
     counts = checked.groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    classes = components(checked.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    named = copies.join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left").join(
-        counts.withColumnRenamed("id", "copy_of"), "copy_of", "left"
-    )
+    classes = components(checked.select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "id")
+    named = copies.withColumn("id", number).join(classes, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = materialize(named.drop("id"), "classes")
+    least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
+    named = join_unique(named, least, "root").drop("root")
     members = join_unique(signed.select("id", "n_tokens", "set_hash"), named, "set_hash", "left")
     return members.select(
         F.col("id").alias(id_col),
-        F.coalesce("root", "copy_of", "id").alias("class_id"),
+        F.coalesce("class_id", "copy_of", "id").alias("class_id"),
         F.coalesce("copy_of", "id").alias("copy_of"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.col("n_tokens").cast("long").alias("n_tokens"),
