@@ -553,3 +553,36 @@ def test_names_inside_an_article_drop_text_only_if_they_say_nothing_else(spark):
     rows = [(1, "http://a.org/1", f"<body><article><p>One.</p>{body}</article><div class='social-history'>outside</div></body>")]
     found = host_suffix.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["text"]
     assert found.split("\n") == ["One.", *(f"text of {name}." for name in kept)]
+
+
+@pytest.fixture(scope="module")
+def awkward_folder(spark, data, tmp_path_factory):
+    """The given documents and labels with null ids, null and empty texts, repeated rows and a clashing column; and both tables empty."""
+    top = tmp_path_factory.mktemp("awkward")
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    more = spark.createDataFrame([(None, "one text without an id", "en", "s", 1), (None, None, None, None, None), (4_000_001, "", None, "s", 0), (4_000_002, None, "de", "s", 0)], docs.schema)
+    more = more.unionAll(docs.limit(30)).unionAll(docs.limit(3))
+    docs.unionAll(more).withColumn("score", F.lit("clash")).withColumn("id", F.lit(0)).write.parquet(f"{top}/full/documents.parquet")
+    labels.write.parquet(f"{top}/full/labels.parquet")
+    docs.limit(0).write.parquet(f"{top}/empty/documents.parquet")
+    labels.write.parquet(f"{top}/empty/labels.parquet")
+    return str(top), docs.count() + more.count()
+
+
+@pytest.mark.parametrize(("name", "divisor", "remainder"), [("op8_quality_classifier", 5, 0), ("op9_language_id", 4, 2)])
+def test_learned_queries_on_awkward_tables(spark, data, awkward_folder, name, divisor, remainder):
+    folder, n = awkward_folder
+    rows = QUERIES[name](spark, f"{folder}/full").collect()
+    assert len(rows) == n and all(isinstance(r["held_out"], bool) and 0 <= r["score"] <= 1 for r in rows)
+    for r in rows:
+        assert r["held_out"] == (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % divisor == remainder)
+    seen = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] is not None:
+            seen[r["doc_id"]].add(tuple(r))
+    assert all(len(x) == 1 for x in seen.values())  # repeated rows are decided alike
+    if name == "op9_language_id":
+        assert {r["lang_pred"] for r in rows if r["doc_id"] in (4_000_001, 4_000_002)} == {"und"}
+        assert QUERIES[name](spark, f"{folder}/empty").count() == 0
+    else:
+        assert QUERIES[name](spark, f"{folder}/empty").count() == 0

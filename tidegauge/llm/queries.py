@@ -173,8 +173,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(divisor: int, remainder: int, id_col: str = "doc_id") -> Column:
-    """Whether a row's crc32 (of its id as text) leaves this remainder: the fold that no model learns from."""
-    return F.crc32(F.col(id_col).cast("string")) % divisor == remainder
+    """Whether a row's crc32 (of its id as text) leaves this remainder: the fold that no model learns from. Rows without an id are in it."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % divisor == remainder, F.lit(True))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
