@@ -72,3 +72,26 @@ def test_raw_sums_reconcile_with_trigger_rows_and_totals(spark):
     assert d.reconciled(calls, seconds, rows, totals).first()["reconciliation_passed"]
     lost = d.reconciled(calls, seconds, rows, totals.where("hour_index != 100")).first()
     assert not lost["reconciliation_passed"] and lost["max_hourly_invocation_difference"] > 0 and lost["raw_total_invocation_difference"] > 0
+
+
+def test_quality_record_from_one_pass(spark):
+    from tidegauge.operators import quality
+
+    calls = [(1, "o", "a", "f", "http", 3, 5), (1, "o", "a", "f", "http", 4, 1), (1, "o", "b", "g", "http", 3, 2), (1, None, "c", "f", "timer", 0, 4)]
+    seconds = [(1, "o", "b", "g", "500", 1), (1, "o", "b", "g", "-1", 9), (1, "o", "z", "z", "7", 1), (1, None, "c", "f", "9", 1), (1, None, "c", "f", "9", 1), (1, "o", "a", "f", "x", 2)]
+    memory = [(1, "o", "a"), (1, "o", "a"), (1, "o", "b"), (1, None, "a"), (1, None, "a")]
+    keys = ", ".join(f"{c} string" for c in ("HashOwner", "HashApp"))
+    frames = spark.createDataFrame(calls, CALLS), spark.createDataFrame(seconds, DURATION), spark.createDataFrame(memory, f"trace_day int, {keys}")
+    triggers = spark.createDataFrame([("http",), ("timer",)], "Trigger string")
+    files = {"invocation": ("daily_csv", 14), "duration": ("feather", 1), "memory": ("daily_csv", 12)}
+    row = quality.quality_record(*frames, triggers, ["http", "timer"], 48, files).first().asDict()
+    assert len(row) == 32
+    assert (row["invocation_source_row_count"], row["duration_source_row_count"], row["memory_source_row_count"]) == (4, 6, 5)
+    assert (row["missing_duration_join_function_count"], row["missing_duration_join_invocation_count"]) == (2, 10)
+    assert row["missing_duration_join_function_percentage"] == pytest.approx(200 / 3) and row["missing_duration_join_invocation_percentage"] == pytest.approx(1000 / 12)
+    assert (row["duration_duplicate_row_count"], row["duration_duplicate_key_group_count"]) == (4, 1)
+    assert (row["memory_duplicate_row_count"], row["memory_duplicate_key_group_count"], row["memory_unavailable_trace_days"]) == (4, 1, "2")
+    assert (row["hourly_trigger_row_count"], row["hourly_total_row_count"], row["total_invocations"], row["total_compute_seconds"]) == (96, 48, 12, 1.0)
+    assert row["reconciliation_passed"] and row["duration_source_layout"] == "feather" and row["invocation_source_file_count"] == 14
+    none = quality.quality_record(*(f.limit(0) for f in frames), triggers, ["http", "timer"], 48, files).first().asDict()
+    assert none["invocation_source_row_count"] == 0 and none["missing_duration_join_function_percentage"] is None

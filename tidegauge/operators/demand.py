@@ -78,6 +78,11 @@ def hourly_demand(invocations: DataFrame, durations: DataFrame, triggers: DataFr
         F.sum(F.when(matched, calls)).alias("matched"),
         F.count_if(calls > 0).alias("active_functions"),
     )
+    return on_grid(observed, triggers, hours)
+
+
+def on_grid(observed: DataFrame, triggers: DataFrame, hours: int) -> DataFrame:
+    """Sums per hour and trigger laid on the dense grid; an hour or trigger outside it raises."""
     grid = dense_grid(triggers, hours).withColumn("known", F.lit(True))
     joined = grid.join(observed, ["hour_index", "Trigger"], "full")
     place = F.concat(F.lit("outside the grid: hour "), F.coalesce(F.col("hour_index").cast("string"), F.lit("null")), F.lit(", trigger "), F.coalesce("Trigger", F.lit("null")))
@@ -134,43 +139,14 @@ def memory_summary(memory: DataFrame) -> DataFrame:
     return whole.join(ranks, "trace_day", "left")
 
 
-def quality_summary(invocations: DataFrame, durations: DataFrame, memory: DataFrame, demand: DataFrame, days: int) -> DataFrame:
-    """One row of source, join and output quality."""
-    app_key = ("trace_day", "HashOwner", "HashApp")
-    counts = [
-        frame.agg(
-            F.count("*").cast("long").alias(f"{name}_source_row_count"),
-            F.countDistinct("trace_day").cast("long").alias(f"{name}_processed_day_count"),
-        )
-        for name, frame in (("invocation", invocations), ("duration", durations), ("memory", memory))
-    ]
-    seen = memory.select(F.col("trace_day").alias("day")).distinct()
-    every = invocations.sparkSession.range(1, days + 1).select(F.col("id").cast("int").alias("day"))
-    missing_days = every.join(seen, "day", "left_anti").agg(
-        F.array_join(F.array_sort(F.collect_list("day")).cast("array<string>"), "|").alias("memory_unavailable_trace_days")
-    )
-    output = demand.agg(
-        F.count("*").cast("long").alias("hourly_trigger_row_count"),
-        F.countDistinct("hour_index").cast("long").alias("hourly_total_row_count"),
-        F.sum("invocations").cast("long").alias("total_invocations"),
-        F.sum("compute_seconds").alias("total_compute_seconds"),
-    )
-    rows = [
-        *counts,
-        missing_durations(invocations, durations),
-        duplicate_metrics(durations, FUNCTION_KEY, "duration"),
-        duplicate_metrics(memory, app_key, "memory"),
-        missing_days,
-        output,
-    ]
-    one = rows[0]
-    for row in rows[1:]:  # single rows side by side
-        one = one.join(row, F.lit(True))
-    return one
-
-
 def reconciled(invocations: DataFrame, durations: DataFrame, demand: DataFrame, totals: DataFrame) -> DataFrame:
     """One row: the largest hourly differences between trigger rows and totals, those of the raw sums, and whether all are nil."""
+    raw = with_durations(invocations, durations).agg(F.sum("calls").alias("_calls"), F.sum(F.col("calls") * F.col("average_ms") / 1000.0).alias("_seconds"))
+    return reconciled_with(raw, demand, totals)
+
+
+def reconciled_with(raw: DataFrame, demand: DataFrame, totals: DataFrame) -> DataFrame:
+    """``reconciled`` with the raw sums given as one row (_calls, _seconds)."""
     by_hour = demand.groupBy("hour_index").agg(
         F.sum("invocations").alias("n"), F.sum("compute_seconds").alias("s"), F.sum("active_functions").alias("f")
     )
@@ -181,7 +157,6 @@ def reconciled(invocations: DataFrame, durations: DataFrame, demand: DataFrame,
         *(F.max(F.abs(F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0)))).cast("double").alias(names[k]) for k, (a, b) in sides.items()),
         F.sum("total_invocations").alias("_n"), F.sum("total_compute_seconds").alias("_s"),
     )
-    raw = with_durations(invocations, durations).agg(F.sum("calls").alias("_calls"), F.sum(F.col("calls") * F.col("average_ms") / 1000.0).alias("_seconds"))
     both = hourly.join(raw, F.lit(True))  # single rows
     calls, seconds = "raw_total_invocation_difference", "raw_total_compute_seconds_difference"
     both = both.withColumns({calls: F.abs(F.col("_n") - F.col("_calls")).cast("double"), seconds: F.abs(F.col("_s") - F.coalesce("_seconds", F.lit(0.0)))})

@@ -277,6 +277,21 @@ def table_violations() -> str:
     return f"WITH {tables}\n" + " UNION ALL ".join(out)
 
 
+def groups(name: str, keys: str, cte: str) -> str:
+    """The repeated keys of a source under the names of the quality record."""
+    counts = f"{name}_duplicate_row_count, {name}_duplicate_group_count AS {name}_duplicate_key_group_count"
+    return f"(SELECT {counts} FROM ({DUPLICATES.format(name, cte, keys)}))"
+
+
+RECONCILED = (
+        "SELECT n = 0 AND f = 0 AND rn = 0 AND s <= 1e-9 AND rs <= 1e-6 AS reconciliation_passed, n AS max_hourly_invocation_difference, "
+        f"{r('s', 'max_hourly_compute_seconds_difference')}, f AS max_hourly_active_function_difference, rn AS raw_total_invocation_difference, "
+        f"{r('rs', 'raw_total_compute_seconds_difference')} FROM (SELECT CAST(max(abs(a.n - b.n)) AS DOUBLE) AS n, max(abs(a.s - b.s)) AS s, "
+        "CAST(max(abs(a.f - b.f)) AS DOUBLE) AS f, CAST(abs(sum(b.n) - any_value(raw)) AS DOUBLE) AS rn, abs(sum(b.s) - any_value(secs)) AS rs "
+        f"FROM {TOTALS} a JOIN {TOTALS} b USING (hour_index), (SELECT sum(calls) AS raw, coalesce(sum(calls * ms / 1000.0), 0.0) AS secs "
+        "FROM fh LEFT JOIN dc USING (td, o, app, trig)))"
+)
+
 ORACLE: dict[str, str] = {
     "hourly_demand_by_trigger": sql(
         f"SELECT trace_day, hour_of_day, hour_index, trig AS Trigger, invocations, {r('y', 'compute_seconds')}, act AS active_functions, "
@@ -293,18 +308,17 @@ ORACLE: dict[str, str] = {
         f"SELECT td AS trace_day, count(*) AS application_count, {r('avg(mb)', 'mean_allocated_mb')}, {r('quantile_cont(mb, 0.5)', 'median_allocated_mb')}, "
         f"{r('quantile_cont(mb, 0.95)', 'p95_allocated_mb')} FROM (SELECT td, o, app, sum(k * c) / sum(c) AS mb FROM me GROUP BY ALL) GROUP BY td", "me"),
     "data_quality_summary": sql(
-        f"SELECT * FROM {sources('invocation', 'fh')}, {sources('duration', 'du')}, {sources('memory', 'me')}, (SELECT {MISSING}), "
-        f"({DUPLICATES.format('duration', 'du', 'td, o, app, trig')}), ({DUPLICATES.format('memory', 'me', 'td, o, app')}), "
+        f"SELECT * FROM {sources('invocation', 'fh')}, {sources('duration', 'du')}, {sources('memory', 'me')}, "
+        "(SELECT missing_functions AS missing_duration_join_function_count, missing_function_percentage AS missing_duration_join_function_percentage, "
+        "missing_invocations AS missing_duration_join_invocation_count, missing_invocation_percentage AS missing_duration_join_invocation_percentage "
+        f"FROM (SELECT {MISSING})), {groups('duration', 'td, o, app, trig', 'du')}, {groups('memory', 'td, o, app', 'me')}, "
         "(SELECT coalesce(string_agg(CAST(d AS VARCHAR), '|' ORDER BY d), '') AS memory_unavailable_trace_days FROM unnest(range(1, 31)) AS t(d) "
-        "WHERE d NOT IN (SELECT td FROM me)), (SELECT count(*) AS hourly_trigger_row_count, count(DISTINCT hour_index) AS hourly_total_row_count, "
-        f"CAST(sum(invocations) AS BIGINT) AS total_invocations, {r('sum(y)', 'total_compute_seconds')} FROM de)", "fh", "du", "dc", "me", "de"),
-    "demand_reconciliation": sql(
-        "SELECT n = 0 AND f = 0 AND rn = 0 AND s <= 1e-9 AND rs <= 1e-6 AS reconciliation_passed, n AS max_hourly_invocation_difference, "
-        f"{r('s', 'max_hourly_compute_seconds_difference')}, f AS max_hourly_active_function_difference, rn AS raw_total_invocation_difference, "
-        f"{r('rs', 'raw_total_compute_seconds_difference')} FROM (SELECT CAST(max(abs(a.n - b.n)) AS DOUBLE) AS n, max(abs(a.s - b.s)) AS s, "
-        "CAST(max(abs(a.f - b.f)) AS DOUBLE) AS f, CAST(abs(sum(b.n) - any_value(raw)) AS DOUBLE) AS rn, abs(sum(b.s) - any_value(secs)) AS rs "
-        f"FROM {TOTALS} a JOIN {TOTALS} b USING (hour_index), (SELECT sum(calls) AS raw, coalesce(sum(calls * ms / 1000.0), 0.0) AS secs "
-        "FROM fh LEFT JOIN dc USING (td, o, app, trig)))", "fh", "dc", "de"),
+        "WHERE d NOT IN (SELECT td FROM me)), (SELECT count(DISTINCT td) AS daily_memory_row_count FROM me), "
+        "(SELECT count(*) AS hourly_trigger_row_count, count(DISTINCT hour_index) AS hourly_total_row_count, "
+        f"CAST(sum(invocations) AS BIGINT) AS total_invocations, {r('sum(y)', 'total_compute_seconds')} FROM de), ({RECONCILED}), (SELECT "
+        + ", ".join(f"'parquet' AS {k}_source_layout, CAST(1 AS BIGINT) AS {k}_source_file_count" for k in ("invocation", "duration", "memory")) + ")",
+        "fh", "du", "dc", "me", "de"),
+    "demand_reconciliation": sql(RECONCILED, "fh", "dc", "de"),
     "constraint_report": sql("\nUNION ALL ".join(RULES), "fh", "du", "me", "de", "fe", "pr", "mt", "se", "pa", "iv", "cs", "rc"),
     "minute_to_hour_reshape": sql(
         "SELECT td AS trace_day, trig AS Trigger, CAST(h AS INTEGER) AS hour_of_day, CAST(coalesce(n, 0) AS BIGINT) AS calls, CAST(coalesce(f, 0) AS BIGINT) AS active_functions "

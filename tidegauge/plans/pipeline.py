@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import capacity, checks, demand, features, forecast, gbdt, reports, sarimax
+from tidegauge.operators import capacity, checks, demand, features, forecast, gbdt, quality, reports, sarimax
 from tidegauge.schema import GBDT, HEADROOMS, HORIZON, HOURLY_MEAN, SARIMAX, SEASONAL, TEST_HOURS, VALIDATION_HOURS
 from tidegauge.sources import adapter, sinks
-from tidegauge.sources.shared import materialize, stored, stored_path
+from tidegauge.sources.shared import materialize, source_state, stored, stored_path
 from tidegauge.streaming import hourly
 
 HOURS = adapter.HOURS
@@ -45,8 +45,10 @@ def daily_memory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def data_quality(spark: SparkSession, d: str) -> DataFrame:
+    files = ("parquet", len(source_state(spark, adapter.events_path(d))))
     sources = (adapter.invocations(spark, d), adapter.durations(spark, d), adapter.memory(spark, d))
-    return demand.quality_summary(*sources, hourly_demand(spark, d), HOURS // 24)
+    layout = dict.fromkeys(("invocation", "duration", "memory"), files)
+    return quality.quality_record(*sources, adapter.vocabulary(spark), list(adapter.TRIGGERS), HOURS, layout)
 
 
 def demand_reconciliation(spark: SparkSession, d: str) -> DataFrame:
