@@ -40,10 +40,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def _write(df: DataFrame, path: str) -> None:
     df.write.option("compression", "zstd").parquet(path)
-    _delete_on_exit(df.sparkSession, path)
+    delete_on_exit(df.sparkSession, path)
 
 
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
+def delete_on_exit(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -86,7 +86,7 @@ def _kept(spark: SparkSession, label: str, sources: list[str], write) -> tuple[s
     if key not in _STORED:
         path = f"{shared_dir(spark)}/tidegauge/{label}-{uuid.uuid4().hex}"
         _STORED[key] = (path, write(path))
-        _delete_on_exit(spark, path)
+        delete_on_exit(spark, path)
     return _STORED[key]
 
 
