@@ -20,7 +20,7 @@ def record(spark, tmp_path, winner, **changes):
     path = str(tmp_path / "selection")
     sinks.json_document(forecast.selection_record(spark.createDataFrame(rows, METRIC)), path)
     if changes:
-        found = json.loads(next((tmp_path / "selection").glob("part-*")).read_text()) | changes
+        found = json.loads((tmp_path / "selection").read_text()) | changes
         path = str(tmp_path / "changed.json")
         (tmp_path / "changed.json").write_text(json.dumps({k: v for k, v in found.items() if v is not None}))
     return path

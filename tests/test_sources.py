@@ -2,8 +2,9 @@ import json
 
 import pyarrow as pa
 import pytest
+from pyarrow import feather
 
-from tidegauge.sources import readers, sinks
+from tidegauge.sources import contracts, readers, sinks
 
 SCHEMA = "HashApp string, Trigger string, `1` double"
 
@@ -47,10 +48,49 @@ def test_feather_scan_projects(spark, tmp_path):
     table = pa.table({"HashApp": ["f", "g"], "day": pa.array([1, 2], pa.int64()), "unused": [0.0, 1.0]})
     with pa.ipc.new_file(str(tmp_path / "x.feather"), table.schema) as out:
         out.write_table(table, max_chunksize=1)
-    rows = readers.feather(spark, [str(tmp_path / "x.feather")], ["HashApp", "day"], "HashApp string, day long").collect()
+    rows = readers.feather(spark, [str(tmp_path / "x.feather")], "HashApp string, day long").collect()
     assert sorted(map(tuple, rows)) == [("f", 1), ("g", 2)]
 
 
+@pytest.mark.parametrize("compression", [None, "lz4", "zstd"])
+def test_feather_batches_are_spread_over_tasks(spark, tmp_path, compression):
+    path = str(tmp_path / "x.feather")
+    n = 10_000
+    table = pa.table({"day": pa.array([k % 3 + 1 for k in range(n)], pa.int16()), "unused": ["x" * 50] * n, "HashApp": pa.array([str(k) for k in range(n)]).dictionary_encode(), "v": [None, 1.5] * (n // 2)})
+    feather.write_feather(table, path, compression=compression or "uncompressed", chunksize=500)
+    rows = readers.daily_feather(spark, path, "HashApp string, v double", batches=2)
+    assert rows.columns == ["HashApp", "v", "trace_day"] and rows.rdd.getNumPartitions() == 10
+    assert rows.groupBy("trace_day").count().where("count between 3333 and 3334").count() == 3
+    assert rows.agg({"HashApp": "max", "v": "sum"}).first().asDict() == {"max(HashApp)": "9999", "sum(v)": 1.5 * n / 2}
+    with pytest.raises(Exception, match="no missing"):
+        readers.feather(spark, ["file:" + path], "missing string").collect()
+
+
+def test_empty_feather_files_have_no_rows(spark, tmp_path):
+    feather.write_feather(pa.table({"a": pa.array([], pa.int64())}), str(tmp_path / "x.feather"))
+    assert readers.feather(spark, [str(tmp_path / "x.feather")], "a long").count() == 0
+
+
+def test_csv_under_a_type_contract(spark, tmp_path):
+    declared = {"trigger": "text", "forecast_hour": "whole", "P50": "decimal", "meets_service_target": "flag"}
+    write(tmp_path / "good.csv", "trigger,P50,forecast_hour,meets_service_target\n7,1,3,true\n8,,4,false\n")
+    whole = contracts.typed_csv(spark, str(tmp_path / "good.csv"), declared)
+    good = whole.drop(contracts.CORRUPT)
+    assert sorted(good.select("trigger", "P50", "forecast_hour", "meets_service_target").collect()) == [("7", 1.0, 3, True), ("8", None, 4, False)]
+    assert contracts.wrong_types(good) == [] and {r[contracts.CORRUPT] for r in whole.collect()} == {None}
+    write(tmp_path / "bad.csv", "trigger,P50,forecast_hour,meets_service_target\na,1.5,x,true\nb,2.5,4,maybe\nc,0.5,5,true\n")
+    with pytest.raises(readers.SourceError, match="1 values of forecast_hour are not whole, 1 values of meets_service_target are not flag"):
+        contracts.typed_csv(spark, str(tmp_path / "bad.csv"), declared)
+    kept = {r["trigger"]: r for r in contracts.typed_csv(spark, str(tmp_path / "bad.csv"), declared, strict=False).collect()}
+    assert kept["a"]["forecast_hour"] is None and kept["a"]["_corrupt_record"] == "a,1.5,x,true" and kept["c"]["_corrupt_record"] is None
+    with pytest.raises(readers.SourceError, match="P50"):
+        contracts.typed_csv(spark, str(tmp_path / "good.csv"), {k: v for k, v in declared.items() if k != "P50"})
+    assert dict(contracts.inferred_csv(spark, str(tmp_path / "good.csv")).dtypes)["meets_service_target"] == "boolean"
+    write(tmp_path / "none.csv", "trigger,P50,forecast_hour,meets_service_target\n")
+    assert contracts.typed_csv(spark, str(tmp_path / "none.csv"), declared).count() == 0
+    assert contracts.wrong_types(spark.createDataFrame([("1", 2.5)], "forecast_hour string, hour_index double")) == ["forecast_hour", "hour_index"]
+
+
 def test_headers_and_samples(spark, tmp_path):
     write(tmp_path / "h.csv", "﻿HashApp,Trigger\nf,http\ng,\nh,http\n")
     assert readers.header(spark, str(tmp_path / "h.csv")) == ["HashApp", "Trigger"]
@@ -73,8 +113,10 @@ def test_splits_are_pruned(spark, tmp_path):
 def test_reports_are_one_sorted_file(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b"), (1, "a")], "k int, x string").repartition(2)
     sinks.report_csv(rows, str(tmp_path / "r"), ["k"])
-    files = list((tmp_path / "r").glob("part-*.csv"))
-    assert len(files) == 1 and files[0].read_text().splitlines() == ["k,x", "1,a", "2,b"]
+    assert (tmp_path / "r").read_text().splitlines() == ["k,x", "1,a", "2,b"]
+    sinks.report_csv(rows.limit(0), str(tmp_path / "r"), ["k"])
+    assert (tmp_path / "r").read_text().splitlines() == ["k,x"]
+    assert {p.name.strip(".") for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {"r"}
 
 
 def test_documents(spark, tmp_path):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import close, finite
 from tidegauge.operators.joins import matched
 from tidegauge.schema import TOTAL
+from tidegauge.sources.contracts import wrong_types
 
 
 class InvalidTable(ValueError):
@@ -29,7 +30,10 @@ def violations(frame: DataFrame, keys: list[str], numerics: list[str]) -> DataFr
 
 
 def validated(name: str, frame: DataFrame, keys: list[str], numerics: list[str]) -> DataFrame:
-    """The table itself, or InvalidTable."""
+    """The table itself, or InvalidTable: column types are checked first, which takes no job."""
+    odd = wrong_types(frame)
+    if odd:
+        raise InvalidTable(f"{name}: types of {', '.join(odd)}")
     row = violations(frame, keys, numerics).first().asDict()
     if any(row.values()):
         raise InvalidTable(f"{name}: {row}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions import day_of_file
+from tidegauge.sources.arrow_source import ArrowFiles
 
 
 class SourceError(ValueError):
@@ -58,17 +58,19 @@ def daily_csv(spark: SparkSession, paths: list[str], schema: str, columns: list[
     return rows.select(*columns, day_of_file(F.col("_metadata.file_name")).alias("trace_day"))
 
 
-def feather(spark: SparkSession, paths: list[str], columns: list[str], schema: str) -> DataFrame:
-    """Projected scan of Arrow files: Spark lists and ships them, workers decode batch by batch."""
+def feather(spark: SparkSession, paths: list[str], schema: str, batches: int = 16) -> DataFrame:
+    """Projected scan of Arrow files of any size: a task takes ``batches`` record batches, found by the footer, and only the schema's columns.
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                with pa.ipc.open_file(pa.BufferReader(content.as_buffer())) as file:
-                    for k in range(file.num_record_batches):
-                        yield file.get_batch(k).select(columns)
+    Files are opened by Arrow's own file systems (local or mounted paths, hdfs, s3, gs), on the driver for the footers.
+    """
+    spark.dataSource.register(ArrowFiles)
+    return spark.read.format("arrow_files").schema(schema).option("paths", json.dumps(paths)).option("batches", batches).load()
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(decode, schema)
+
+def daily_feather(spark: SparkSession, path: str, schema: str, day: str = "day", batches: int = 16) -> DataFrame:
+    """The single file of a source that holds all days: its column ``day`` becomes the trace day, as the name of a daily file does."""
+    rows = feather(spark, [path], f"{schema}, `{day}` bigint", batches)
+    return rows.withColumnRenamed(day, "trace_day").withColumn("trace_day", F.col("trace_day").cast("int"))
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
