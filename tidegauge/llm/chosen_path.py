@@ -48,6 +48,8 @@ from tidegauge.llm.common import heavy_keys, id_text_row, join_unique, materiali
 #: Bins of a sketch, and how far below the threshold a likely pair may be estimated (over four standard errors).
 SKETCH = 128
 MARGIN = 0.16
+#: Draws that a walk makes at once: nodes of a level times tokens of a set, as many as a core's cache holds.
+WALK = 1 << 15
 MASK = np.uint64(0x9E3779B97F4A7C15)
 SIGNATURE = "id long, n_tokens int, set_hash string, sketch binary, tokens binary, leaves array<long>"
 
@@ -83,13 +85,14 @@ def leaf_paths(tokens: np.ndarray, threshold: float, depth: int, repeats: int) -
     odds = min(1.0, 1.0 / (threshold * len(tokens)))
     limit = np.uint64(min(int(odds * 2.0**64), 2**64 - 1))
     nodes = mixed(np.arange(1, repeats + 1, dtype=np.uint64) * MASK)
+    step = max(1, WALK // len(tokens))
     for _ in range(depth):
         children = []
-        for node in nodes:
-            drawn = (tokens ^ node) * MASK
-            follow = drawn <= limit if odds < 1 else np.ones(len(tokens), dtype=bool)
-            children.append(mixed(drawn[follow] + node))
-        nodes = np.unique(np.concatenate(children)) if children else nodes[:0]
+        for some in (nodes[k : k + step] for k in range(0, len(nodes), step)):
+            drawn = ((tokens ^ some[:, None]) * MASK).ravel()
+            follow = np.flatnonzero(drawn <= limit) if odds < 1 else np.arange(len(drawn))
+            children.append(drawn[follow] + some[follow // len(tokens)])
+        nodes = np.unique(mixed(np.concatenate(children))) if children else nodes[:0]
         if not len(nodes):
             break
     return nodes.view(np.int64)
