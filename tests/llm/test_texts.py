@@ -470,6 +470,29 @@ def test_plans_use_every_piece():
         assert (used == counts).all()
 
 
+def test_short_pieces_take_their_own_length(spark):
+    rows = packing_nnls.pack(docs_of(spark, [None] * 5000 + ["a"] * 1000), tokenizer_file()).collect()
+    room = defaultdict(int)
+    for r in rows:
+        room[r["sequence_id"]] += r["length"]
+    assert len(rows) == 6000 and max(room.values()) <= 2048 and len(room) == -(-7000 // 2048)
+
+
+def test_coarse_plans_use_every_piece_by_its_size():
+    rng = np.random.default_rng(11)
+    counts = rng.integers(0, 300, 2049)
+    counts[np.arange(2049) % 8 > 0] *= np.arange(2049)[np.arange(2049) % 8 > 0] < 64
+    counts[0] = counts[2048] = 0
+    plan, used = packing_nnls.plan_windows(counts, 8), np.zeros(2049, dtype=int)
+    for repeats, parts in plan:
+        assert sum(k * m for k, m in parts.items()) <= 2048
+        for k, m in parts.items():
+            used[k] += repeats * m
+    assert (used == counts).all()
+    ideal = (counts * np.arange(2049)).sum() / 2048
+    assert sum(n for n, _ in plan) < 1.03 * ideal
+
+
 def test_pipeline_stages_keep_the_columns_and_do_their_work(spark, data):
     import corpus_pipeline as pipeline
 

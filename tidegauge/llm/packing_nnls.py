@@ -3,10 +3,11 @@
 1. Each document is tokenized once, where Spark has it, and cut into windows of
    ``window`` ids; only the last piece of a document is shorter. A row per
    piece, without its ids, goes to the shared folder.
-2. The histogram of short pieces (at most ``window / step`` bins) reaches the
-   driver. Combinations of up to three bins that fill a window are enumerated,
-   non-negative least squares gives each a repeat count, counts are rounded
-   down, and what remains is packed greedily, largest first, bin by bin.
+2. The histogram of short pieces reaches the driver: a bin for each length
+   under ``exact``, then one for each ``step`` ids. Combinations of up to three
+   multiples of ``step`` that fill a window are enumerated, non-negative least
+   squares gives each a repeat count, counts are rounded down, and what remains
+   is packed greedily, largest first, bin by bin, by room in ids.
    All of this works on counts, so it does not grow with the rows.
 3. Pieces get their sequence from their rank inside their bin. Ranks come from
    counts of (bin, salt) groups, so no bin is ever sorted in one task.
@@ -158,8 +159,11 @@ def non_negative_fit(columns: np.ndarray, counts: np.ndarray, rounds: int) -> np
     return result
 
 
-def plan_windows(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
-    """[(repeats, {bin: pieces})] that use every piece of the histogram; a window holds ``len(counts) - 1`` units."""
+def plan_windows(counts: np.ndarray, step: int = 1) -> list[tuple[int, dict[int, int]]]:
+    """[(repeats, {bin: pieces})] that use every piece of the histogram; a window holds ``len(counts) - 1`` units.
+
+    The fit combines bins that are multiples of ``step``; the greedy rest takes all.
+    """
     bins = len(counts) - 1
     left = counts.astype(np.int64).copy()
     left[0] = 0
@@ -176,11 +180,12 @@ def plan_windows(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
         return dict(zip(values.tolist(), times.tolist()))
 
     if left.sum():
-        options = combinations(bins)
-        options = options[(left[options] > 0)[:, :].all(axis=1, where=options > 0)]
-        fit = np.floor(non_negative_fit(options, left, rounds=2 * bins // 8)).astype(np.int64) if len(options) else []
+        coarse = left[::step]
+        options = combinations(bins // step)
+        options = options[(coarse[options] > 0).all(axis=1, where=options > 0)]
+        fit = np.floor(non_negative_fit(options, coarse, rounds=2 * len(coarse) // 8)).astype(np.int64) if len(options) else []
         for k in np.flatnonzero(fit):
-            parts = pattern(options[k])
+            parts = pattern(options[k] * step)
             take(min([int(fit[k])] + [left[b] // m for b, m in parts.items()]), parts)
     while left.sum():
         top = int(np.flatnonzero(left)[-1])
@@ -221,22 +226,23 @@ def pack(
     text_col: str = "text",
     window: int = 2048,
     step: int = 8,
+    exact: int = 64,
     end_id: int = 1,
     rows_per_salt: int = 2_000,
 ) -> DataFrame:
     """Per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset (gapless from 0 in its sequence)."""
     cut = token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, window=window, end_id=end_id)
-    salted = cut.withColumn("bin", F.ceil(F.col("length") / step).cast("int"))
-    pieces = materialize(salted, "pieces")
+    rounded = F.least(F.ceil(F.col("length") / step) * step, F.lit(window))
+    size = F.when(F.col("length") < exact, F.col("length")).otherwise(rounded)
+    pieces = materialize(cut.withColumn("bin", size.cast("int")), "pieces")
     histogram = {r["bin"]: r["count"] for r in pieces.groupBy("bin").count().collect()}
     salts = max(1, sum(histogram.values()) // rows_per_salt)
-    bins = -(-window // step)
-    counts = np.zeros(bins + 1, dtype=np.int64)
+    counts = np.zeros(window + 1, dtype=np.int64)
     for b, n in histogram.items():
         counts[b] = n
-    full = int(counts[bins])
-    counts[bins] = 0
-    table = slots([*([(full, {bins: 1})] if full else []), *plan_windows(counts)], 0)
+    full = int(counts[window])
+    counts[window] = 0
+    table = slots([*([(full, {window: 1})] if full else []), *plan_windows(counts, step)], 0)
 
     key = F.pmod(F.xxhash64("id", "start"), F.lit(salts)).alias("salt")
     keyed = pieces.withColumn("salt", key)
