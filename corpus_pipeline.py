@@ -43,8 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     known = F.coalesce(docs["doc_id"].cast("long"), F.lit(1 << 62) + F.pmod(key, F.lit(1 << 61)))
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), known.alias("id"), key.alias("key"))
     classes = chosen_path.similarity_join(named.select("id", F.col("row.text").alias("text")), id_col="id")
-    dropped = classes.where("id != class_id").select("id").distinct()
-    return named.join(dropped, "id", "left_anti").dropDuplicates(["id", "key"]).select("row.*")
+    # Decided on ids alone, and stored, so that Spark knows their size when it plans the joins: below its threshold no text is shuffled.
+    marks = classes.groupBy("id").agg(F.max(F.col("id") != F.col("class_id")).alias("gone"), (F.count("*") > 1).alias("again"))
+    marks = materialize(marks.where("gone or again"), "marks")
+    plain = named.join(marks.select("id"), "id", "left_anti")
+    repeated = named.join(marks.where("again and not gone").select("id"), "id", "left_semi").dropDuplicates(["id", "key"])
+    return plain.select("row.*").unionAll(repeated.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
