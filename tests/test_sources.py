@@ -44,6 +44,28 @@ def test_file_sets_and_headers(spark, tmp_path):
     assert readers.missing_columns(spark, str(tmp_path / "x.d09.csv"), ["k", "w"]) == ["w"]
 
 
+def test_daily_names_are_padded():
+    assert readers.day_files("x.d*.csv", 12)[::11] == ["x.d01.csv", "x.d12.csv"]
+
+
+def test_trigger_samples_must_pass(spark, tmp_path):
+    texts = {"good": "k,Trigger\n1,HTTP \n2,timer\n", "bad": "k,Trigger\n1,http\n2,\n3,coffee\n", "bare": "k,Trigger\n", "none": "", "other": "k,v\n1,2\n"}
+    for name, text in texts.items():
+        write(tmp_path / f"{name}.csv", text)
+    paths = [str(tmp_path / f"{name}.csv") for name in texts]
+    report = readers.trigger_report(spark, paths, ["http", "timer"])
+    found = {r["path"].rsplit("/", 1)[-1][:-4]: (r["n_rows"], r["invalid"], r["state"]) for r in report.collect()}
+    assert found == {
+        "good": (2, [], "pass"), "bad": (3, ["<blank>", "coffee"], "incompatible"), "bare": (0, [], "empty"), "none": (0, [], "empty"),
+        "other": (0, [], "no column"),
+    }
+    with pytest.raises(readers.SourceError, match="bare.csv: empty"):
+        readers.require_triggers(report)
+    readers.require_triggers(report.where("state = 'pass'"))
+    cut = readers.trigger_report(spark, paths[1:2], ["http", "timer"], rows=1).first()
+    assert (cut["n_rows"], cut["state"]) == (1, "pass")
+
+
 def test_feather_scan_projects(spark, tmp_path):
     table = pa.table({"HashApp": ["f", "g"], "day": pa.array([1, 2], pa.int64()), "unused": [0.0, 1.0]})
     with pa.ipc.new_file(str(tmp_path / "x.feather"), table.schema) as out:

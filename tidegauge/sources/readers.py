@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.functions import day_of_file
+from tidegauge.functions import day_of_file, fold
 from tidegauge.sources.arrow_source import ArrowFiles
 
 
@@ -39,6 +40,11 @@ def discover(spark: SparkSession, root: str, csv_pattern: str, feather_pattern:
     return ("csv", csvs) if csvs else ("feather", feathers)
 
 
+def day_files(pattern: str, days: int) -> list[str]:
+    """Names of a source's daily files: the pattern's star is the day in two digits, from 01."""
+    return [pattern.replace("*", f"{day:02d}") for day in range(1, days + 1)]
+
+
 def file_report(spark: SparkSession, root: str, pattern: str, expected: list[str]) -> DataFrame:
     """(name, state) of files that are missing, unexpected or there more than once."""
     found = list_files(spark, root, pattern).groupBy("name").count()
@@ -87,6 +93,42 @@ def trigger_sample(spark: SparkSession, path: str, rows: int = 10_000) -> DataFr
     return spark.read.option("header", True).csv(path).select(label.alias("Trigger")).limit(rows).groupBy("Trigger").count()
 
 
+def trigger_report(spark: SparkSession, paths: list[str], allowed: list[str], rows: int = 10_000) -> DataFrame:
+    """(path, n_rows, invalid, state) of every file's sample: pass, incompatible, empty, or no column; only ``pass`` is right.
+
+    A sample is a file's first ``rows`` rows; there is a file a day.
+    """
+    headers = {p: spark.read.option("header", True).csv(p).columns for p in paths}
+    sampled = [
+        trigger_sample(spark, p, rows).select(F.lit(p).alias("path"), "Trigger", "count") for p, names in headers.items() if "Trigger" in names
+    ]
+    files = spark.createDataFrame([(p, "Trigger" in names or not names) for p, names in headers.items()], "path string, readable boolean")
+    none = spark.createDataFrame([], "path string, Trigger string, count long")
+    outside = F.when(~fold(F.col("Trigger")).isin(*allowed), F.col("Trigger"))
+    found = reduce(DataFrame.unionAll, sampled, none).groupBy("path").agg(
+        F.sum("count").alias("n_rows"), F.sort_array(F.collect_set(outside)).alias("invalid")
+    )
+    state = (
+        F.when(~F.col("readable"), "no column")
+        .when(F.col("n_rows") == 0, "empty")
+        .when(F.size("invalid") > 0, "incompatible")
+        .otherwise("pass")
+    )
+    return (
+        files.join(found, "path", "left")
+        .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+        .withColumn("invalid", F.coalesce("invalid", F.array().cast("array<string>")))
+        .select("path", "n_rows", "invalid", state.alias("state"))
+    )
+
+
+def require_triggers(report: DataFrame) -> None:
+    """Raise with every file of a trigger report that does not pass."""
+    bad = report.where("state != 'pass'").orderBy("path").collect()  # a file a day
+    if bad:
+        raise SourceError("; ".join(f"{r['path']}: {r['state']} {', '.join(r['invalid'])}".rstrip() for r in bad))
+
+
 def split_rows(spark: SparkSession, path: str, name: str, upto: int | None = None) -> DataFrame:
     """One split of the model features; other splits are pruned or pushed down, not read."""
     rows = spark.read.parquet(path).where(F.col("split") == name)
