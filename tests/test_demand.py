@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.operators import demand
 
@@ -53,6 +54,31 @@ def test_minutes_become_hours(spark):
     assert (found[0], found[1], found[2], found[23], len(found)) == (3.0, 4.0, 0.0, 8.0, 24)
 
 
+def test_minutes_in_a_map_become_the_same_hours(spark):
+    some = {0: 1.0, 59: 2.0, 60: 4.0, 1439: 8.0}
+    dense = [[some.get(k, 0.0) for k in range(1440)], [1.0] * 1440, [0.0] * 1440]
+    rows = [("f", some), ("g", dict(enumerate(dense[1]))), ("h", {})]
+    sparse = demand.minutes_to_hours(spark.createDataFrame(rows, "f string, minutes map<int,double>"))
+    wide = demand.minutes_to_hours(spark.createDataFrame(list(zip("fgh", dense)), "f string, minutes array<double>"))
+    found = sorted(map(tuple, sparse.collect()))
+    assert sparse.dtypes == wide.dtypes and found == sorted(map(tuple, wide.collect()))
+    assert len(found) == 72 and found[23] == ("f", 23, 8.0) and found[24] == ("g", 0, 60.0) and found[48] == ("h", 0, 0.0)
+    for minute in (-1, 1440):
+        outside = spark.createDataFrame([("f", {minute: 1.0})], "f string, minutes map<int,double>")
+        with pytest.raises(Exception, match=f"outside the day: minute {minute}"):
+            demand.minutes_to_hours(outside).collect()
+
+
+def test_minute_matrix_holds_only_minutes_with_calls(spark, data):
+    from tidegauge.sources import adapter
+
+    rows = adapter.minute_matrix(spark, data)
+    assert dict(rows.dtypes)["minutes"] == "map<int,double>"
+    assert "element_at" not in str(rows._jdf.queryExecution().optimizedPlan().toString())
+    values = rows.select(F.explode(F.map_values("minutes")).alias("n"))
+    assert tuple(values.agg(F.min("n") > 0, F.sum("n").cast("long")).first()) == (True, adapter.events(spark, data).count())
+
+
 def test_memory_is_a_mean_of_applications(spark):
     rows = [(1, "o", "a", 1, 10.0), (1, "o", "a", 3, 20.0), (1, "o", "b", 1, 7.5)]
     memory = spark.createDataFrame(rows, "trace_day int, HashOwner string, HashApp string, SampleCount int, AverageAllocatedMb double")

@@ -19,16 +19,37 @@ def normalize_triggers(raw: DataFrame, vocabulary: tuple[str, ...], col: str = "
 
 
 def minutes_to_hours(wide: DataFrame, minutes: str = "minutes") -> DataFrame:
-    """One row per hour of day from an array of 1,440 minute counts: the reshape happens before any join."""
+    """One row per hour of day from a row of minute counts: the reshape happens before any join.
+
+    The counts are an array of 1,440, or a map from the minute of the day (0 to
+    1,439; another raises) to its count, without the minutes that have none.
+    """
 
     def hour_sum(h: Column) -> Column:
         return F.aggregate(F.slice(minutes, h * 60 + 1, 60), F.lit(0.0), lambda a, x: a + x)
 
     keys = [c for c in wide.columns if c != minutes]
-    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), hour_sum)
+    if dict(wide.dtypes)[minutes].startswith("map"):
+        hours = _hour_sums(F.map_entries(minutes))
+    else:
+        hours = F.transform(F.sequence(F.lit(0), F.lit(23)), hour_sum)
     return wide.select(*keys, F.posexplode(hours).alias("hour_of_day", "calls"))
 
 
+def _hour_sums(entries: Column) -> Column:
+    """24 sums over (minute, count) entries, in one pass."""
+
+    def placed(entry: Column) -> Column:
+        outside = F.raise_error(F.concat(F.lit("outside the day: minute "), entry["key"].cast("string"))).cast("int")
+        hour = F.when(entry["key"].between(0, 1439), F.floor(entry["key"] / 60).cast("int")).otherwise(outside)
+        return F.struct(hour.alias("hour"), entry["value"].alias("calls"))
+
+    def add(sums: Column, entry: Column) -> Column:
+        return F.transform(sums, lambda x, h: F.when(h == entry["hour"], x + entry["calls"]).otherwise(x))
+
+    return F.aggregate(F.transform(entries, placed), F.array_repeat(F.lit(0.0), 24), add)
+
+
 def consolidate_durations(durations: DataFrame) -> DataFrame:
     """Weighted mean duration per function and day, without invalid averages."""
     average = number(F.col("Average"))
